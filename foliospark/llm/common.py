@@ -34,6 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Few rows in each batch that Python gets, since one text can be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 class SharedTables:
     """Parquet tables in the shared folder, which cut lineage and outlive lost executors."""
 
