@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, embedding_dedup, html_render, mixing, piece_codec, quality_classifier, quality_rules, simhash, url_filter
+from . import chat_format, embedding_dedup, html_render, mixing, piece_codec, quality_classifier, quality_rules, simhash, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op2_suffix_dedup": suffix_dedup.query,
     "op3_mixing": mixing.query,
     "op4_piece_codec": piece_codec.query,
     "op5_embedding_dedup": embedding_dedup.query,
