@@ -191,3 +191,152 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Odd multipliers that give each 64-bit word of a sketch its own hashes.
+_WORDS = [0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) for i in range(64)]
+
+
+def sketch(text: bytes, shingle: int, words: int, seed: int = 42) -> bytes:
+    """A fingerprint of words * 64 bits; texts without a word have all bits 0."""
+    import numpy as np
+    import xxhash
+
+    own = text.lower().split()
+    if not own:
+        return bytes(8 * words)
+    shingles = map(b" ".join, zip(*(own[i:] for i in range(shingle)))) if len(own) > shingle else [b" ".join(own)]
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64)
+    factors, count = np.array(_WORDS[:words], np.uint64), np.zeros(64 * words, np.int64)
+    for i in range(0, len(hashes), 2048):
+        h = hashes[i : i + 2048, None] * factors
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        count += np.add.reduce(np.unpackbits(h.view(np.uint8), axis=1), axis=0, dtype=np.uint16)
+    return np.packbits(2 * count > len(hashes)).tobytes()
+
+
+def differing_share(similarity: float) -> float:
+    """Share of bits in which sketches of two shingle sets of this Jaccard similarity differ on average."""
+    import math
+
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def _link_sketches(most: float, words: int):
+    """For rows (band, value, id, sketch) sorted by band and value: ties (u, v) of those whose sketches differ in few enough bits.
+
+    The ring of words is entered at the band's own; chains of 1, 2, 4, ... words must
+    each stay within their share of the bits, with some slack for chance, before all are counted."""
+
+    def links(value, ids, rows):
+        import numpy as np
+
+        a, b = [], []
+        chains = [n for n in (1, 2, 4, 8) if n < words]
+        for d in range(1, len(ids)):
+            i = np.flatnonzero((value[d:] == value[:-d]) & (ids[d:] != ids[:-d]))
+            if not len(i):
+                if not (value[d:] == value[:-d]).any():
+                    break
+                continue
+            start = (value[i] >> 32) % words
+            for n in chains:
+                spent = np.zeros(len(i), np.int64)
+                for k in range(n):
+                    w = (start + k) % words
+                    spent += np.bitwise_count(rows[i, w] ^ rows[i + d, w])
+                share = most * n / words
+                held = spent <= share + 3 * share**0.5
+                i, start = i[held], start[held]
+            i = i[np.bitwise_count(rows[i] ^ rows[i + d]).sum(axis=1, dtype=np.int64) <= most]
+            a.append(i)
+            b.append(i + d)
+        if not a or not sum(map(len, a)):
+            return None
+        root = _roots(len(ids), np.concatenate(a), np.concatenate(b))
+        tied = np.flatnonzero(root != np.arange(len(ids)))
+        return ids[tied], ids[root[tied]]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        rest = None
+
+        def emit(rows):
+            if len(rows[1]) > 1 and (found := links(*rows)) is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["u", "v"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sketches_ = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, words)
+            rows = [batch.column("value").to_numpy(), batch.column("id").to_numpy(), sketches_]
+            if rest is not None:
+                rows = [np.concatenate(x) for x in zip(rest, rows)]
+            before = np.flatnonzero(rows[0] != rows[0][-1])
+            cut = before[-1] + 1 if len(before) else 0
+            yield from emit([x[:cut] for x in rows])
+            rest = [x[cut:] for x in rows]
+        if rest is not None:
+            yield from emit(rest)
+
+    return run
+
+
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 16, miss: float = 0.03) -> DataFrame:
+    """(key, component_id) for every row: groups of texts whose shingle sets are this similar, or more.
+
+    Sketches of words * 64 bits stand for the sets. Two are compared if they agree in one of some bands of bits, and
+    link if they differ in no more bits than sets of this similarity do on average, and one
+    standard deviation. The bands' width follows the number of different sketches, and their
+    number is such that a pair of just this similarity is missed with probability miss; more similar ones are
+    missed far less. Null and blank texts are one group. Rows with a null key stay.
+    Other columns are dropped. An empty table gives an empty table."""
+    import math
+
+    spark = docs.sparkSession
+    tables = SharedTables(spark)
+    small_batches(spark)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            values = batch.column("text").cast(pa.large_binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([sketch(v or b"", shingle, words) for v in values], pa.binary())], names=["key", "sketch"])
+
+    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    marked = tables.write(own.mapInArrow(run, f"key {dict(own.dtypes)['key']}, sketch binary"), "sketched")
+    distinct = marked.groupBy("sketch").agg(F.min("key").alias("least")).withColumn("id", F.monotonically_increasing_id())
+    distinct = tables.write(distinct, "distinct")
+    share = differing_share(similarity)
+    most = 64 * words * share + math.sqrt(64 * words * share * (1 - share))
+    width = min(24, max(10, distinct.count().bit_length() - 4))
+    bands = math.ceil(math.log(miss) / math.log(1 - (1 - share) ** width))
+
+    def cut(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        # evenly spread places of the bands; neighbouring ones overlap where there are not bits enough
+        at = np.linspace(0, 64 * words - width, bands).astype(np.int64)
+        weights = 1 << np.arange(width, dtype=np.int64)
+        for batch in batches:
+            values = batch.column("sketch").to_pylist()
+            bits = np.unpackbits(np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1), axis=1)
+            for band in range(bands):
+                code = bits[:, at[band] : at[band] + width].astype(np.int64) @ weights
+                word = at[band] // 64  # where the ring is entered
+                value = (np.int64(band) * words + word) << 32 | code
+                yield pa.RecordBatch.from_arrays([pa.array(value), batch.column("id"), batch.column("sketch")], names=["value", "id", "sketch"])
+
+    rows = distinct.select("id", "sketch").mapInArrow(cut, "value long, id long, sketch binary")
+    ties = rows.repartition("value").sortWithinPartitions("value").mapInArrow(_link_sketches(most, words), "u long, v long")
+    found = connected_components(ties, tables)
+    placed = distinct.join(found, distinct.id == found.node, "left").select("sketch", "least", F.coalesce("component", "id").alias("component"))
+    lowest = placed.groupBy(F.struct("component").alias("c")).agg(F.min("least").alias("component_id")).select("c.component", "component_id")
+    named = placed.select("sketch", "component").join(lowest, "component").select("sketch", "component_id")
+    return marked.join(named, "sketch").select(F.col("key").alias(key), "component_id")
