@@ -30,10 +30,29 @@ def _one_by_one(error: UnicodeDecodeError):
 codecs.register_error("foliospark.bytewise", _one_by_one)
 
 
+class _Known(dict):
+    """Tokens and their listing by unit. At most twice a number of short units is kept: when that many are new, the old ones go."""
+
+    def __init__(self, encode, most: int):
+        super().__init__()
+        self.encode, self.most, self.old = encode, most, {}
+
+    def __missing__(self, unit: str) -> tuple[tuple[int, ...], str]:
+        if (found := self.old.get(unit)) is None:
+            tokens = tuple(self.encode(unit))
+            found = (tokens, " ".join(map(str, tokens)))
+        if len(unit) <= 64:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[unit] = found
+        return found
+
+
 class PieceCodec:
     """Encodes and decodes with the pieces and scores of a model given as bytes."""
 
-    def __init__(self, proto: bytes, most_cached: int = 200_000):
+    def __init__(self, proto: bytes, most_cached: int = 400_000):
         import ahocorasick
         from sentencepiece import SentencePieceProcessor
 
@@ -63,7 +82,7 @@ class PieceCodec:
         self.matches.make_automaton()
         self.shorter_of: dict[int, int] = {}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.known = _Known(self._unit, most_cached)
         self.most_cached = most_cached
 
     def merge(self, text: str) -> list[int]:
@@ -102,13 +121,16 @@ class PieceCodec:
 
     def _fit(self, left: int, right: int) -> bool:
         if (found := self.fits.get((left, right))) is None:
-            if len(self.fits) > 4 * self.most_cached:
+            if len(self.fits) > self.most_cached:
                 self.fits.clear()
             found = self.fits[left, right] = self.merge(self.pieces[left] + self.pieces[right]) == [left, right]
         return found
 
     def _backtrack(self, text: str) -> list[int]:
         """Tokens of a text of known characters."""
+        tokens = [token for _, token in self.matches.iter_long(text)]
+        if all(map(self._fit, tokens, tokens[1:])):  # longest matches from the left already fit
+            return tokens
         longest = [-1] * (len(text) + 1)
         pieces = self.pieces
         for end, token in self.matches.iter(text):
@@ -116,7 +138,7 @@ class PieceCodec:
             if longest[start] < 0 or len(pieces[token]) > len(pieces[longest[start]]):
                 longest[start] = token
         failed = bytearray(len(text) // 8 + 1)
-        tokens: list[int] = []
+        tokens = []
         at, token = 0, longest[0]
         while at < len(text):
             last = tokens[-1] if tokens else -1
@@ -157,24 +179,10 @@ class PieceCodec:
             known = ""
         return out + (self._backtrack(known) if known else [])
 
-    def _unit_cached(self, unit: str) -> tuple[tuple[int, ...], str]:
-        if (found := self.known.get(unit)) is None:
-            tokens = tuple(self._unit(unit))
-            found = (tokens, " ".join(map(str, tokens)))
-            if len(unit) <= 64:
-                if len(self.known) >= self.most_cached:
-                    self.known.clear()
-                self.known[unit] = found
-        return found
-
     def units(self, text: str) -> list[tuple[tuple[int, ...], str]]:
         if not text:
             return []
-        found = UNITS.findall(SPACE + text.replace(" ", SPACE))
-        try:
-            return list(map(self.known.__getitem__, found))
-        except KeyError:
-            return list(map(self._unit_cached, found))
+        return list(map(self.known.__getitem__, UNITS.findall(SPACE + text.replace(" ", SPACE))))
 
     def encode(self, text: str, add_end: bool = True) -> list[int]:
         out = list(chain.from_iterable(u[0] for u in self.units(text)))
