@@ -1,14 +1,18 @@
 """Quality classifier by importance resampling.
 
 Two hashed n-gram models, of a target (texts labelled good) and of the raw corpus, give
-every document a log weight: the sum of log target / raw over its one- and two-word
-features. Gumbel noise, seeded by the document's key, is added, and the top k documents
+every document a log weight: the sum of log target / raw over its n-grams. These are
+taken over the shapes of words (letters, capitals, digits and marks, long runs cut), one and two at a time, and a
+pair tells whether its words are equal; so the models are dense and hold for words
+that no labelled text has. Gumbel noise, seeded by the document's key, is added, and the top k documents
 are taken, which draws k documents without replacement by their weights.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from operator import eq
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,41 +24,50 @@ from .common import SharedTables, small_batches
 @dataclass(frozen=True)
 class Resampling:
     #: Hash buckets of the models, a power of two.
-    buckets: int = 1 << 15
+    buckets: int = 1 << 12
     #: Labelled rows used at most; those with the least hash of their key.
     most_labels: int = 20_000
-    #: Pseudo-count of a bucket, in both models.
-    smoothing: float = 1.0
-    #: k is the number of documents whose log weight is at least this; see floor_from_labels.
+    #: Counts of the raw distribution added to the target's.
+    smoothing: float = 10.0
+    #: k is the number of documents whose log weight is at least this; by default found with half the labelled rows.
     floor: float | None = None
-    #: Share of labelled good documents that may lie below the floor.
-    lose: float = 0.002
+    #: Share of the good ones of that half that may lie below the floor, and how far the floor is set below that.
+    lose: float = 0.001
+    margin: float = 3.0
     seed: int = 11
 
 
-class _Hashes(dict):
-    """64-bit hashes by word, a bounded number of them kept."""
+#: Classes of bytes: small letters and all beyond ASCII, capitals, digits; marks stand for themselves.
+_CLASSES = bytes(ord("a") if 97 <= b <= 122 or b >= 128 else ord("A") if 65 <= b <= 90 else ord("0") if 48 <= b <= 57 else b for b in range(256))
+_RUNS = re.compile(rb"(.)\1+", re.S)
+
+
+class _Shapes(dict):
+    """64-bit hashes of shapes by word, a bounded number of them kept."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word, 1)
+        found = xxhash.xxh64_intdigest(_RUNS.sub(rb"\1\1", word.translate(_CLASSES)), 1)
+        if len(word) <= 64:
+            self[word] = found
         return found
 
 
-_HASHES = _Hashes()
+_SHAPES = _Shapes()
 
 
 def features(text: bytes, buckets: int):
-    """Bucket numbers of all words and adjacent word pairs of a whole text; words keep their case."""
+    """Bucket numbers of all words and adjacent word pairs of a whole text."""
     import numpy as np
 
     words = text.split()
-    one = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return (np.concatenate([one, two]) >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64)
+    one = np.fromiter(map(_SHAPES.__getitem__, words), np.uint64, len(words))
+    alike = np.fromiter(map(eq, words, words[1:]), bool, max(0, len(words) - 1))
+    two = one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:] + alike * np.uint64(0xD6E8FEB86659FD93)
+    return (np.concatenate([one, two]) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64)
 
 
 def _texts(batch, name: str):
@@ -73,14 +86,10 @@ def bucket_counts(docs: DataFrame, text: str, buckets: int) -> DataFrame:
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
             for value, good in zip(_texts(batch, text), batch.column("target").to_pylist()):
-                found = np.bincount(features(value, buckets), minlength=buckets) if len(value) > 50_000 else features(value, buckets)
-                if len(value) > 50_000:
-                    raw += found
-                    target += found if good else 0
-                else:
-                    np.add.at(raw, found, 1)
-                    if good:
-                        np.add.at(target, found, 1)
+                found = np.bincount(features(value, buckets), minlength=buckets)
+                raw += found
+                if good:
+                    target += found
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
 
@@ -97,8 +106,7 @@ def log_ratio(counts: DataFrame, how: Resampling):
         raw[r.bucket], target[r.bucket] = r.raw, r.target
     if not target.sum():
         return np.zeros(how.buckets)
-    both = [(x + how.smoothing) / (x.sum() + how.smoothing * how.buckets) for x in (target, raw)]
-    return np.log(both[0] / both[1])
+    return np.log((target + how.smoothing) / (raw * (target.sum() / raw.sum()) + how.smoothing))
 
 
 def add_log_weight(docs: DataFrame, text: str, ratio, how: Resampling) -> DataFrame:
@@ -159,9 +167,9 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """Adds log_weight, n_features, draw (log weight with noise, in steps of 2**-20) and kept.
 
     The raw model counts all documents, and each is drawn from. The target model counts
-    the documents of a bounded sample of labels with quality 1; labels is (key, quality).
-    k is the number of documents whose log weight reaches the floor, by default the one
-    that all but a small share of the labelled good ones reach. Null, empty and blank
+    the documents of quality 1 in half of a bounded sample of labels; labels is (key, quality).
+    k is the number of documents whose log weight reaches the floor, by default one
+    that nearly all good ones of the labelled rows reach which the target doesn't count. Null, empty and blank
     texts have log weight 0. Repeated rows with one key share their noise; rows that tie
     with the k-th are all kept. With no label that fits, all log weights are 0 and all
     rows are kept. Columns of the input with an added name are replaced. An empty table
@@ -169,19 +177,19 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     spark = docs.sparkSession
     tables = SharedTables(spark)
     small_batches(spark)
-    docs = docs.drop("log_weight", "n_features", "draw", "kept", "__quality")
-    sample = tables.write(good_sample(labels, key, how.most_labels).select(F.col(key).alias("__key"), F.col("quality").alias("__quality")), "labels")
+    docs = docs.drop("log_weight", "n_features", "draw", "kept")
+    sample = tables.write(good_sample(labels, key, how.most_labels).select(F.col(key).alias("__key"), F.col("quality").alias("__quality"), (F.xxhash64(F.lit("half"), key) % 2 == 0).alias("__half")), "labels")
     # the sample is bounded by most_labels
     marked = lambda d: d.join(F.broadcast(sample), F.col(key) == F.col("__key"), "left").drop("__key")
-    counts = bucket_counts(marked(docs.select(key, text)).withColumn("target", F.coalesce(F.col("__quality") == 1, F.lit(False))), text, how.buckets)
+    counts = bucket_counts(marked(docs.select(key, text)).withColumn("target", F.coalesce((F.col("__quality") == 1) & F.col("__half"), F.lit(False))), text, how.buckets)
     ratio = log_ratio(counts, how)
     weighed = add_log_weight(docs, text, ratio, how).withColumn("draw", as_integer(F.col("log_weight") + gumbel(F.col(key), how.seed)))
-    scores = tables.write(marked(weighed.select(key, "log_weight", F.col("draw").alias("key"))).select("key", "log_weight", "__quality"), "scores")
+    scores = tables.write(marked(weighed.select(key, "log_weight", F.col("draw").alias("key"))).select("key", "log_weight", (F.coalesce("__quality", F.lit(0)) == 1).alias("good"), "__half"), "scores")
     floor = how.floor
     if floor is None:
-        good = scores.filter("__quality = 1").select(as_integer(F.col("log_weight")).alias("key"))
+        good = scores.filter("good and not __half").select(as_integer(F.col("log_weight")).alias("key"))
         n = good.count()
-        floor = (kth_largest(good, max(1, n - int(how.lose * n))) - (1 << 62)) / (1 << 20) if n else float("-inf")
+        floor = (kth_largest(good, max(1, n - int(how.lose * n))) - (1 << 62)) / (1 << 20) - how.margin if n else float("-inf")
     k = scores.filter(F.col("log_weight") >= F.lit(floor)).count()
     least = kth_largest(scores.select("key"), k) if k else 1 << 62
     return weighed.withColumn("kept", (F.col("draw") >= F.lit(least)) & F.lit(k > 0)).withColumn("draw", (F.col("draw") - F.lit(1 << 62)) / F.lit(float(1 << 20)))
