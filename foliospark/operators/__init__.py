@@ -1 +1 @@
-"""See the package README."""
+"""Operators over publications: archive checks, packages, document trees, assets, assembly, validation and reports."""
