@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import SharedTables, shared_dir
+
+__all__ = ["SPACE", "SPACES", "SharedTables", "connected_components", "read", "shared_dir", "small_batches", "words"]
+
 #: Characters between words; a word is a maximal run of anything else.
 SPACE = r"[\x20\x09-\x0D]"
 #: The same characters for Python code.
@@ -23,40 +24,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="foliospark-"))
-    return context.getCheckpointDir()
-
-
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Few rows in each batch that Python gets, since one text can be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
-class SharedTables:
-    """Parquet tables in the shared folder, which cut lineage and outlive lost executors."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/foliospark-{uuid.uuid4().hex}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes and rereads; the reread plan no longer knows how the rows were made."""
-        path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def least_neighbour(edges: DataFrame) -> DataFrame:
     """(u, m): the least node among u and its neighbours v.
 
