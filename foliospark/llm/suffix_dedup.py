@@ -159,6 +159,13 @@ def _span(start, end):
     return start << 32 | end
 
 
+def _bucket(values, buckets: int):
+    """A bucket for each number. Grams are least hashes, so they are hashed anew."""
+    import numpy as np
+
+    return ((_mixed(values) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
 def _map_stretches(how: Repeats, buckets: int):
     """Rows (bucket, packed) of each bucket's stretches, the first of each kind only, and (order, span) of the others' bytes."""
 
@@ -182,11 +189,11 @@ def _map_stretches(how: Repeats, buckets: int):
             same = np.concatenate([[False], (whole[1:] == whole[:-1]) & (gram[1:] == gram[:-1])])
             later = np.flatnonzero(_later(same, order, start))
             span = _span(start[later], start[later] + count[later] + how.length - 1)
-            to = ((gram[later] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            to = _bucket(order[later].astype(np.uint64) + start[later].astype(np.uint64), buckets).astype(np.int32)
             for i in range(0, len(later), 65536):
                 yield row(to[i : i + 65536], None, order[later[i : i + 65536]], span[i : i + 65536])
             first = np.flatnonzero(~same)
-            to = ((gram[first] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            to = _bucket(gram[first], buckets)
             first = first[np.argsort(to, kind="stable")]
             edges = np.searchsorted(np.sort(to), np.arange(buckets + 1))
             for b in range(buckets):
