@@ -45,8 +45,10 @@ IN_HEAD = frozenset("base link meta title style script noscript template head ht
 FENCES = frozenset("table td th caption button template".split())
 TABLE_PARTS = frozenset("tr td th tbody thead tfoot table caption".split())
 
-TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?/](?=[^a-zA-Z])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<![a-zA-Z\[][^>]*(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<\?[^>]*(?:>|\Z)|<[!/](?=[^a-zA-Z])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<![a-zA-Z\[][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: Tables in so many others are written line by line.
+DEEP = 40
 #: HTML white space collapses; a no-break space does not.
 COLLAPSE = re.compile(r"[ \t\n\f\r]+")
 UNSHOWN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
@@ -164,7 +166,8 @@ def visible(node: Node) -> bool:
 class Writer:
     """Lines of text; collapses white space across inline pieces and keeps blank lines between blocks to one."""
 
-    def __init__(self):
+    def __init__(self, depth: int = 0):
+        self.depth = depth
         self.lines: list[str] = []
         self.line: list[str] = []
         self.space = self.blank = False
@@ -204,7 +207,7 @@ class Writer:
 
     def gap(self) -> None:
         self.end()
-        self.blank = True
+        self.blank = self.blank or not self.marker  # a marker waits for its item's first line
 
 
 def _rows(table: Node) -> tuple[list[Node], list[Node]]:
@@ -247,7 +250,7 @@ def _table(node: Node, out: Writer) -> None:
         cells: list[list[str]] = []
         for cell in row.children:
             if isinstance(cell, Node) and cell.name in ("td", "th") and visible(cell):
-                inner = Writer()
+                inner = Writer(out.depth + 1)
                 _flow(cell.children, inner)
                 inner.end()
                 cells.append([x for x in inner.lines if x.strip()] or [""])
@@ -300,7 +303,7 @@ def _flow(start: list, out: Writer) -> None:
         if name == "hr":
             out.gap()
             continue
-        if name == "table":
+        if name == "table" and out.depth < DEEP:
             _table(node, out)
             continue
         after = None
