@@ -19,7 +19,7 @@ def corpus(spark, tmp_path_factory):
     passage = words(60)
     rows, labels = [], []
     for i in range(300):
-        text = words(rng.randint(30, 90)) + "."
+        text = words(150 if i == 2 else rng.randint(30, 90)) + "."
         if i % 6 == 1:
             text = " ".join(f"{w}***" for w in text.split())
         if i % 10 == 0:
@@ -28,10 +28,8 @@ def corpus(spark, tmp_path_factory):
         if i % 2 == 0 or i % 3 == 1:
             labels.append((i, int(i % 6 != 1), 0))
     rows += [(1000 + i, rows[i][1], "en", "s0", rows[i][4]) for i in range(0, 60, 4)]
-    near = rows[2][1].split()
-    for i in range(4):
-        near[5 + 9 * i] = "other"
-        rows.append((2000 + i, " ".join(near[: 10 + 60 * (i + 1)]) if i < 0 else " ".join(w if k != 11 + i else "z" for k, w in enumerate(rows[2][1].split())), "de", None, 1))
+    for i in range(4):  # near copies, each with another word changed
+        rows.append((2000 + i, " ".join("z" if k == 11 + i else w for k, w in enumerate(rows[2][1].split())), "de", None, 1))
     folder = str(tmp_path_factory.mktemp("corpus"))
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
