@@ -415,7 +415,7 @@ def repeated_spans(docs: DataFrame, tables: SharedTables, how: Repeats = Repeats
     """(order, span): bytes to go, as start << 32 | end, for rows (order, text) with text as bytes."""
     spark = docs.sparkSession
     whole = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, min(100_000, -(-whole // how.bucket_bytes)))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, -(-whole // how.bucket_bytes)))
     sent = docs.filter(F.octet_length("text") >= how.length).mapInArrow(_map_stretches(how, buckets), "bucket int, packed binary, order long, span long")
     first = tables.write(sent.repartition(buckets, "bucket").mapInArrow(_reduce_stretches(how), "order long, span long, mixed long"), "first")
     free(spark)
