@@ -290,8 +290,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """(key, component_id) for every row: groups of texts whose shingle sets are this similar, or more.
 
     Sketches of words * 64 bits stand for the sets. Two are compared if they agree in one of some bands of bits, and
-    link if they differ in no more bits than sets of this similarity do on average, and one
-    standard deviation. The bands' width follows the number of different sketches, and their
+    link if they differ in no more bits than sets of this similarity do on average, and two
+    standard deviations, so that few pairs of just this similarity are lost; some that are a little less similar link as well. The bands' width follows the number of different sketches, and their
     number is such that a pair of just this similarity is missed with probability miss; more similar ones are
     missed far less. Null and blank texts are one group. Rows with a null key stay.
     Other columns are dropped. An empty table gives an empty table."""
@@ -313,7 +313,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     distinct = marked.groupBy("sketch").agg(F.min("key").alias("least")).withColumn("id", F.monotonically_increasing_id())
     distinct = tables.write(distinct, "distinct")
     share = differing_share(similarity)
-    most = 64 * words * share + math.sqrt(64 * words * share * (1 - share))
+    most = 64 * words * share + 2 * math.sqrt(64 * words * share * (1 - share))
     width = min(24, max(10, distinct.count().bit_length() - 4))
     bands = math.ceil(math.log(miss) / math.log(1 - (1 - share) ** width))
 
