@@ -206,9 +206,9 @@ r AS (
  UNION ALL SELECT book_id, 2147483647, 11 FROM {BOOKS.sql} WHERE trim(coalesce(mimetype, ''), ' ' || chr(10)) <> 'application/epub+zip'
  UNION ALL SELECT book_id, 2147483647, 12 FROM {BOOKS.sql} WHERE coalesce(mimetype, '') <> 'application/epub+zip'
 )
-SELECT b.book_id, arg_min(rule, place::BIGINT * 100 + rule)::INTEGER AS rule FROM {BOOKS.sql} b LEFT JOIN r USING (book_id) GROUP BY b.book_id""")
+SELECT b.book_id, coalesce(arg_min(rule, place::BIGINT * 100 + rule), 0)::INTEGER AS rule FROM {BOOKS.sql} b LEFT JOIN r USING (book_id) GROUP BY b.book_id""")
 def archive_preflight(spark, d):
-    return preflight.preflight(BOOKS.df(spark), ENTRIES.df(spark), LIMITS).select("book_id", "rule")
+    return preflight.preflight(BOOKS.df(spark), ENTRIES.df(spark), LIMITS).select("book_id", F.coalesce("rule", F.lit(0)).alias("rule"))
 
 
 ITEMS = Inline("book_id string, item_ord int, item_id string, name string, media_type string", [
