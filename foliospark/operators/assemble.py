@@ -71,11 +71,11 @@ def navigation_links(nodes: DataFrame, marker: str) -> DataFrame:
 def match_sections(links: DataFrame, sections: DataFrame) -> DataFrame:
     """links with target: the anchor of the first section whose source ends with what stands before #, or the href itself.
 
-    Links are joined within their book by base name first, so that only likely sections are compared."""
-    before = F.regexp_extract("href", "^([^#]*)", 1)
-    own = links.withColumns({"__p": before, "__b": F.regexp_extract(before, "([^/]*)$", 1)})
-    known = sections.select("book_id", "doc_ord", "anchor", "path", F.regexp_extract("path", "([^/]*)$", 1).alias("base"))
-    found = own.filter("__p <> ''").join(known, "book_id").filter(F.endswith("path", F.col("__p")) & F.endswith("base", F.col("__b")))
+    Links meet the sections of their own book only; what is left after the links between
+    documents are rewritten are the few that no document was found for."""
+    own = links.withColumn("__p", F.regexp_extract("href", "^([^#]*)", 1))
+    known = sections.select("book_id", "doc_ord", "anchor", "path")
+    found = own.filter("__p <> ''").join(known, "book_id").filter(F.endswith("path", F.col("__p")))
     best = found.groupBy("book_id", "at").agg(F.min_by("anchor", "doc_ord").alias("__a"))
     return own.join(best, ["book_id", "at"], "left").select(*links.columns, F.coalesce(F.concat(F.lit("#"), "__a"), "href").alias("target"))
 
