@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import basename, data_url, file_stem, file_suffix, media_type_of, normalize_path, percent_encode, raster_signature, resolve_path, split_url, srcset_entries, text_or_null
+from ..functions import basename, data_url, media_type_of, normalize_path, percent_encode, raster_signature, resolve_path, split_url, srcset_entries, text_or_null
 from ..policy import Options
 from .tree import KEYS
 
@@ -145,11 +145,3 @@ def rewrite_css(sheets: DataFrame, assets: DataFrame) -> DataFrame:
 def stylesheets(items: DataFrame) -> DataFrame:
     """(book_id, item_ord, path, css): sheets as text; css is null for those that are not UTF-8."""
     return items.filter("kind = 'stylesheet'").select("book_id", "item_ord", F.col("name").alias("path"), text_or_null(F.col("content")).alias("css"))
-
-
-def stem_of(name: Column) -> Column:
-    return file_stem(name)
-
-
-def suffix_of(name: Column) -> Column:
-    return file_suffix(name)
