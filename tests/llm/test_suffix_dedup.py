@@ -76,8 +76,9 @@ def test_repeated_and_null_keys(spark):
     a, b = words(random.Random(1), 80), words(random.Random(2), 80)
     docs = spark.createDataFrame([(1, a), (1, a), (1, b), (2, a), (None, b), (None, None)], SCHEMA)
     rows = sorted((r.doc_id or 0, r.n_removed > 0, r.n_bytes) for r in remove_repeats(docs, outputs=DIGESTS).collect())
+    n = lambda t: len(t.encode())
     # the null key is the smallest, so its text is found again under 1; the repeated row is no earlier place
-    assert rows == sorted([(0, False, 0), (0, False, len(b)), (1, False, len(a)), (1, False, len(a)), (1, True, len(b)), (2, True, len(a))]) or len(b) != len(b.encode())
+    assert rows == sorted([(0, False, 0), (0, False, n(b)), (1, False, n(a)), (1, False, n(a)), (1, True, n(b)), (2, True, n(a))])
 
 
 def test_empty(spark):
