@@ -10,6 +10,8 @@ the full check.
 Only distinct fingerprints are compared. A segment value that very many of them share
 is left to an exact way that emits no pairs: fingerprints differ in two bits at most
 if and only if one bit or none, flipped in each, makes them meet.
+
+The near-copy stage of the pipeline, similar_documents, compares shingle sets themselves.
 """
 
 from __future__ import annotations
@@ -193,150 +195,183 @@ def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Odd multipliers that give each 64-bit word of a sketch its own hashes.
-_WORDS = [0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) for i in range(64)]
+#: Minimum hashes in a band, and bands. Sets of similarity s agree in some band with probability 1 - (1 - s**8)**48, whatever the number of texts: all but 0.00015 at 0.8.
+BAND, BANDS = 8, 48
+#: Candidate components of more sets than this are compared band group by band group.
+WHOLE = 2048
 
 
-def sketch(text: bytes, shingle: int, words: int, seed: int = 42) -> bytes:
-    """A fingerprint of words * 64 bits; texts without a word have all bits 0."""
+def shingle_set(text: bytes, shingle: int, seed: int = 42):
+    """The distinct hashes of a text's word shingles, sorted; texts of fewer words are one shingle, and those without a word have none."""
     import numpy as np
     import xxhash
 
     own = text.lower().split()
     if not own:
-        return bytes(8 * words)
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(own[i:] for i in range(shingle)))) if len(own) > shingle else [b" ".join(own)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64)
-    factors, count = np.array(_WORDS[:words], np.uint64), np.zeros(64 * words, np.int64)
-    for i in range(0, len(hashes), 2048):
-        h = hashes[i : i + 2048, None] * factors
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(29)
-        count += np.add.reduce(np.unpackbits(h.view(np.uint8), axis=1), axis=0, dtype=np.uint16)
-    return np.packbits(2 * count > len(hashes)).tobytes()
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64))
 
 
-def differing_share(similarity: float) -> float:
-    """Share of bits in which sketches of two shingle sets of this Jaccard similarity differ on average."""
-    import math
+def _factors():
+    """Random odd multipliers, one for each minimum hash."""
+    import numpy as np
 
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return np.random.RandomState(42).randint(0, 1 << 63, BAND * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _link_sketches(most: float, words: int):
-    """For rows (band, value, id, sketch) sorted by band and value: ties (u, v) of those whose sketches differ in few enough bits.
+def band_values(hashes, factors):
+    """A value for each band of the minimum hashes of a set."""
+    import numpy as np
 
-    The ring of words is entered at the band's own; chains of 1, 2, 4, ... words must
-    each stay within their share of the bits, with some slack for chance, before all are counted."""
+    least = np.full(len(factors), (1 << 64) - 1, np.uint64)
+    for i in range(0, len(hashes), 64):
+        np.minimum(least, (hashes[i : i + 64, None] * factors).min(axis=0), out=least)
+    value = np.arange(BANDS, dtype=np.uint64)
+    for part in least.reshape(BANDS, BAND).T:
+        value = (value ^ part) * np.uint64(0xD6E8FEB86659FD93)
+        value ^= value >> np.uint64(32)
+    return value.view(np.int64)
 
-    def links(value, ids, rows):
-        import numpy as np
 
-        a, b = [], []
-        chains = [n for n in (1, 2, 4, 8) if n < words]
-        for d in range(1, len(ids)):
-            i = np.flatnonzero((value[d:] == value[:-d]) & (ids[d:] != ids[:-d]))
-            if not len(i):
-                if not (value[d:] == value[:-d]).any():
-                    break
-                continue
-            start = (value[i] >> 32) % words
-            for n in chains:
-                spent = np.zeros(len(i), np.int64)
-                for k in range(n):
-                    w = (start + k) % words
-                    spent += np.bitwise_count(rows[i, w] ^ rows[i + d, w])
-                share = most * n / words
-                held = spent <= share + 3 * share**0.5
-                i, start = i[held], start[held]
-            i = i[np.bitwise_count(rows[i] ^ rows[i + d]).sum(axis=1, dtype=np.int64) <= most]
-            a.append(i)
-            b.append(i + d)
-        if not a or not sum(map(len, a)):
-            return None
-        root = _roots(len(ids), np.concatenate(a), np.concatenate(b))
-        tied = np.flatnonzero(root != np.arange(len(ids)))
-        return ids[tied], ids[root[tied]]
+def _band_groups(batches):
+    """For rows (value, id) sorted by both: (grp, id, least) of the ids of each value that two or more have. Equal groups of ids have equal names grp."""
+    import numpy as np
+    import pyarrow as pa
+    import xxhash
+
+    def emit(value, ids):
+        new = np.r_[True, (value[1:] != value[:-1]) | (ids[1:] != ids[:-1])]
+        value, ids = value[new], ids[new]
+        begin = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+        size = np.diff(np.r_[begin, len(value)])
+        begin, size = begin[size > 1], size[size > 1]
+        if len(begin):
+            names = np.array([xxhash.xxh3_64_intdigest(ids[b : b + n].tobytes()) for b, n in zip(begin.tolist(), size.tolist())], np.uint64).view(np.int64)
+            at = np.concatenate([np.arange(b, b + n) for b, n in zip(begin.tolist(), size.tolist())])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, size)), pa.array(ids[at]), pa.array(np.repeat(ids[begin], size))], names=["grp", "id", "least"])
+
+    rest = None
+    for batch in batches:
+        rows = [batch.column(0).to_numpy(), batch.column(1).to_numpy()]
+        if rest is not None:
+            rows = [np.concatenate(x) for x in zip(rest, rows)]
+        if not len(rows[0]):
+            continue
+        before = np.flatnonzero(rows[0] != rows[0][-1])
+        cut = before[-1] + 1 if len(before) else 0  # the last group may go on
+        if cut:
+            yield from emit(*(x[:cut] for x in rows))
+        rest = [x[cut:] for x in rows]
+    if rest is not None:
+        yield from emit(*rest)
+
+
+def similar_roots(sets: list, similarity: float):
+    """For each of some sets the index of its component's first under links of at least this exact Jaccard similarity."""
+    import numpy as np
+
+    sizes = np.array([len(s) for s in sets])
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    root, listed, left = np.full(len(sets), -1), len(sets), len(sets)
+    for first in range(len(sets)):
+        if root[first] >= 0:
+            continue
+        root[first], queue, left = first, [first], left - 1
+        while queue and left:
+            if left < listed / 2:  # those reached need not be met again
+                open_ = root[owner] < 0
+                tokens, owner, listed = tokens[open_], owner[open_], left
+            i = queue.pop()
+            low, high = np.searchsorted(tokens, sets[i]), np.searchsorted(tokens, sets[i], "right")
+            n = high - low
+            at = np.arange(n.sum()) + np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n)
+            shared = np.bincount(owner[at], minlength=len(sets))
+            near = np.flatnonzero((root < 0) & (shared >= similarity * (sizes + sizes[i] - shared) - 1e-9))
+            root[near] = first
+            left -= len(near)
+            queue += near.tolist()
+    return root
+
+
+def _link_sets(similarity: float):
+    """For rows (unit, id, hashes) sorted by unit: ties (u, v) of each set to the first of its component in the unit."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        rest = None
+        unit, ids, sets = None, [], []
 
-        def emit(rows):
-            if len(rows[1]) > 1 and (found := links(*rows)) is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["u", "v"])
+        def emit():
+            if len(ids) > 1:
+                root = similar_roots(sets, similarity)
+                tied = np.flatnonzero(root != np.arange(len(ids)))
+                own = np.array(ids, np.int64)
+                if len(tied):
+                    yield pa.RecordBatch.from_arrays([pa.array(own[tied]), pa.array(own[root[tied]])], names=["u", "v"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sketches_ = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, words)
-            rows = [batch.column("value").to_numpy(), batch.column("id").to_numpy(), sketches_]
-            if rest is not None:
-                rows = [np.concatenate(x) for x in zip(rest, rows)]
-            before = np.flatnonzero(rows[0] != rows[0][-1])
-            cut = before[-1] + 1 if len(before) else 0
-            yield from emit([x[:cut] for x in rows])
-            rest = [x[cut:] for x in rows]
-        if rest is not None:
-            yield from emit(rest)
+            for at, i, hashes in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if at != unit:
+                    yield from emit()
+                    unit, ids, sets = at, [], []
+                ids.append(i)
+                sets.append(np.frombuffer(hashes, np.uint64))
+        yield from emit()
 
     return run
 
 
-def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 16, miss: float = 0.03) -> DataFrame:
-    """(key, component_id) for every row: groups of texts whose shingle sets are this similar, or more.
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, whole: int = WHOLE) -> DataFrame:
+    """(key, component_id) for every row: groups of texts linked by an exact Jaccard similarity of their shingle sets of at least this.
 
-    Sketches of words * 64 bits stand for the sets. Two are compared if they agree in one of some bands of bits, and
-    link if they differ in no more bits than sets of this similarity do on average, and two
-    standard deviations, so that few pairs of just this similarity are lost; some that are a little less similar link as well. The bands' width follows the number of different sketches, and their
-    number is such that a pair of just this similarity is missed with probability miss; more similar ones are
-    missed far less. Null and blank texts are one group. Rows with a null key stay.
+    Sets that agree in one of a fixed number of bands of minimum hashes are candidates; their layout is the same for
+    every number of texts. The candidates' connected components, or the band groups of
+    components of more sets than whole, are compared set by set in one task each, and only exact links count. Equal sets are one, known by a hash
+    of 64 bits. Null and blank texts are one group. Rows with a null key stay.
     Other columns are dropped. An empty table gives an empty table."""
-    import math
-
     spark = docs.sparkSession
     tables = SharedTables(spark)
     small_batches(spark)
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
+        import xxhash
 
+        factors = _factors()
         for batch in batches:
-            values = batch.column("text").cast(pa.large_binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([sketch(v or b"", shingle, words) for v in values], pa.binary())], names=["key", "sketch"])
+            sets = [shingle_set(v or b"", shingle) for v in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            ids = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+            bands = pa.array([band_values(s, factors) if len(s) else [] for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ids), pa.array([s.tobytes() for s in sets], pa.binary()), bands], names=["key", "id", "hashes", "bands"])
 
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    marked = tables.write(own.mapInArrow(run, f"key {dict(own.dtypes)['key']}, sketch binary"), "sketched")
-    distinct = marked.groupBy("sketch").agg(F.min("key").alias("least")).withColumn("id", F.monotonically_increasing_id())
-    distinct = tables.write(distinct, "distinct")
-    share = differing_share(similarity)
-    most = 64 * words * share + 2 * math.sqrt(64 * words * share * (1 - share))
-    width = min(24, max(10, distinct.count().bit_length() - 4))
-    bands = math.ceil(math.log(miss) / math.log(1 - (1 - share) ** width))
-
-    def cut(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        # evenly spread places of the bands; neighbouring ones overlap where there are not bits enough
-        at = np.linspace(0, 64 * words - width, bands).astype(np.int64)
-        weights = 1 << np.arange(width, dtype=np.int64)
-        for batch in batches:
-            values = batch.column("sketch").to_pylist()
-            bits = np.unpackbits(np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1), axis=1)
-            for band in range(bands):
-                code = bits[:, at[band] : at[band] + width].astype(np.int64) @ weights
-                word = at[band] // 64  # where the ring is entered
-                value = (np.int64(band) * words + word) << 32 | code
-                yield pa.RecordBatch.from_arrays([pa.array(value), batch.column("id"), batch.column("sketch")], names=["value", "id", "sketch"])
-
-    rows = distinct.select("id", "sketch").mapInArrow(cut, "value long, id long, sketch binary")
-    ties = rows.repartition("value").sortWithinPartitions("value").mapInArrow(_link_sketches(most, words), "u long, v long")
+    marked = tables.write(own.mapInArrow(run, f"key {dict(own.dtypes)['key']}, id long, hashes binary, bands array<long>"), "marked")
+    small_batches(spark, 8192)
+    rows = marked.select(F.explode("bands").alias("value"), "id").repartition("value").sortWithinPartitions("value", "id")
+    groups = tables.write(rows.mapInArrow(_band_groups, "grp long, id long, least long").distinct(), "groups")
+    small_batches(spark)
+    met = connected_components(groups.select(F.col("id").alias("u"), F.col("least").alias("v")), tables)
+    met = tables.write(met, "met")
+    large = met.groupBy(F.struct("component").alias("c")).agg(F.count("*").alias("n")).filter(F.col("n") > whole).select("c.component")
+    large = tables.write(large, "large")
+    units = met.join(large, "component", "left_anti").select(F.col("component").alias("unit"), F.col("node").alias("id"))
+    if not large.isEmpty():
+        many = met.join(large, "component", "left_semi").select(F.col("node").alias("id"))
+        units = units.unionByName(groups.join(many, "id", "left_semi").select(F.col("grp").alias("unit"), "id"))
+    sets = marked.select("id", "hashes").join(met.select(F.col("node").alias("id")), "id", "left_semi").groupBy("id").agg(F.first("hashes").alias("hashes"))
+    placed = units.join(sets, "id").select("unit", "id", "hashes").repartition("unit").sortWithinPartitions("unit")
+    ties = tables.write(placed.mapInArrow(_link_sets(similarity), "u long, v long"), "ties")
+    marked = tables.write(marked.select("key", "id"), "keys")
+    for name in ("marked", "groups", "met", "large"):  # the sets are large, and the result is read lazily
+        tables.drop(name)
     found = connected_components(ties, tables)
-    placed = distinct.join(found, distinct.id == found.node, "left").select("sketch", "least", F.coalesce("component", "id").alias("component"))
+    least = marked.groupBy("id").agg(F.min("key").alias("least"))
+    placed = least.join(found, least.id == found.node, "left").select("id", "least", F.coalesce("component", "id").alias("component"))
     lowest = placed.groupBy(F.struct("component").alias("c")).agg(F.min("least").alias("component_id")).select("c.component", "component_id")
-    named = placed.select("sketch", "component").join(lowest, "component").select("sketch", "component_id")
-    return marked.join(named, "sketch").select(F.col("key").alias(key), "component_id")
+    named = placed.select("id", "component").join(lowest, "component").select("id", "component_id")
+    return marked.join(named, "id").select(F.col("key").alias(key), "component_id")

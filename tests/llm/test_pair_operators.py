@@ -98,6 +98,43 @@ def test_similar_documents(spark):
     assert simhash.similar_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("whole", [simhash.WHOLE, 2])
+def test_similar_documents_by_exact_sets(spark, monkeypatch, whole):
+    rng = random.Random(6)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for times in (5, 10):  # a near copy that repeats one of its own lines
+        own = words(300)
+        texts += [" ".join(own), " ".join(own + own[40:60] * times)]
+    for times in (10, 30):  # different texts that share a line
+        line = words(20) * times
+        texts += [" ".join(words(200) + line), " ".join(words(200) + line)]
+    for n in range(5, 13):  # short texts and the same with one word more
+        own = words(n)
+        texts += [" ".join(own), " ".join(own + ["more"])]
+    for k in range(60):  # similarities on both sides of the bound
+        own = words(200)
+        texts += [" ".join(own), " ".join(own[: 160 + k // 2] + words(40 - k // 2))]
+    links = [(a, a + 1) for a in range(0, len(texts), 2) if jaccard(texts[a], texts[a + 1]) >= 0.8]
+    assert 20 < len(links) < len(texts) // 2 - 20
+    monkeypatch.setattr(simhash.similar_documents, "__defaults__", (*simhash.similar_documents.__defaults__[:-1], whole))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == components(range(len(texts)), links)
+
+
+def test_similar_roots():
+    rng = random.Random(9)
+    sets = [np.unique(np.array([rng.randrange(14) for _ in range(rng.randint(4, 14))], np.uint64)) for _ in range(120)]
+    links = [(a, b) for a in range(120) for b in range(a) if 5 * len(set(sets[a].tolist()) & set(sets[b].tolist())) >= 4 * len(set(sets[a].tolist()) | set(sets[b].tolist()))]
+    found = simhash.similar_roots(sets, 0.8).tolist()
+    assert found == [components(range(120), links)[i] for i in range(120)] and len(set(found)) > 5
+
+
 @pytest.mark.parametrize("how", [embedding_dedup.RangeJoin(), embedding_dedup.RangeJoin(cell=20, chunk=7, block=5)])
 def test_range_join(spark, how):
     rng = np.random.RandomState(5)
