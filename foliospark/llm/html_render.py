@@ -44,6 +44,9 @@ IN_HEAD = frozenset("base link meta title style script noscript template head ht
 #: An end tag looks no further than these for its start tag.
 FENCES = frozenset("table td th caption button template".split())
 TABLE_PARTS = frozenset("tr td th tbody thead tfoot table caption".split())
+ROW_GROUPS = frozenset(("thead", "tbody", "tfoot"))
+#: A table part closes what is open between it and these, as a form or link that stands round cells.
+PLACES = {"td": {"tr"}, "th": {"tr"}, "tr": ROW_GROUPS | {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<\?[^>]*(?:>|\Z)|<[!/](?=[^a-zA-Z])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<![a-zA-Z\[][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -132,6 +135,11 @@ def build(markup: str) -> Node:
             names, fence = IMPLIED_ENDS[name]
             while (found := in_scope(names, fence)) is not None:
                 close_until(found)
+        if name in PLACES and counts.get("table"):
+            place = name if name not in ("td", "th") or in_scope({"tr"}, {"table"}) else "tr"
+            if in_scope(PLACES[place], {"template", "table"}):
+                while open_nodes[-1].name not in PLACES[place]:
+                    pop()
         if name in ("td", "th") and counts.get("table") and in_scope({"tr"}, {"table"}) is None:
             open_nodes[-1].children.append(node := Node("tr"))
             open_nodes.append(node)
@@ -224,15 +232,15 @@ def _rows(table: Node) -> tuple[list[Node], list[Node]]:
     return captions, rows
 
 
-def _loose(table: Node) -> list:
-    """What stands in a table outside its cells and is shown before it."""
+def _loose(part: Node) -> list:
+    """What stands in a table, row group or row outside its cells and is shown before it."""
     out = []
-    for child in table.children:
+    for child in part.children:
         if not isinstance(child, Node):
             out.append(child)
-        elif child.name in ("thead", "tbody", "tfoot", "tr"):
-            out += [x for x in child.children if not (isinstance(x, Node) and x.name in ("tr", "td", "th"))]
-        elif child.name not in ("caption", "colgroup", "col"):
+        elif child.name in ROW_GROUPS and part.name == "table" or child.name == "tr" and part.name in PLACES["tr"] or child.name == "colgroup":
+            out += _loose(child) if visible(child) else []
+        elif not (child.name in ("td", "th") and part.name == "tr" or child.name == "caption" and part.name == "table"):
             out.append(child)
     return out
 

@@ -131,6 +131,33 @@ def test_render_keeps_all_words():
         assert sorted(shown) == sorted(words), parts
 
 
+STRAYS = {
+    "<table><tbody><tr><form><td>Name</td></form></tr></tbody></table>": "Name",
+    "<table><tbody><tr><a href=x><td>a<td>b</a><tr><td>c<td>d</table>": "a | b\nc | d",
+    "<table><thead><tr>x<div>y</div><td>z</table>": "x\ny\nz",
+    "<table><tfoot><tr><form>l<td>v</form></table>": "l\nv",
+    "<table><div><tr><td>a</div></table>": "a",
+    "<table><colgroup><col><b>k</b></colgroup><tr><td>a</table>": "k\na",
+    "<table><tbody hidden><tr>x<td>y</tbody><tr hidden>z<tr><td>a</table>": "a",
+}
+
+
+@pytest.mark.parametrize("markup", STRAYS)
+def test_render_keeps_what_stands_outside_cells(markup):
+    assert html_render.render(markup) == STRAYS[markup]
+
+
+def test_render_keeps_all_words_of_broken_tables():
+    rng = random.Random(5)
+    names = ["table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup", "form", "a", "div", "p", "b", "li"]
+    for _ in range(3000):
+        parts = ["<table>"]
+        for i in range(rng.randint(1, 25)):
+            parts.append(f" w{i} " if rng.random() < 0.35 else f"<{rng.choice(('', '', '/'))}{rng.choice(names)}>")
+        shown = [w for w in html_render.render("".join(parts)).split() if w.startswith("w")]
+        assert sorted(shown) == sorted(x.strip() for x in parts if x.startswith(" w")), parts
+
+
 def test_render_deep_and_long(spark):
     assert html_render.render("<div>" * 50_000 + "x") == "x"
     assert "x" in html_render.render("<table><tr><td>" * 3000 + "x")
