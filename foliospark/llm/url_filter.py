@@ -7,6 +7,7 @@ pages along links; distrust is the same from the hosts of blocked pages against
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,10 +23,16 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 class Propagation:
     damping: float = 0.85
     rounds: int = 10
+    #: Where given, the rounds go on instead until the ranks' changes add up to no more than this and no new host is reached.
+    tolerance: float | None = None
     #: A host is blocked if its distrust is above this times its trust.
     threshold: float = 1.0
 
 
+#: The query's. Ranks of a kind add up to one at most, and each round's changes to 0.85 of the last one's.
+SETTLED = Propagation(tolerance=1e-9)
+
+
 def after_scheme(url: Column) -> Column:
     """What follows the first ://, or null."""
     at = F.instr(url, "://")
@@ -70,11 +77,19 @@ def propagate(seeds: DataFrame, edges: DataFrame, tables: SharedTables, how: Pro
     base = seeds.select("kind", "host", ((1 - how.damping) * F.col("seed")).alias("rank"))
     ranks = base
     if not moves.isEmpty():
-        for i in range(how.rounds):
+        size = None
+        for i in range(how.rounds) if how.tolerance is None else count():
             flow = ranks.join(moves, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (how.damping * F.col("rank") * F.col("share")).alias("rank"))
-            ranks = tables.write(base.unionByName(flow).groupBy("kind", "host").agg(F.sum("rank").alias("rank")), f"ranks-{i}")
+            before, ranks = ranks, tables.write(base.unionByName(flow).groupBy("kind", "host").agg(F.sum("rank").alias("rank")), f"ranks-{i}")
+            settled = False
+            if how.tolerance is not None:
+                moved = ranks.unionByName(before.withColumn("rank", -F.col("rank"))).groupBy("kind", "host").agg(F.sum("rank").alias("by"))
+                now = moved.agg(F.count("*").alias("n"), F.sum(F.abs("by")).alias("by")).first()
+                size, settled = now.n, now.n == size and now.by <= how.tolerance
             if i:
                 tables.drop(f"ranks-{i - 1}")
+            if settled:
+                break
     one = lambda k: F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0))
     return ranks.groupBy("host").agg(one(0).alias("trust"), one(1).alias("distrust"))
 
@@ -100,7 +115,7 @@ def filter_urls(pages: DataFrame, rules=RULES, how: Propagation = Propagation())
 
 def query(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    return filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+    return filter_urls(pages, how=SETTLED).select("page_id", "host", "path", "rule", "verdict")
 
 
 def _sql(rules=RULES, how: Propagation = Propagation()) -> str:

@@ -152,5 +152,21 @@ def test_propagation(spark):
     assert {r.verdict for r in made if r.rule is None} == {"allow", "block"}
 
 
+def test_query_follows_links_to_their_end(spark, tmp_path):
+    hosts = [f"h{i}.net" for i in range(13)] + ["x.com"]  # each links to the next one; distrust flows back
+    pages = [(i, f"http://{h}/de/", f'<a href="//{hosts[i + 1]}/">l</a>' if i < 13 else None) for i, h in enumerate(hosts)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    made = url_filter.query(spark, str(tmp_path)).collect()
+    assert {r.host: r.verdict for r in made} == dict.fromkeys(hosts, "block")
+
+
+def test_propagation_settles(spark):
+    pages = [(0, "http://x.com/de/", None), *[(i, f"http://{a}.net/", f'<a href="//{b}/">l</a>') for i, (a, b) in enumerate([("a", "x.com"), ("a", "b.net"), ("b", "a.net")], 1)]]
+    made = url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), how=url_filter.SETTLED).collect()
+    found = {r.host: r.distrust for r in made}
+    a = 0.85 * 0.15 / (1 - 0.85 * 0.85)  # a gets all that x.com and b pass back, b all that a does
+    assert abs(found["x.com"] - 0.15) < 1e-8 and abs(found["a.net"] - a) < 1e-8 and abs(found["b.net"] - 0.85 * a) < 1e-8
+
+
 def test_url_filter_of_nothing(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
