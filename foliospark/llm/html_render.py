@@ -17,9 +17,9 @@ from pyspark.sql import types as T
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 PLAIN = frozenset(("textarea", "title"))
-HIDDEN = frozenset("head script style template noscript title meta link iframe object embed audio video canvas svg math datalist select textarea input param source track area map dialog noembed noframes rp".split())
+HIDDEN = frozenset("head script style template noscript title meta link iframe object embed audio video canvas datalist select textarea input param source track area map noembed noframes rp".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr menu fieldset".split())
-BLOCK = SPACED | frozenset("html body address article aside details dd div dt figcaption footer form header hgroup legend li main nav search section summary center caption tr thead tbody tfoot td th option optgroup".split())
+BLOCK = SPACED | frozenset("html body dialog address article aside details dd div dt figcaption footer form header hgroup legend li main nav search section summary center caption tr thead tbody tfoot td th option optgroup".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dd dt".split())
 #: A start tag closes an open element of these names, up to the scope beside them.
@@ -52,6 +52,8 @@ TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<\?[^>]*(?:>|\Z)|<[!/](?=[^a-z
 ATTRIBUTE = re.compile(r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 #: Tables in so many others are written line by line.
 DEEP = 40
+#: Parts of svg and math that show no text.
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask annotation annotation-xml".split())
 #: HTML white space collapses; a no-break space does not.
 COLLAPSE = re.compile(r"[ \t\n\f\r]+")
 UNSHOWN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
@@ -164,10 +166,14 @@ def _is_word(name: str) -> bool:
 
 
 def visible(node: Node) -> bool:
-    """Visibility rules: element kinds that show no text, the hidden attribute, unshown styles and closed details' content."""
-    if node.name in HIDDEN:
+    """Visibility rules: element kinds that show no text, the hidden attribute, unshown styles and closed dialogs; closed details' content is left out by the renderer.
+
+    Form values are left out as well: textareas, inputs and the options of a select."""
+    if node.name in HIDDEN or node.name in UNDRAWN:
         return False
     own = node.attributes
+    if node.name == "dialog" and "open" not in own:
+        return False
     return not own or not ("hidden" in own and own["hidden"].lower() != "until-found" or "style" in own and UNSHOWN_STYLE.search(own["style"]))
 
 

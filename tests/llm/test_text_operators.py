@@ -147,6 +147,13 @@ def test_render_keeps_what_stands_outside_cells(markup):
     assert html_render.render(markup) == STRAYS[markup]
 
 
+def test_render_shows_formulas_drawings_and_open_dialogs():
+    assert html_render.render("a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>T</annotation></math>") == "a x=2"
+    assert html_render.render("<svg><title>t</title><desc>d</desc><text>label</text></svg>") == "label"
+    assert html_render.render("<svg/>b<svg viewBox='0'><path d='M0'/><text>c</text></svg>d") == "bcd"
+    assert html_render.render("<dialog open>o</dialog><dialog>n</dialog>p") == "o\np"
+
+
 def test_render_keeps_all_words_of_broken_tables():
     rng = random.Random(5)
     names = ["table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup", "form", "a", "div", "p", "b", "li"]
