@@ -12,7 +12,7 @@ those are sorted that can matter:
 2. Their suffixes are cut into pieces, each with the leading bytes that all windows in
    it share. Spark's range partitioner samples splitters from these leading bytes (with
    the place as the last token, so that a very frequent passage is split as well), and
-   each bucket sorts its suffixes by multikey quicksort and compares neighbours.
+   each bucket sorts its suffixes word by word, most significant first (a library sort, np.lexsort), and compares neighbours.
 3. A bucket's first and last groups may go on in the next bucket: their first windows
    are compared across the boundaries.
 
@@ -308,8 +308,8 @@ def _cut_pieces(how: Repeats):
 def multikey_sort(word_at, begins, depth: int, group, order, place):
     """Sorts windows by their bytes, eight at a time, within groups, and equal ones by order and place.
 
-    Multikey quicksort, run over all parts at once: at each depth, the rows of a part
-    are dealt by their word into less, equal and greater; parts of one row are done,
+    Most significant word first, over all parts at once, by np.lexsort and without pivots:
+    at each depth, the rows of a part are sorted by their word; parts of one row are done,
     and equal rows go on to the next word. word_at gives the word at a byte. Returns
     (rows in order, whether each equals the row before)."""
     import numpy as np
