@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..tables import SharedTables, shared_dir
 
-__all__ = ["SPACE", "SPACES", "SharedTables", "connected_components", "read", "shared_dir", "small_batches", "words"]
+__all__ = ["SPACE", "SPACES", "SharedTables", "connected_components", "fresh", "lean", "read", "shared_dir", "small_batches", "words"]
 
 #: Characters between words; a word is a maximal run of anything else.
 SPACE = r"[\x20\x09-\x0D]"
@@ -29,6 +29,39 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def fresh(taken, *names: str) -> list[str]:
+    """The names, with underscores before those that are taken, whatever the case of their letters."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def lean(run):
+    """The same function over batches, which gives freed memory back to the system at its end: workers are used again, and what one stage has freed would else be kept beside what the next one needs."""
+
+    def lean_run(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not every C library can
+                pass
+
+    return lean_run
+
+
 def least_neighbour(edges: DataFrame) -> DataFrame:
     """(u, m): the least node among u and its neighbours v.
 

@@ -1,23 +1,24 @@
 """Suffix-array dedup of byte strings that repeat anywhere in a corpus.
 
 Every byte goes that is covered by a window (a string of `length` bytes) found at an
-earlier place too. Sorting all suffixes would move each byte a hundred times, so only
-those are sorted that can matter:
-
-1. Each window has an anchor, its least hashed gram, which depends on its content only.
-   Neighbouring windows of one anchor make a stretch. Stretches are compared whole, by
-   their hash: all but the first of equal ones go. What is left are the distinct
-   stretches whose gram also stands in another distinct stretch, at the edges of
-   repeated passages; a few per cent.
-2. Their suffixes are cut into pieces, each with the leading bytes that all windows in
-   it share. Spark's range partitioner samples splitters from these leading bytes (with
-   the place as the last token, so that a very frequent passage is split as well), and
-   each bucket sorts its suffixes word by word, most significant first (a library sort, np.lexsort), and compares neighbours.
-3. A bucket's first and last groups may go on in the next bucket: their first windows
-   are compared across the boundaries.
-
-Stretches are matched by two hashes of 64 bits in all but name: the gram's and the
-stretch's. Pieces are compared byte by byte.
+earlier place too. The suffix array is a sampled one: each window has an anchor, its
+least hashed gram, which depends on the window's content only, so equal windows have
+their anchors at the same offset, and the suffixes that start at anchors are enough to
+find all of them. Hashes choose anchors; they never decide what is equal.
+
+1. Neighbouring windows of one anchor make a stretch, which carries all bytes of its
+   windows. Splitters, sampled from the leading bytes of suffixes at anchors (with a
+   number for the place as last token, so that a very frequent suffix is split as well),
+   deal the stretches out into ranges.
+2. Each range sorts its suffixes by multikey quicksort. Suffixes whose gram nothing
+   shares are done. Of those that share it, whole stretches are compared byte by byte:
+   all but the first of equal ones go. Windows of the stretches left are sorted and
+   compared in the range, too.
+3. The first and last gram of a range may go on in the next one, and a gram may have
+   more windows than are sorted at once. Stretches of these grams are cut into pieces,
+   each with the leading bytes that all its windows share; pieces are range-partitioned
+   by these and sorted likewise, and the outer groups of each bucket compare their first
+   windows across the boundaries.
 """
 
 from __future__ import annotations
@@ -29,27 +30,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SharedTables, small_batches
+from .common import SharedTables, fresh, lean, small_batches
 
 
 @dataclass(frozen=True)
 class Repeats:
     #: Bytes of a window.
     length: int = 100
-    #: Bytes of a gram, a power of two.
+    #: Bytes of a gram, a power of two, eight at least.
     gram: int = 32
     #: Windows of an anchor are cut into pieces of at most so many.
     piece: int = 17
-    #: Bytes of text for each bucket of stretches, pieces for each bucket of suffixes.
-    bucket_bytes: int = 8_000_000
+    #: Bytes of text for each range of stretches, and no more ranges than this.
+    range_bytes: int = 12_000_000
+    ranges: int = 16_384
+    #: Sampled suffixes for each range.
+    sample: int = 32
+    #: Pieces for each bucket.
     bucket_pieces: int = 40_000
-    #: Bytes looked at in one go, and stretches kept before they are sent.
+    #: Bytes looked at in one go, stretches kept before they are sent, and windows sorted at once.
     block: int = 1_000_000
-    held: int = 1_000_000
+    held: int = 500_000
+    windows: int = 1_000_000
 
 
 #: Odd multipliers of the hashes.
-M1, M2, M3, M4 = 0xFF51AFD7ED558CCD, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
+M1, M2, M3 = 0xFF51AFD7ED558CCD, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Text is sampled by slabs of so many bytes.
+SLAB = 1024
 
 
 def _mixed(h):
@@ -74,7 +82,7 @@ def gram_hashes(data, gram: int):
 
 
 def least_in_windows(h, width: int):
-    """(value, place) of the least of each width neighbouring hashes, the leftmost of equals."""
+    """The place of the least of each width neighbouring hashes, the leftmost of equals."""
     import numpy as np
 
     value, place, step = h, np.arange(len(h), dtype=np.int32), 1
@@ -84,33 +92,21 @@ def least_in_windows(h, width: int):
         value = np.where(right, value[by:], value[:-by])
         place = np.where(right, place[by:], place[:-by])
         step += by
-    return value, place
-
-
-_POWERS: list = []
-
-
-def _powers(n: int):
-    """At least n powers of an odd number and of its inverse, modulo 2**64; the longest asked for are kept."""
-    import numpy as np
-
-    if not _POWERS or len(_POWERS[0]) < n:
-        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)])) for x in (M4, pow(M4, -1, 1 << 64))]
-    return _POWERS
+    return place
 
 
 def stretches(parts: list[tuple[int, int, bytes]], how: Repeats):
-    """Stretches of parts (order, offset, bytes): arrays gram hash, stretch hash, order, start, windows, anchor - start."""
+    """Stretches of parts (order, offset, bytes): their joined bytes, and arrays order, start, windows, anchor - start, place in the bytes. None without a window."""
     import numpy as np
 
-    data = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
+    raw = b"".join(p[2] for p in parts)
+    data = np.frombuffer(raw, np.uint8)
     sizes = np.array([len(p[2]) for p in parts])
     ends = np.cumsum(sizes)
     windows = len(data) - how.length + 1
     if windows <= 0:
         return None
-    h = gram_hashes(data, how.gram)
-    value, place = least_in_windows(h, how.length - how.gram + 1)
+    place = least_in_windows(gram_hashes(data, how.gram), how.length - how.gram + 1)
     part = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)[:windows]
     inside = np.flatnonzero(np.arange(windows) + how.length <= ends[part])
     if not len(inside):
@@ -118,16 +114,10 @@ def stretches(parts: list[tuple[int, int, bytes]], how: Repeats):
     own = place[inside]
     first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (inside[1:] != inside[:-1] + 1)]))
     count = np.diff(np.concatenate([first, [len(inside)]]))
-    start = inside[first]
-    up, down = _powers(max(len(data) + 1, how.block + 4096))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(7)) * np.uint64(M3) * up[: len(data)], dtype=np.uint64)])
-    whole = (sums[start + count + how.length - 1] - sums[start]) * down[start] + count.astype(np.uint64) * np.uint64(M1)
-    orders, offsets = np.array([p[0] for p in parts], np.int64), np.array([p[1] for p in parts], np.int64)
-    at = part[start]
-    begins = ends - sizes
-    # the anchor's place in the stretch is part of what must be equal
-    whole = _mixed(whole + (own[first] - start).astype(np.uint64) * np.uint64(M4))
-    return value[start], whole, orders[at], start - begins[at] + offsets[at], count.astype(np.uint8), (own[first] - start).astype(np.uint8)
+    begin = inside[first]
+    orders, shift = np.array([p[0] for p in parts], np.int64), np.array([p[1] for p in parts], np.int64) - (ends - sizes)
+    at = part[begin]
+    return raw, orders[at], begin + shift[at], count.astype(np.uint8), (own[first] - begin).astype(np.uint8), begin
 
 
 def text_blocks(rows, how: Repeats):
@@ -147,195 +137,295 @@ def text_blocks(rows, how: Repeats):
         yield parts
 
 
-def _later(same, order, start):
-    """Of rows sorted by group, order and start, those that stand later than their group's first; same tells whether a row continues a group."""
+def _texts(batches):
+    for batch in batches:
+        yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+
+
+def suffix_keys(raw: bytes, anchor, order, start, how: Repeats):
+    """Sort keys of suffixes: the gram's bytes, and a number that depends on the place."""
     import numpy as np
 
-    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
-    return same & ((order != order[head]) | (start != start[head]))
+    gram = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), how.gram)[anchor]
+    place = _mixed(_mixed(order.astype(np.uint64)) + start.astype(np.uint64)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return np.ascontiguousarray(np.concatenate([gram, place], axis=1)).view(f"S{how.gram + 8}").ravel()
 
 
-def _span(start, end):
-    return start << 32 | end
+def _sample_keys(how: Repeats, share: float):
+    """Keys of the suffixes in slabs of text, a share of all slabs that is chosen by hash."""
+
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
 
+        def slabs():
+            for order, text in _texts(batches):
+                for at in range(0, len(text) - how.length + 1, SLAB):
+                    if xxhash.xxh64_intdigest(b"%d %d" % (order, at)) < share * 2.0**64:
+                        yield order, text[at : at + SLAB + how.length - 1]
 
-def _bucket(values, buckets: int):
-    """A bucket for each number. Grams are least hashes, so they are hashed anew."""
+        for parts in text_blocks(slabs(), how):
+            if (found := stretches(parts, how)) is not None:
+                raw, order, start, _, lead, begin = found
+                keys = suffix_keys(raw, begin + lead, order, start, how).tobytes()
+                size = how.gram + 8
+                yield pa.RecordBatch.from_arrays([pa.array([keys[i : i + size] for i in range(0, len(keys), size)], pa.binary())], names=["key"])
+
+    return lean(run)
+
+
+def sampled_splitters(docs: DataFrame, ranges: int, whole: int, how: Repeats):
+    """Keys that part the suffixes into about equal ranges; a bounded sample of keys comes to the driver."""
     import numpy as np
 
-    return ((_mixed(values) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    share = min(1.0, how.sample * ranges * (how.length - how.gram + 2) / 2 / max(1, whole))
+    keys = np.sort(np.array([bytes(r.key) for r in docs.mapInArrow(_sample_keys(how, share), "key binary").collect()], f"S{how.gram + 8}"))
+    return keys[np.arange(1, ranges) * len(keys) // ranges] if len(keys) else keys
 
 
-def _map_stretches(how: Repeats, buckets: int):
-    """Rows (bucket, packed) of each bucket's stretches, the first of each kind only, and (order, span) of the others' bytes."""
+_COLUMNS = (("order", "int64"), ("start", "int64"), ("count", "uint8"), ("lead", "uint8"))
+
+
+def _deal_stretches(how: Repeats, splitters):
+    """Rows (range, n, size, packed) of each range's stretches, sorted by their suffixes and compressed."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        codec = pa.Codec("zstd", compression_level=1)
         kept: list = []
 
-        def row(bucket, packed, order, span):
-            n = len(bucket)
-            none = lambda kind: pa.nulls(n, kind)
-            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(packed, pa.binary()) if packed is not None else none(pa.binary()), pa.array(order, pa.int64()) if order is not None else none(pa.int64()), pa.array(span, pa.int64()) if span is not None else none(pa.int64())], names=["bucket", "packed", "order", "span"])
-
         def send():
-            columns = [np.concatenate(x) for x in zip(*kept)]
+            raw = b"".join(k[0] for k in kept)
+            shift = np.cumsum([0, *(len(k[0]) for k in kept[:-1])])
+            order, start, count, lead = (np.concatenate([k[i] for k in kept]) for i in range(1, 5))
+            begin = np.concatenate([k[5] + s for k, s in zip(kept, shift)])
             kept.clear()
-            gram, whole, order, start, count, lead = columns
-            by = np.lexsort((start, order, whole))
-            gram, whole, order, start, count, lead = (x[by] for x in columns)
-            same = np.concatenate([[False], (whole[1:] == whole[:-1]) & (gram[1:] == gram[:-1])])
-            later = np.flatnonzero(_later(same, order, start))
-            span = _span(start[later], start[later] + count[later] + how.length - 1)
-            to = _bucket(order[later].astype(np.uint64) + start[later].astype(np.uint64), buckets).astype(np.int32)
-            for i in range(0, len(later), 65536):
-                yield row(to[i : i + 65536], None, order[later[i : i + 65536]], span[i : i + 65536])
-            first = np.flatnonzero(~same)
-            to = _bucket(gram[first], buckets)
-            first = first[np.argsort(to, kind="stable")]
-            edges = np.searchsorted(np.sort(to), np.arange(buckets + 1))
-            for b in range(buckets):
-                here = first[edges[b] : edges[b + 1]]
-                if len(here):
-                    packed = b"".join(x[here].tobytes() for x in (gram, whole, order, start, count, lead))
-                    yield row([b], [packed], None, None)
+            keys = suffix_keys(raw, begin + lead, order, start, how)
+            by = np.argsort(keys)
+            edges = np.concatenate([[0], np.searchsorted(keys[by], splitters), [len(by)]])
+            end = begin + count + how.length - 1
+            for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+                here = by[edges[b] : edges[b + 1]]
+                packed = b"".join([*(x[here].tobytes() for x in (order, start, count, lead)), *(raw[i:j] for i, j in zip(begin[here].tolist(), end[here].tolist()))])
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([len(here)], pa.int32()), pa.array([len(packed)], pa.int64()), pa.array([codec.compress(packed, asbytes=True)], pa.binary())], names=["range", "n", "size", "packed"])
 
         held = 0
-
-        def texts():
-            for batch in batches:
-                yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-
-        for parts in text_blocks(texts(), how):
+        for parts in text_blocks(_texts(batches), how):
             if (found := stretches(parts, how)) is not None:
                 kept.append(found)
-                held += len(found[0])
+                held += len(found[1])
             if held >= how.held:
                 yield from send()
                 held = 0
         if kept:
             yield from send()
 
-    return run
+    return lean(run)
+
 
+def multikey_quicksort(n: int, word, depth, group=None):
+    """Sorts rows 0 to n-1 by their words, within groups that are next to each other, and keeps equal ones in order.
 
-def _unpack(packed: bytes):
+    All open parts take a step at once: each is split three ways by a pivot's word, the
+    median of three, into lesser, equal and greater rows. The equal part goes on to the
+    next word; a part of one row, or of equal rows at their depth, is done.
+    word(rows, at) gives the rows' words number at, depth the number of words: one for
+    all rows, or one for each, which rows of equal first words share. Returns (rows in
+    order, whether each equals the row before)."""
     import numpy as np
 
-    n, at, out = len(packed) // 34, 0, []
-    for kind in (np.uint64, np.uint64, np.int64, np.int64, np.uint8, np.uint8):
-        size = n * np.dtype(kind).itemsize
-        out.append(np.frombuffer(packed, kind, n, at))
-        at += size
-    return out
+    rows, same = np.arange(n), np.zeros(n, bool)
+    if not n:
+        return rows, same
+    deep = depth if isinstance(depth, np.ndarray) else np.full(n, depth)
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if group is not None else np.zeros(1, np.int64)
+    size, at = np.diff(np.concatenate([first, [n]])), np.zeros(len(first), np.int64)
+    open_ = size > 1
+    first, size, at = first[open_], size[open_], at[open_]
+    words = np.zeros(n, np.uint64)  # the current word of each row
+    if len(first):
+        where = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        words[where] = word(where, np.zeros(len(where), np.int64))
+    while len(first):
+        part = np.repeat(np.arange(len(first)), size)
+        offset = np.cumsum(size) - size
+        where = np.repeat(first - offset, size) + np.arange(len(part))
+        own = rows[where]
+        value = words[own]
+        a, b, c = value[offset], value[offset + size // 2], value[offset + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[part]
+        kind = (value >= pivot).astype(np.int64) + (value > pivot)
+        counts = np.bincount(part * 3 + kind, minlength=3 * len(first)).reshape(-1, 3)
+        starts = first[:, None] + np.cumsum(counts, axis=1) - counts
+        to = np.empty(len(part), np.int64)
+        for k in range(3):
+            mine = np.flatnonzero(kind == k)
+            before = np.cumsum(counts[:, k]) - counts[:, k]
+            to[mine] = starts[part[mine], k] + np.arange(len(mine)) - before[part[mine]]
+        rows[to] = own
+        middle = counts[:, 1] > 1
+        first, size, at = np.concatenate([starts[:, 0], starts[middle, 1], starts[:, 2]]), np.concatenate([counts[:, 0], counts[middle, 1], counts[:, 2]]), np.concatenate([at, at[middle] + 1, at])
+        fresh_ = np.zeros(len(first), bool)
+        fresh_[len(counts) : len(counts) + middle.sum()] = True
+        done = fresh_ & (at >= deep[rows[np.minimum(first, n - 1)]])
+        for i, m in ((first[done], size[done]),):
+            run = np.repeat(i - np.cumsum(m) + m, m) + np.arange(m.sum())
+            same[run] = True
+            same[i] = False
+        open_ = (size > 1) & ~done
+        first, size, at, fresh_ = first[open_], size[open_], at[open_], fresh_[open_]
+        by = np.argsort(first)
+        first, size, at, fresh_ = first[by], size[by], at[by], fresh_[by]
+        if fresh_.any():
+            i, m = first[fresh_], size[fresh_]
+            own = rows[np.repeat(i - np.cumsum(m) + m, m) + np.arange(m.sum())]
+            words[own] = word(own, np.repeat(at[fresh_], m))
+    return rows, same
+
+
+def _words_of(data):
+    """A function that gives the big-endian word at each of some places of bytes."""
+    import numpy as np
 
+    eight = np.lib.stride_tricks.sliding_window_view(data, 8)
+    return lambda at: eight[at].view(">u8").ravel().astype(np.uint64)
 
-def _reduce_stretches(how: Repeats):
-    """Rows (order, span, mixed): spans to go, and distinct stretches, coded, whose gram other distinct stretches share."""
 
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
+def _later(same, order, start):
+    """Of rows sorted by group, order and start, those that stand later than their group's first; same tells whether a row continues a group."""
+    import numpy as np
 
-        kept = []
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+    return same & ((order != order[head]) | (start != start[head]))
 
-        def rows(order, code, is_span):
-            for i in range(0, len(order), 65536):
-                a, b = pa.array(order[i : i + 65536]), pa.array(code[i : i + 65536])
-                none = pa.nulls(len(a), pa.int64())
-                yield pa.RecordBatch.from_arrays([a, b, none] if is_span else [a, none, b], names=["order", "span", "mixed"])
 
-        for batch in batches:
-            packed = batch.column("packed")
-            for value in packed.drop_null().to_pylist():
-                kept.append(_unpack(value))
-            spans = np.flatnonzero(batch.column("order").is_valid().to_numpy(zero_copy_only=False))
-            if len(spans):
-                take = pa.array(spans)
-                yield from rows(batch.column("order").take(take).to_numpy(), batch.column("span").take(take).to_numpy(), True)
-        if not kept:
-            return
-        columns = [np.concatenate(x) for x in zip(*kept)]
-        kept.clear()
-        by = np.lexsort((columns[3], columns[2], columns[1], columns[0]))
-        gram, whole, order, start, count, lead = (x[by] for x in columns)
-        alike = np.concatenate([[False], gram[1:] == gram[:-1]])
-        same = alike & np.concatenate([[False], whole[1:] == whole[:-1]])
-        later = np.flatnonzero(_later(same, order, start))
-        yield from rows(order[later], _span(start[later], start[later] + count[later] + how.length - 1), True)
-        first = np.flatnonzero(~same)
-        g = gram[first]
-        twin = np.concatenate([[False], g[1:] == g[:-1]])
-        mixed = first[twin | np.concatenate([twin[1:], [False]])]
-        yield from rows(order[mixed], start[mixed] << 16 | count[mixed].astype(np.int64) << 8 | lead[mixed].astype(np.int64), False)
-
-    return run
-
-
-def _cut_pieces(how: Repeats):
-    """Rows (order, at, windows, lead, bytes) of the pieces of a document's mixed stretches. Bytes from lead on, as many as shared, are in all windows of a piece."""
+def _span(start, end):
+    return start << 32 | end
 
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
 
-        for batch in batches:
-            out = [[], [], [], [], []]
-            for order, text, codes in zip(batch.column("order").to_pylist(), batch.column("text").to_pylist(), batch.column("mixed")):
-                codes = codes.values.to_numpy()
-                start, count, lead = codes >> 16, codes >> 8 & 255, codes & 255
-                anchor, far, near = start + lead, lead, lead - count + 1  # a window starts from near to far before the anchor
-                for block in range((how.length - how.gram) // how.piece + 1):
-                    low, high = block * how.piece, block * how.piece + how.piece - 1
-                    some = np.flatnonzero((far >= low) & (near <= high))
-                    a, b = np.minimum(far[some], high), np.maximum(near[some], low)
-                    at = anchor[some] - a
-                    for x, n, skip in zip(at.tolist(), (a - b + 1).tolist(), (a - low).tolist()):
-                        out[0].append(order)
-                        out[1].append(x)
-                        out[2].append(n)
-                        out[3].append(skip)
-                        out[4].append(text[x : x + n + how.length - 1])
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            for i in range(0, len(out[0]), 16384):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 16384], k) for x, k in zip(out, kinds)], names=["order", "at", "windows", "lead", "bytes"])
+def _repeated_windows(word, begin, windows, order, at, group, how: Repeats):
+    """Of all windows of pieces (their bytes' place, number of windows, document, place there, group): (piece, place within it, repeated), by piece; repeated ones are equal to an earlier window of the group."""
+    import numpy as np
+
+    piece = np.repeat(np.arange(len(windows)), windows)
+    within = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
+    of, place, where = order[piece], at[piece] + within, begin[piece] + within
+    by = np.lexsort((place, of, group[piece]))
+    tail, sorted_where = how.length - 8, where[by]
+    rows, same = multikey_quicksort(len(by), lambda r, k: word(sorted_where[r] + np.minimum(8 * k, tail)), -(-how.length // 8), group[piece][by])
+    rows = by[rows]
+    repeated = np.zeros(len(piece), bool)
+    repeated[rows[_later(same, of[rows], place[rows])]] = True
+    return piece, within, repeated
+
 
-    return run
+def _runs(piece, within, repeated):
+    """(piece, first, last) of repeated windows that are neighbours in a piece."""
+    import numpy as np
 
+    begins = repeated & np.concatenate([[True], ~repeated[:-1] | (piece[1:] != piece[:-1])])
+    ends = repeated & np.concatenate([~repeated[1:] | (piece[1:] != piece[:-1]), [True]])
+    a, b = np.flatnonzero(begins), np.flatnonzero(ends)
+    return piece[a], within[a], within[b]
 
-def multikey_sort(word_at, begins, depth: int, group, order, place):
-    """Sorts windows by their bytes, eight at a time, within groups, and equal ones by order and place.
 
-    Most significant word first, over all parts at once, by np.lexsort and without pivots:
-    at each depth, the rows of a part are sorted by their word; parts of one row are done,
-    and equal rows go on to the next word. word_at gives the word at a byte. Returns
-    (rows in order, whether each equals the row before)."""
+def _unpacked(batches):
+    """Columns and bytes of a range's stretches; None if there are none."""
     import numpy as np
+    import pyarrow as pa
+
+    codec = pa.Codec("zstd")
+    columns: list[list] = [[] for _ in _COLUMNS]
+    texts: list = []
+    for batch in batches:
+        for n, size, packed in zip(batch.column("n").to_pylist(), batch.column("size").to_pylist(), batch.column("packed")):
+            raw, at = codec.decompress(packed.as_buffer(), size, asbytes=True), 0
+            for column, (_, kind) in zip(columns, _COLUMNS):
+                column.append(np.frombuffer(raw, kind, n, at))
+                at += n * np.dtype(kind).itemsize
+            texts.append(memoryview(raw)[at:])
+    if not texts:
+        return None
+    data = b"".join([*texts, bytes(8)])
+    return [np.concatenate(c) for c in columns], data
+
+
+def _sort_range(how: Repeats):
+    """Rows (order, span) of bytes to go, and (order, at, windows, lead, bytes) of pieces that must be compared beyond the range. Bytes from lead on, as many as shared, are in all windows of a piece."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
-    rows = np.argsort(group, kind="stable")
-    part = group[rows]
-    alone = np.zeros(len(rows), bool)
-    out_rows, out_part = [], []
-    number = 0
-    for step in range(depth):
-        head = np.concatenate([[True], part[1:] != part[:-1]])
-        alone = head & np.concatenate([head[1:], [True]])
-        rows, part = rows[~alone], part[~alone]
+        names = ["order", "span", "at", "windows", "lead", "bytes"]
+
+        def spans(order, span):
+            for i in range(0, len(order), 65536):
+                a, b = pa.array(order[i : i + 65536]), pa.array(span[i : i + 65536])
+                yield pa.RecordBatch.from_arrays([a, b, *(pa.nulls(len(a), k) for k in (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=names)
+
+        if (found := _unpacked(batches)) is None:
+            return
+        (order, start, count, lead), raw = found
+        data = np.frombuffer(raw, np.uint8)
+        size = count.astype(np.int64) + how.length - 1
+        begin = np.cumsum(size) - size
+        by = np.lexsort((start, order))
+        order, start, count, lead, size, begin = order[by], start[by], count[by].astype(np.int64), lead[by].astype(np.int64), size[by], begin[by]
+        word = _words_of(data)
+        anchor = begin + lead
+        rows, same = multikey_quicksort(len(by), lambda r, k: word(anchor[r] + 8 * k), how.gram // 8)
+        group = np.cumsum(~same) - 1
+        some = np.flatnonzero((np.bincount(group)[group] > 1) | (group == 0) | (group == group[-1]))
+        last = group[-1]
+        rows, group = rows[some], group[some]
+        # whole stretches, with the anchor's place as their first word
+        sort, same = multikey_quicksort(len(rows), lambda r, k: np.where(k == 0, (lead[rows[r]] << 8 | count[rows[r]]).astype(np.uint64), word(begin[rows[r]] + np.minimum(8 * np.maximum(k - 1, 0), size[rows[r]] - 8))), 1 - (-size[rows] // 8), group)
+        rows, group = rows[sort], group[sort]
+        gone = rows[_later(same, order[rows], start[rows])]
+        yield from spans(order[gone], _span(start[gone], start[gone] + size[gone]))
+        rows, group = rows[~same], group[~same]
         if not len(rows):
-            break
-        word = word_at(begins[rows], step)
-        by = np.lexsort((word, part))
-        rows, part, word = rows[by], part[by], word[by]
-        part = np.cumsum(np.concatenate([[True], (part[1:] != part[:-1]) | (word[1:] != word[:-1])]))
-    if len(rows):
-        by = np.lexsort((place[rows], order[rows], part))
-        out_rows, out_part = rows[by], part[by]
-        number = len(out_rows)
-    if not number:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
-    return out_rows, np.concatenate([[False], out_part[1:] == out_part[:-1]])
+            return
+        total = np.bincount(group, weights=count[rows])[group]
+        beyond = (group == 0) | (group == last) | (total > how.windows)
+        inner = np.flatnonzero(~beyond & (np.bincount(group)[group] > 1))
+        block = (np.cumsum(count[rows[inner]]) - 1) // how.windows
+        block = block[np.maximum.accumulate(np.where(np.concatenate([[True], group[inner][1:] != group[inner][:-1]]), np.arange(len(inner)), 0))] if len(inner) else block
+        for b in np.unique(block):  # whole groups
+            here = inner[block == b]
+            own = rows[here]
+            piece, first, end = _runs(*_repeated_windows(word, begin[own], count[own], order[own], start[own], group[here], how))
+            at = start[own][piece]
+            yield from spans(order[own][piece], _span(at + first, at + end + how.length))
+        out: list[list] = [[], [], [], [], []]
+
+        def pieces():
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            columns = [pa.array(x, k) for x, k in zip(out, kinds)]
+            for x in out:
+                x.clear()
+            return pa.RecordBatch.from_arrays([columns[0], pa.nulls(len(columns[0]), pa.int64()), *columns[1:]], names=names)
+
+        far = rows[beyond]
+        near = lead[far] - count[far] + 1  # a window starts from lead to near before the anchor
+        for low in range(0, how.length - how.gram + 1, how.piece):
+            high = low + how.piece - 1
+            meets = np.flatnonzero((lead[far] >= low) & (near <= high))
+            own = far[meets]
+            a, b = np.minimum(lead[own], high), np.maximum(near[meets], low)
+            skip = lead[own] - a
+            for o, x, n, s, i in zip(order[own].tolist(), (start[own] + skip).tolist(), (a - b + 1).tolist(), (a - low).tolist(), (begin[own] + skip).tolist()):
+                for column, value in zip(out, (o, x, n, s, raw[i : i + n + how.length - 1])):
+                    column.append(value)
+                if len(out[0]) >= 16384:
+                    yield pieces()
+        if out[0]:
+            yield pieces()
+
+    return lean(run)
 
 
 def _sort_bucket(how: Repeats, shared: int):
@@ -345,89 +435,74 @@ def _sort_bucket(how: Repeats, shared: int):
         import numpy as np
         import pyarrow as pa
 
-        columns: list[list] = [[], [], [], [], []]
+        columns: list[list] = [[], [], [], []]
+        texts: list[bytes] = []
         for batch in batches:
             for i, name in enumerate(("order", "at", "windows", "lead")):
                 columns[i].append(batch.column(name).to_numpy())
-            columns[4] += batch.column("bytes").to_pylist()
-        if not columns[4]:
+            texts += batch.column("bytes").to_pylist()
+        if not texts:
             return
-        order, at, windows, lead = (np.concatenate(x) for x in columns[:4])
-        texts = columns[4]
-        cores = [t[s : s + shared] for t, s in zip(texts, lead.tolist())]
-        head = np.array([True, *(a != b for a, b in zip(cores, cores[1:]))])
-        group = np.cumsum(head) - 1
-        size = np.bincount(group)
+        order, at, windows, lead = (np.concatenate(x).astype(np.int64) for x in columns)
+        begin = np.cumsum(windows + how.length - 1) - (windows + how.length - 1)
+        raw = b"".join([*texts, bytes(8)])
+        texts.clear()
+        word = _words_of(np.frombuffer(raw, np.uint8))
+        core, tail = begin + lead, shared - 8
+        rows, same = multikey_quicksort(len(order), lambda r, k: word(core[r] + np.minimum(8 * k, tail)), -(-shared // 8))
+        group = np.cumsum(~same) - 1
         outer = (group == 0) | (group == group[-1])
-        use = np.flatnonzero((size[group] > 1) | outer)
-        data = np.frombuffer(b"".join(texts[i] for i in use) + bytes(8), np.uint8)
-        begin = np.concatenate([[0], np.cumsum(windows[use] + how.length - 1)])[:-1]
-        # the big-endian word at each byte
-        words = data.astype(np.uint64)
-        for step in (1, 2, 4):
-            words = words[:-step] << np.uint64(8 * step) | words[step:]
-        n = windows[use]
-        piece = np.repeat(np.arange(len(use)), n)
-        within = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
-        begins, place = begin[piece] + within, at[use][piece] + within
-        depth, tail = -(-how.length // 8), how.length - 8
-
-        def word_at(where, step):
-            return words[where + min(8 * step, tail)]
-
-        of = order[use][piece]
-        rows, same = multikey_sort(word_at, begins, depth, group[use][piece], of, place)
-        later = rows[_later(same, of[rows], place[rows])]
-        flags = np.zeros(len(piece), bool)
-        flags[later] = True
-        # neighbouring windows of a piece make one span
-        open_ = flags & np.concatenate([[True], ~flags[:-1] | (piece[1:] != piece[:-1])])
-        close = flags & np.concatenate([~flags[1:] | (piece[1:] != piece[:-1]), [True]])
-        a, b = np.flatnonzero(open_), np.flatnonzero(close)
-        span, whose = _span(place[a], place[b] + how.length), of[a]
-        for i in range(0, len(a), 65536):
+        use = (np.bincount(group)[group] > 1) | outer
+        rows, group, outer = rows[use], group[use], outer[use]
+        order, at, begin = order[rows], at[rows], begin[rows]
+        piece, within, repeated = _repeated_windows(word, begin, windows[rows], order, at, group, how)
+        which, first, end = _runs(piece, within, repeated)
+        span = _span(at[which] + first, at[which] + end + how.length)
+        for i in range(0, len(which), 65536):
             m = len(span[i : i + 65536])
-            yield pa.RecordBatch.from_arrays([pa.array(whose[i : i + 65536]), pa.array(span[i : i + 65536]), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64())], names=["order", "span", "window", "at"])
-        edge = np.flatnonzero(outer[use][piece] & ~flags)
-        raw = data.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(order[which[i : i + 65536]]), pa.array(span[i : i + 65536]), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64())], names=["order", "span", "window", "at"])
+        edge = np.flatnonzero(outer[piece] & ~repeated)
         for i in range(0, len(edge), 8192):
             e = edge[i : i + 8192]
-            yield pa.RecordBatch.from_arrays([pa.array(of[e]), pa.nulls(len(e), pa.int64()), pa.array([raw[x : x + how.length] for x in begins[e].tolist()], pa.binary()), pa.array(place[e])], names=["order", "span", "window", "at"])
+            where = begin[piece[e]] + within[e]
+            yield pa.RecordBatch.from_arrays([pa.array(order[piece[e]]), pa.nulls(len(e), pa.int64()), pa.array([raw[x : x + how.length] for x in where.tolist()], pa.binary()), pa.array(at[piece[e]] + within[e])], names=["order", "span", "window", "at"])
 
-    return run
+    return lean(run)
 
 
-def ordered_documents(docs: DataFrame, key: str, text: str, tables: SharedTables) -> DataFrame:
-    """The documents with a column order, a number that orders them by key, null first.
+def ordered_documents(docs: DataFrame, key: str, text: str, order: str, tables: SharedTables) -> DataFrame:
+    """The documents with a column of the name given by order, a number that orders them by key, null first.
 
     It is the key itself where keys are unique. Otherwise texts of one key are ordered
     by their hash, and rows that repeat key and text share a number."""
     keys = docs.select(F.col(key).cast("long").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
     if keys.filter("n > 1 or k is null").isEmpty():
-        return docs.withColumn("order", F.col(key).cast("long"))
-    named = docs.withColumns({"__k": F.col(key).cast("long"), "__h": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    ranks = named.select("__k", "__h").distinct().orderBy(F.col("__k").asc_nulls_first(), "__h")
-    ranks = tables.write(ranks.withColumn("order", F.monotonically_increasing_id()), "ranks").select(F.col("__k").alias("k"), F.col("__h").alias("h"), "order")
-    return named.join(ranks, F.col("__k").eqNullSafe(F.col("k")) & (F.col("__h") == F.col("h"))).drop("__k", "__h", "k", "h")
+        return docs.withColumn(order, F.col(key).cast("long"))
+    k, h = fresh(docs.columns, "k", "h")
+    named = docs.withColumns({k: F.col(key).cast("long"), h: F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    ranks = named.select(F.col(k).alias("rank_k"), F.col(h).alias("rank_h")).distinct().orderBy(F.col("rank_k").asc_nulls_first(), "rank_h")
+    ranks = tables.write(ranks.select("rank_k", "rank_h", F.monotonically_increasing_id().alias("rank")), "ranks")
+    r_k, r_h, r = fresh([*docs.columns, k, h, order], "rank_k", "rank_h", "rank")
+    ranks = ranks.select(F.col("rank_k").alias(r_k), F.col("rank_h").alias(r_h), F.col("rank").alias(r))
+    return named.join(ranks, F.col(k).eqNullSafe(F.col(r_k)) & (F.col(h) == F.col(r_h))).select(*docs.columns, F.col(r).alias(order))
 
 
 def repeated_spans(docs: DataFrame, tables: SharedTables, how: Repeats = Repeats()) -> DataFrame:
     """(order, span): bytes to go, as start << 32 | end, for rows (order, text) with text as bytes."""
     spark = docs.sparkSession
+    docs = docs.filter(F.octet_length("text") >= how.length)
     whole = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, -(-whole // how.bucket_bytes)))
-    sent = docs.filter(F.octet_length("text") >= how.length).mapInArrow(_map_stretches(how, buckets), "bucket int, packed binary, order long, span long")
-    first = tables.write(sent.repartition(buckets, "bucket").mapInArrow(_reduce_stretches(how), "order long, span long, mixed long"), "first")
-    free(spark)
-    mixed = first.filter("mixed is not null").groupBy("order").agg(F.collect_list("mixed").alias("mixed"))
-    pieces = tables.write(docs.join(mixed, "order").select("order", "text", "mixed").mapInArrow(_cut_pieces(how), "order long, at long, windows int, lead int, bytes binary"), "pieces")
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(how.ranges, -(-whole // how.range_bytes)))
+    splitters = sampled_splitters(docs, ranges, whole, how)
+    dealt = docs.mapInArrow(_deal_stretches(how, splitters), "range int, n int, size long, packed binary")
+    first = tables.write(dealt.repartitionById(ranges, "range").mapInArrow(_sort_range(how), "order long, span long, at long, windows int, lead int, bytes binary"), "first")
     free(spark)
+    pieces = first.filter("span is null").drop("span")
     shared = how.length - how.piece + 1
     parts = max(1, -(-pieces.count() // how.bucket_pieces))
     core = F.substring("bytes", F.col("lead") + 1, F.lit(shared))
-    dealt = pieces.repartitionByRange(parts, core, "order", "at").sortWithinPartitions(core, "order", "at")
+    dealt = pieces.repartitionByRange(parts, core, "order", "at")
     sorted_ = tables.write(dealt.mapInArrow(_sort_bucket(how, shared), "order long, span long, window binary, at long"), "sorted")
-    tables.drop("pieces")
     free(spark)
     # a window comes once at most from each bucket that its group reaches into
     met = sorted_.filter("window is not null").groupBy("window").agg(F.sort_array(F.collect_set(F.struct("order", "at"))).alias("places"))
@@ -437,11 +512,12 @@ def repeated_spans(docs: DataFrame, tables: SharedTables, how: Repeats = Repeats
 
 
 def free(spark) -> None:
-    """Lets Spark delete the shuffle files of jobs that are done."""
+    """Lets Spark delete the shuffle files of jobs that are done; only saves disk, and does nothing where the session has no JVM gateway."""
     import gc
 
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if (context := getattr(spark, "sparkContext", None)) is not None:
+        context._jvm.System.gc()
 
 
 def merged(spans):
@@ -463,35 +539,37 @@ OUTPUTS = {
 }
 
 
-def _remove(kept: list[str], text: str, outputs: tuple[str, ...]):
+def _remove(kept: list[str], value_name: str, spans_name: str, outputs: tuple[str, ...]):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            columns: dict[str, list] = {n: [] for n in outputs}
-            codes = batch.column("__spans")
-            for i, value in enumerate(batch.column("__bytes").to_pylist()):
-                start, end = merged(codes[i].values.to_numpy()) if codes[i].is_valid else merged([])
-                at, left = 0, []
-                for a, b in zip(start.tolist(), end.tolist()):
-                    left.append(value[at:a])
-                    at = b
-                left = b"".join([*left, value[at:]]) if at else value
-                made = {"n_bytes": len(value), "n_removed": len(value) - len(left), "n_spans": len(start)}
-                for n in outputs:
-                    if n == "kept_sha256":
-                        made[n] = hashlib.sha256(left).hexdigest()
-                    elif n == "kept_bytes":
-                        made[n] = left
-                    elif n == "kept_text":
-                        made[n] = left.decode("utf-8", "ignore")
-                    elif n == "spans":
-                        made[n] = [{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist())]
-                    columns[n].append(made[n])
-            kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_bytes": pa.binary(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[pa.array(columns[n], kinds.get(n, pa.string())) for n in outputs]], names=[*kept, *outputs])
-
-    return run
+        kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_bytes": pa.binary(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
+        for whole in batches:
+            for i in range(0, whole.num_rows, 32):  # texts can be long
+                batch = whole.slice(i, 32)
+                columns: dict[str, list] = {n: [] for n in outputs}
+                for value, codes in zip(batch.column(value_name), batch.column(spans_name)):
+                    value = value.as_py()
+                    start, end = merged(codes.values.to_numpy()) if codes.is_valid else merged([])
+                    at, left = 0, []
+                    for a, b in zip(start.tolist(), end.tolist()):
+                        left.append(value[at:a])
+                        at = b
+                    left = b"".join([*left, value[at:]]) if at else value
+                    made = {"n_bytes": len(value), "n_removed": len(value) - len(left), "n_spans": len(start)}
+                    for n in outputs:
+                        if n == "kept_sha256":
+                            made[n] = hashlib.sha256(left).hexdigest()
+                        elif n == "kept_bytes":
+                            made[n] = left
+                        elif n == "kept_text":
+                            made[n] = left.decode("utf-8", "ignore")
+                        elif n == "spans":
+                            made[n] = [{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist())]
+                        columns[n].append(made[n])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[pa.array(columns[n], kinds.get(n, pa.string())) for n in outputs]], names=[*kept, *outputs])
+
+    return lean(run)
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", outputs: tuple[str, ...] = ("n_bytes", "n_removed", "n_spans", "spans", "kept_text"), how: Repeats = Repeats(), keep_source: bool = True) -> DataFrame:
@@ -499,25 +577,30 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", out
 
     A byte goes if a window over it also starts earlier: in a document with a smaller key
     (an integer; null is smallest), or before in the same one. Windows are judged on the
-    input. Null texts count as empty and short ones have no window. Rows that repeat key
-    and text are one document, so neither is the other's earlier place; texts of one key
-    are ordered by hash. kept_text leaves out characters that lost a part of their bytes.
-    Columns of the input with an added name are replaced, others pass through. An empty
-    table gives an empty table."""
+    input. Null texts count as empty and short ones have no window. Texts may be very long
+    (below 2 GB): they are looked at in blocks that overlap, and one document's text is the
+    most that a row holds. Rows that repeat key and text are one document, so neither is
+    the other's earlier place; ties between different texts of one key are broken by their
+    hash. kept_text leaves out characters that lost a part of their bytes. Columns of the
+    input with the name of an output are replaced, all others pass through, whatever their
+    names. An empty table gives an empty table."""
     spark = docs.sparkSession
     tables = SharedTables(spark)
     small_batches(spark)
-    kept = [c for c in docs.columns if c not in outputs and c not in ("order", "__bytes", "__spans") and (keep_source or c != text)]
+    kept = [c for c in docs.columns if c not in outputs and (keep_source or c != text)]
     source = docs.select(*dict.fromkeys([*kept, text, key]))
-    own = ordered_documents(source, key, text, tables)
-    whole = own.select("order", F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    spans = tables.write(repeated_spans(whole, tables, how).groupBy("order").agg(F.collect_list("span").alias("__spans")), "spans")
+    order, value, spans_name, other = fresh([*docs.columns, *outputs], "order", "bytes", "spans", "key")
+    own = ordered_documents(source, key, text, order, tables)
+    whole = own.select(F.col(order).alias("order"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    spans = repeated_spans(whole, tables, how).groupBy("order").agg(F.collect_list("span").alias("spans"))
+    spans = tables.write(spans.select(F.col("order").alias(other), F.col("spans").alias(spans_name)), "spans")
     free(spark)
     tables.drop("first")
     tables.drop("sorted")
-    joined = own.join(spans, "order", "left").select(*kept, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__bytes"), "__spans")
+    joined = own.withColumn(value, F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    joined = joined.select(*kept, value, order).join(spans, F.col(order) == F.col(other), "left").select(*kept, value, spans_name)
     schema = T.StructType([*[docs.schema[c] for c in kept], *[T.StructField(n, OUTPUTS[n]) for n in outputs]])
-    return joined.mapInArrow(_remove(kept, text, outputs), schema)
+    return joined.mapInArrow(_remove(kept, value, spans_name, outputs), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -53,7 +53,7 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("how", [Repeats(), Repeats(bucket_bytes=3000, bucket_pieces=15, block=700, held=50)])
+@pytest.mark.parametrize("how", [Repeats(), Repeats(range_bytes=3000, bucket_pieces=15, block=700, held=50, windows=300)])
 def test_matches_brute_force(spark, how):
     texts = corpus()
     rows = list(texts.items())
