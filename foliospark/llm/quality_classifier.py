@@ -1,30 +1,35 @@
 """Quality classifier by importance resampling.
 
 Two hashed n-gram models, of a target (texts labelled good) and of the raw corpus, give
-every document a log weight: the sum of log target / raw over its n-grams. These are
-taken over the shapes of words (letters, capitals, digits and marks, long runs cut), one and two at a time, and a
-pair tells whether its words are equal; so the models are dense and hold for words
-that no labelled text has. Gumbel noise, seeded by the document's key, is added, and the top k documents
-are taken, which draws k documents without replacement by their weights.
+every document a log weight: the sum of log target / raw over its n-grams, which are its
+lower-cased words, runs of marks, and adjacent pairs of these. Gumbel noise, seeded by
+the document's key, is added, and the top k documents are taken, which draws k documents
+without replacement by their weights.
+
+The weight of a long text is brought to that of a text of `span` n-grams. A sum over
+thousands of n-grams would leave the noise no say, and would make every small difference
+between the models' samples as large as one likes.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass
-from operator import eq
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SharedTables, small_batches
+from .common import SharedTables, fresh, lean, small_batches
 
 
 @dataclass(frozen=True)
 class Resampling:
-    #: Hash buckets of the models, a power of two.
-    buckets: int = 1 << 12
+    #: Hash buckets of the models, a power of two of at most 2**24.
+    buckets: int = 1 << 16
+    #: N-grams whose average log ratio a longer text's weight is made of.
+    span: int = 64
     #: Labelled rows used at most; those with the least hash of their key.
     most_labels: int = 20_000
     #: Counts of the raw distribution added to the target's.
@@ -37,43 +42,37 @@ class Resampling:
     seed: int = 11
 
 
-#: Classes of bytes: small letters and all beyond ASCII, capitals, digits; marks stand for themselves.
-_CLASSES = bytes(ord("a") if 97 <= b <= 122 or b >= 128 else ord("A") if 65 <= b <= 90 else ord("0") if 48 <= b <= 57 else b for b in range(256))
-_RUNS = re.compile(rb"(.)\1+", re.S)
+#: Scripts without spaces between words; each of their characters is a token. Fixed ranges of Unicode: Thai to Lao, Myanmar, Khmer, kana, Han.
+UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+MARKS = r"!-/:-@\[-`{-~"
+SPACE = r" \t\n\x0b\x0c\r"
+TOKEN = re.compile(f"[{UNSPACED}]|[{MARKS}]+|[^{SPACE}{MARKS}{UNSPACED}]+")
+#: A pair of equal tokens, whichever they are, is one n-gram; pairs of others are told by their tokens' numbers.
+SAME, PAIR = 0x5BD1E995, 0x2545F491
+#: Words whose numbers a task keeps.
+KNOWN = 100_000
 
 
-class _Shapes(dict):
-    """64-bit hashes of shapes by word, a bounded number of them kept."""
+class _Numbers(dict):
+    """A number of 32 bits for each token, the first of its MD5; a bounded number of them kept."""
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 300_000:
+    def __missing__(self, token: str) -> int:
+        if len(self) >= KNOWN:
             self.clear()
-        found = xxhash.xxh64_intdigest(_RUNS.sub(rb"\1\1", word.translate(_CLASSES)), 1)
-        if len(word) <= 64:
-            self[word] = found
+        found = int.from_bytes(hashlib.md5(token.encode("utf-8", "replace"), usedforsecurity=False).digest()[:4], "big")
+        if len(token) <= 64:
+            self[token] = found
         return found
 
 
-_SHAPES = _Shapes()
-
-
-def features(text: bytes, buckets: int):
-    """Bucket numbers of all words and adjacent word pairs of a whole text."""
+def features(text: str, buckets: int, numbers: dict | None = None):
+    """Bucket numbers of all tokens and adjacent pairs of a whole text."""
     import numpy as np
 
-    words = text.split()
-    one = np.fromiter(map(_SHAPES.__getitem__, words), np.uint64, len(words))
-    alike = np.fromiter(map(eq, words, words[1:]), bool, max(0, len(words) - 1))
-    two = one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:] + alike * np.uint64(0xD6E8FEB86659FD93)
-    return (np.concatenate([one, two]) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64)
-
-
-def _texts(batch, name: str):
-    import pyarrow as pa
-
-    return [v or b"" for v in batch.column(name).cast(pa.large_binary()).to_pylist()]
+    own = TOKEN.findall(text.lower())
+    one = np.fromiter(map((_Numbers() if numbers is None else numbers).__getitem__, own), np.int64, len(own))
+    two = np.where(one[:-1] == one[1:], SAME, one[:-1] * PAIR + one[1:])
+    return np.concatenate([one, two >> 24]) & (buckets - 1)
 
 
 def bucket_counts(docs: DataFrame, text: str, buckets: int) -> DataFrame:
@@ -83,17 +82,17 @@ def bucket_counts(docs: DataFrame, text: str, buckets: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        raw, target, numbers = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64), _Numbers()
         for batch in batches:
-            for value, good in zip(_texts(batch, text), batch.column("target").to_pylist()):
-                found = np.bincount(features(value, buckets), minlength=buckets)
-                raw += found
+            for value, good in zip(batch.column(text).to_pylist(), batch.column("target").to_pylist()):
+                found, n = np.unique(features(value or "", buckets, numbers), return_counts=True)
+                raw[found] += n
                 if good:
-                    target += found
+                    target[found] += n
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
 
-    made = docs.select(text, "target").mapInArrow(run, "bucket long, raw long, target long")
+    made = docs.select(text, "target").mapInArrow(lean(run), "bucket long, raw long, target long")
     return made.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
@@ -109,27 +108,33 @@ def log_ratio(counts: DataFrame, how: Resampling):
     return np.log((target + how.smoothing) / (raw * (target.sum() / raw.sum()) + how.smoothing))
 
 
-def add_log_weight(docs: DataFrame, text: str, ratio, how: Resampling) -> DataFrame:
+def add_log_weight(docs: DataFrame, text: str, ratio, how: Resampling, keep_text: bool = True) -> DataFrame:
     """Adds log_weight, 0 for a text without words, and n_features."""
     added = {"log_weight": T.DoubleType(), "n_features": T.LongType()}
-    kept = [c for c in docs.columns if c not in added]
+    kept = [c for c in docs.columns if c not in added and (keep_text or c != text)]
     ratio = ratio.astype("float64")
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
+        numbers = _Numbers()
         for batch in batches:
-            weights = [(float(ratio[f].sum()), len(f)) for f in (features(v, how.buckets) for v in _texts(batch, text))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array([w[0] for w in weights], pa.float64()), pa.array([w[1] for w in weights], pa.int64())], names=[*kept, *added])
+            found = [features(v or "", how.buckets, numbers) for v in batch.column(text).to_pylist()]
+            weights = [float(ratio[f].sum()) * min(1.0, how.span / max(1, len(f))) for f in found]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(weights, pa.float64()), pa.array([len(f) for f in found], pa.int64())], names=[*kept, *added])
+
+    schema = T.StructType([*[docs.schema[c] for c in kept], *[T.StructField(n, t) for n, t in added.items()]])
+    return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(lean(run), schema)
 
-    return docs.select(*kept).mapInArrow(run, T.StructType([*[docs.schema[c] for c in kept], *[T.StructField(n, t) for n, t in added.items()]]))
+
+def seeded(key: Column, seed: int | str) -> Column:
+    """52 bits of the MD5 of seed and key, as an integer."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary")), 1, 13), 16, 10).cast("long")
 
 
 def gumbel(key: Column, seed: int) -> Column:
     """Standard Gumbel noise that depends on key and seed only."""
-    draw = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), key.cast("string")), 11) + 0.5) / F.lit(float(1 << 53))
-    return -F.log(-F.log(draw))
+    return -F.log(-F.log((seeded(key, seed) + 0.5) / F.lit(float(1 << 52))))
 
 
 def as_integer(value: Column) -> Column:
@@ -157,45 +162,85 @@ def kth_largest(values: DataFrame, k: int) -> int:
     return prefix
 
 
-def good_sample(labels: DataFrame, key: str, most: int) -> DataFrame:
-    """(key, quality) of a bounded number of labelled documents, those with the least hash."""
-    known = labels.filter(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(key).agg(F.max("quality").alias("quality"))
-    return known.orderBy(F.xxhash64(key), key).limit(most)
+def label_sample(labels: DataFrame, key: str, most: int) -> DataFrame:
+    """(key, quality, half) of a bounded number of labelled documents, those with the least hash."""
+    known = labels.filter(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max("quality").alias("quality"))
+    return known.orderBy(seeded(F.col("key"), "label"), "key").limit(most).withColumn("half", seeded(F.col("key"), "half") % 2 == 0)
 
 
-def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", how: Resampling = Resampling()) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", how: Resampling = Resampling(), keep_text: bool = True) -> DataFrame:
     """Adds log_weight, n_features, draw (log weight with noise, in steps of 2**-20) and kept.
 
     The raw model counts all documents, and each is drawn from. The target model counts
     the documents of quality 1 in half of a bounded sample of labels; labels is (key, quality).
     k is the number of documents whose log weight reaches the floor, by default one
-    that nearly all good ones of the labelled rows reach which the target doesn't count. Null, empty and blank
-    texts have log weight 0. Repeated rows with one key share their noise; rows that tie
-    with the k-th are all kept. With no label that fits, all log weights are 0 and all
-    rows are kept. Columns of the input with an added name are replaced. An empty table
-    gives an empty table."""
+    that nearly all good ones of the labelled rows reach which the target doesn't count.
+
+    Null, empty and blank texts have log weight 0. Texts are read whole, however long; one
+    is the most that a task holds of tokens. Repeated rows with one key, or none, share
+    their noise; rows that tie with the k-th are all kept. With no label that fits, all
+    log weights are 0 and all rows are kept. Columns of the input with an added name are
+    replaced, all others pass through. An empty table gives an empty table. Texts are
+    read twice: for the models, and for the weights, which are written with the rows."""
     spark = docs.sparkSession
     tables = SharedTables(spark)
     small_batches(spark)
     docs = docs.drop("log_weight", "n_features", "draw", "kept")
-    sample = tables.write(good_sample(labels, key, how.most_labels).select(F.col(key).alias("__key"), F.col("quality").alias("__quality"), (F.xxhash64(F.lit("half"), key) % 2 == 0).alias("__half")), "labels")
+    sample = tables.write(label_sample(labels, key, how.most_labels), "labels")
+    target = sample.filter("quality = 1 and half").select("key", F.lit(True).alias("target"))
     # the sample is bounded by most_labels
-    marked = lambda d: d.join(F.broadcast(sample), F.col(key) == F.col("__key"), "left").drop("__key")
-    counts = bucket_counts(marked(docs.select(key, text)).withColumn("target", F.coalesce((F.col("__quality") == 1) & F.col("__half"), F.lit(False))), text, how.buckets)
-    ratio = log_ratio(counts, how)
-    weighed = add_log_weight(docs, text, ratio, how).withColumn("draw", as_integer(F.col("log_weight") + gumbel(F.col(key), how.seed)))
-    scores = tables.write(marked(weighed.select(key, "log_weight", F.col("draw").alias("key"))).select("key", "log_weight", (F.coalesce("__quality", F.lit(0)) == 1).alias("good"), "__half"), "scores")
+    marked = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(target), "key", "left")
+    ratio = log_ratio(bucket_counts(marked, "text", how.buckets), how)
+    weighed = tables.write(add_log_weight(docs, text, ratio, how, keep_text).withColumn("draw", as_integer(F.col("log_weight") + gumbel(F.col(key), how.seed))), "weighed")
     floor = how.floor
     if floor is None:
-        good = scores.filter("good and not __half").select(as_integer(F.col("log_weight")).alias("key"))
+        held = sample.filter("quality = 1 and not half").select("key")
+        good = weighed.select(F.col(key).alias("key"), as_integer(F.col("log_weight")).alias("w")).join(F.broadcast(held), "key", "left_semi").select(F.col("w").alias("key"))
         n = good.count()
         floor = (kth_largest(good, max(1, n - int(how.lose * n))) - (1 << 62)) / (1 << 20) - how.margin if n else float("-inf")
-    k = scores.filter(F.col("log_weight") >= F.lit(floor)).count()
-    least = kth_largest(scores.select("key"), k) if k else 1 << 62
+    k = weighed.filter(F.col("log_weight") >= F.lit(floor)).count()
+    least = kth_largest(weighed.select(F.col("draw").alias("key")), k) if k else 1 << 62
     return weighed.withColumn("kept", (F.col("draw") >= F.lit(least)) & F.lit(k > 0)).withColumn("draw", (F.col("draw") - F.lit(1 << 62)) / F.lit(float(1 << 20)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    return classify(docs, labels).drop("text")
+    return classify(docs, labels, keep_text=False).select("doc_id", "n_features", F.round("log_weight", 6).alias("log_weight"), "kept")
+
+
+_CLASS = re.sub(r"\\[uU]0*([0-9a-f]{4,})", r"\\x{\1}", UNSPACED)
+SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[{_CLASS}]|[{MARKS}]+|[^{SPACE}{MARKS}{_CLASS}]+') AS t FROM documents
+), w AS (
+  SELECT r, doc_id, unnest(t) AS t, generate_subscripts(t, 1) AS i FROM d
+), h AS (
+  SELECT t, ('0x' || substr(md5(t), 1, 8))::BIGINT AS h FROM (SELECT DISTINCT t FROM w)
+), n AS (
+  SELECT r, doc_id, h, lead(h) OVER (PARTITION BY r ORDER BY i) AS g FROM w JOIN h USING (t)
+), f AS (
+  SELECT r, doc_id, h & 65535 AS b FROM n
+  UNION ALL SELECT r, doc_id, (CASE WHEN h = g THEN {SAME} ELSE h * {PAIR} + g END >> 24) & 65535 FROM n WHERE g IS NOT NULL
+), lab AS (
+  SELECT doc_id, max(quality) AS quality, ('0x' || substr(md5('half:' || doc_id::VARCHAR), 1, 13))::BIGINT % 2 = 0 AS half
+  FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id
+  ORDER BY ('0x' || substr(md5('label:' || doc_id::VARCHAR), 1, 13))::BIGINT, doc_id LIMIT 20000
+), c AS (
+  SELECT b, count(*)::DOUBLE AS raw, count(*) FILTER (lab.quality = 1 AND lab.half)::DOUBLE AS target FROM f LEFT JOIN lab USING (doc_id) GROUP BY b
+), m AS (
+  SELECT b, CASE WHEN sum(target) OVER () = 0 THEN 0 ELSE ln((target + 10) / (raw * (sum(target) OVER () / sum(raw) OVER ()) + 10)) END AS ratio FROM c
+), s AS (
+  SELECT r, sum(ratio) * least(1.0, 64.0 / count(*)) AS x, count(*) AS n FROM f JOIN m USING (b) GROUP BY r
+), v AS (
+  SELECT r, doc_id, coalesce(n, 0) AS n_features, coalesce(x, 0) AS x,
+    coalesce(x, 0) - ln(-ln((('0x' || substr(md5('11:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5) / 4503599627370496)) AS draw
+  FROM d LEFT JOIN s USING (r)
+), held AS (
+  SELECT x, row_number() OVER (ORDER BY x DESC) AS rank, count(*) OVER () AS n FROM v JOIN lab USING (doc_id) WHERE quality = 1 AND NOT half
+), bound AS (
+  SELECT coalesce(max(floor(x * 1048576) / 1048576) - 3, '-infinity'::DOUBLE) AS least FROM held WHERE rank = greatest(1, n - floor(0.001 * n))
+), k AS (SELECT count(*) AS k FROM v, bound WHERE x >= least),
+o AS (SELECT floor(draw * 1048576) AS draw, row_number() OVER (ORDER BY draw DESC) AS rank FROM v)
+SELECT doc_id, n_features, round(x, 6) AS log_weight, coalesce(floor(v.draw * 1048576) >= (SELECT o.draw FROM o, k WHERE rank = k), false) AS kept FROM v
+"""

@@ -22,5 +22,6 @@ SQL = {
     "op3_mixing": mixing.SQL,
     "op5_embedding_dedup": embedding_dedup.SQL,
     "op6_url_filter": url_filter.SQL,
+    "op7_quality_classifier": quality_classifier.SQL,
     "op9_chat_format": chat_format.SQL,
 }
