@@ -1,12 +1,14 @@
 """Embedding near-dedup by an exact metric range join.
 
 Unit vectors link if their distance is at most r, which is the cosine in other terms.
-Each belongs to the cell of its nearest pivot. By the triangle inequality a vector of
-another cell can only link into a cell if it is not much nearer to its own pivot, and
-not farther from the cell's pivot than the cell's radius and r; such vectors are copied
-to that cell. So cells join independently. A cell's own vectors are dealt out in chunks
-that each meet the whole cell, so that no cell is one task, and a task holds one chunk
-and a block of what it meets.
+Each belongs to the cell of its nearest pivot; pivots are the means of a clustered
+sample. Two cells meet once, in one of them: a vector of the other cell is copied there
+only if it can have a link in it. By the triangle inequality it then is no farther from
+the cell's pivot than the cell's radius and r, and no nearer than the least distance in
+the cell less r; and it lies within r of the plane between both pivots. So cells join
+independently. A cell's own vectors are dealt out in chunks, which meet each other in
+the same way, so that no cell is one task; a task holds one chunk and a block of what
+it meets.
 """
 
 from __future__ import annotations
@@ -17,18 +19,22 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SharedTables, connected_components
+from .common import SharedTables, connected_components, lean
 
 
 @dataclass(frozen=True)
 class RangeJoin:
     cosine: float = 0.9
-    #: Vectors for each pivot, but no more pivots than this.
+    #: Vectors for each pivot, but no more pivots than this; a cell of more vectors than a chunk is dealt out in several.
     cell: int = 4096
-    pivots: int = 512
+    pivots: int = 4096
     #: A cell's own vectors in one chunk, and vectors met at a time.
-    chunk: int = 4096
+    chunk: int = 8192
     block: int = 1024
+    #: Sampled vectors for each pivot, no more than this in all, and rounds of their clustering.
+    sample: int = 64
+    most_sampled: int = 65_536
+    rounds: int = 4
 
 
 def _unit(rows):
@@ -40,10 +46,39 @@ def _unit(rows):
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def _matrix(column, d: int):
+def _matrix(column, d: int, kind: str):
+    """The vectors as they came, of a column of their bytes."""
     import numpy as np
 
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, d)
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, d)
+
+
+def spread_pivots(sample, count: int, rounds: int):
+    """The means of so many clusters of the unit vectors of a sample, from starts far from each other."""
+    import numpy as np
+
+    at = np.empty(count, np.int64)
+    at[0], far = 0, np.full(len(sample), np.inf)
+    rng = np.random.RandomState(5)
+    for i in range(1, count):  # each start is drawn by its squared distance from those before
+        far = np.minimum(far, np.maximum(0, 2 - 2 * sample @ sample[at[i - 1]]))
+        total = far.sum()
+        at[i] = min(np.searchsorted(np.cumsum(far), rng.uniform() * total), len(sample) - 1) if total > 0 else i
+    pivots = sample[at].copy()
+    for _ in range(rounds):
+        own = np.concatenate([_nearest(sample[i : i + 4096], pivots)[1] for i in range(0, len(sample), 4096)])
+        sums, n = np.zeros_like(pivots), np.bincount(own, minlength=count)
+        np.add.at(sums, own, sample)
+        pivots[n > 0] = sums[n > 0] / n[n > 0, None]
+    return pivots
+
+
+def _nearest(rows, pivots):
+    """(distances from all pivots, nearest) of some unit vectors."""
+    import numpy as np
+
+    apart = np.sqrt(np.maximum(0, 1 + (pivots * pivots).sum(axis=1)[None, :] - 2 * rows @ pivots.T))
+    return apart, apart.argmin(axis=1)
 
 
 def usable(vector):
@@ -52,8 +87,8 @@ def usable(vector):
     return F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _cells(distinct: DataFrame, pivots, d: int) -> DataFrame:
-    """(id, n, unit, cell, at): unit vectors as bytes with their nearest pivot and its distance."""
+def _cells(distinct: DataFrame, pivots, d: int, kind: str) -> DataFrame:
+    """(id, n, raw, cell, at): vectors as bytes with their nearest pivot and its distance."""
 
     def run(batches):
         import numpy as np
@@ -62,119 +97,154 @@ def _cells(distinct: DataFrame, pivots, d: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = _unit(np.array(batch.column("vector").to_pylist(), np.float64).reshape(-1, d))
-            apart = np.sqrt(np.maximum(0, 2 - 2 * rows @ pivots.T))
-            cell = apart.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(cell, pa.int32()), pa.array(apart[np.arange(len(cell)), cell])], names=["id", "n", "unit", "cell", "at"])
+            raw = np.array(batch.column("vector").to_pylist(), kind).reshape(-1, d)
+            apart, cell = _nearest(_unit(raw), pivots)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), pa.array([r.tobytes() for r in raw], pa.binary()), pa.array(cell, pa.int32()), pa.array(apart[np.arange(len(cell)), cell])], names=["id", "n", "raw", "cell", "at"])
 
-    return distinct.select("id", "n", "vector").mapInArrow(run, "id long, n long, unit binary, cell int, at double")
+    return distinct.select("id", "n", "vector").mapInArrow(lean(run), "id long, n long, raw binary, cell int, at double")
 
 
-def _deal(cells: DataFrame, pivots, radius, chunks, reach: float, chunk_seed: int, d: int) -> DataFrame:
-    """(cell, chunk, role, id, n, unit): role 0 for a chunk's own vectors, 1 for all that the chunk meets."""
+def _deal(cells: DataFrame, pivots, near, radius, chunks, reach: float, d: int, kind: str) -> DataFrame:
+    """(cell, chunk, role, id, n, raw): role 0 for a chunk's own vectors, 1 for those that visit it. Two chunks meet in one of them."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        between = np.sqrt(np.maximum(0, (pivots * pivots).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2 * pivots @ pivots.T))
+        cell_numbers = np.arange(len(pivots))
+        slack = reach + 1e-6
         for batch in batches:
-            rows, own, at = _matrix(batch.column("unit"), d), batch.column("cell").to_numpy(), batch.column("at").to_numpy()
-            ids = batch.column("id").to_numpy()
-            apart = np.sqrt(np.maximum(0, 2 - 2 * rows @ pivots.T))
-            slack = reach + 1e-9
-            meets = (apart <= at[:, None] + 2 * slack) & (apart <= radius[None, :] + slack) & (chunks[None, :] > 0)
-            meets[np.arange(len(own)), own] = True
+            if not batch.num_rows:
+                continue
+            own, at, ids = batch.column("cell").to_numpy(), batch.column("at").to_numpy(), batch.column("id").to_numpy()
+            apart, _ = _nearest(_unit(_matrix(batch.column("raw"), d, kind)), pivots)
+            # of two cells, the one in which they meet depends on their numbers, so that all get alike many
+            here = ((own[:, None] + cell_numbers) % 2 == 0) == (own[:, None] < cell_numbers)
+            meets = here & (own[:, None] != cell_numbers) & (chunks[None, :] > 0)
+            meets &= (apart <= radius[None, :] + slack) & (apart >= near[None, :] - slack)
+            meets &= apart * apart - (at * at)[:, None] <= 2 * slack * between[own] + 1e-6
+            chunk = ((ids.astype(np.uint64) ^ np.uint64(0x5BD1E995)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % chunks[own]
             row, cell = np.nonzero(meets)
             times = chunks[cell]
             row, cell = np.repeat(row, times), np.repeat(cell, times)
-            chunk = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-            mix = (ids.astype(np.uint64) ^ np.uint64(chunk_seed)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            there = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            # chunks of the own cell with lower numbers
+            lower = np.repeat(np.arange(len(own)), chunk)
+            least = np.arange(len(lower)) - np.repeat(np.cumsum(chunk) - chunk, chunk)
             everyone = np.arange(len(own))
-            row, role = np.concatenate([everyone, row]), np.concatenate([np.zeros(len(own), np.int32), np.ones(len(row), np.int32)])
-            cell, chunk = np.concatenate([own, cell]), np.concatenate([mix.astype(np.int64) % chunks[own], chunk])
+            row, role = np.concatenate([everyone, row, lower]), np.concatenate([np.zeros(len(own), np.int32), np.ones(len(row) + len(lower), np.int32)])
+            cell, there = np.concatenate([own, cell, own[lower]]), np.concatenate([chunk, there, least])
             for i in range(0, len(row), 2048):
                 at_rows = pa.array(row[i : i + 2048])
-                yield pa.RecordBatch.from_arrays([pa.array(cell[i : i + 2048], pa.int32()), pa.array(chunk[i : i + 2048], pa.int32()), pa.array(role[i : i + 2048]), *[batch.column(c).take(at_rows) for c in ("id", "n", "unit")]], names=["cell", "chunk", "role", "id", "n", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell[i : i + 2048], pa.int32()), pa.array(there[i : i + 2048], pa.int32()), pa.array(role[i : i + 2048]), *[batch.column(c).take(at_rows) for c in ("id", "n", "raw")]], names=["cell", "chunk", "role", "id", "n", "raw"])
+
+    return cells.mapInArrow(lean(run), "cell int, chunk int, role int, id long, n long, raw binary")
+
+
+class _Chunk:
+    """A chunk's own vectors, and their links with those met."""
+
+    def __init__(self, how: RangeJoin, d: int):
+        self.how, self.margin = how, max(1e-5, 4e-7 * d)
+        self.parts: list = []
+        self.rows = None
 
-    return cells.mapInArrow(run, "cell int, chunk int, role int, id long, n long, unit binary")
+    def close(self):
+        """All own vectors are there: they meet each other."""
+        import numpy as np
+
+        self.ids, self.n, self.rows = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts.clear()
+        self.small, self.label, self.links = self.rows.astype(np.float32), np.arange(len(self.ids)), np.zeros(len(self.ids), np.int64)
+        for i in range(0, len(self.ids), self.how.block):
+            self.meet(self.ids[i : i + self.how.block], self.n[i : i + self.how.block], self.rows[i : i + self.how.block], False)
+
+    def meet(self, ids, n, rows, visit: bool):
+        """One block against the own vectors: (u, v, links) of the block's, or none. Visitors get links, too."""
+        import numpy as np
+
+        from .simhash import _roots
+
+        cosine = self.small @ rows.astype(np.float32).T
+        linked = cosine >= self.how.cosine - self.margin
+        q, w = np.nonzero(linked)
+        unsure = np.flatnonzero(cosine[q, w] < self.how.cosine + self.margin)
+        for i in range(0, len(unsure), 65536):
+            a, b = q[unsure[i : i + 65536]], w[unsure[i : i + 65536]]
+            linked[a, b] = np.einsum("ij,ij->i", self.rows[a], rows[b]) >= self.how.cosine
+        if len(unsure):
+            q, w = np.nonzero(linked)
+        if not len(q):
+            return None
+        np.add.at(self.links, q, n[w])
+        some, first = np.unique(w, return_index=False), linked.argmax(axis=0)
+        self.label = _roots(len(self.label), np.concatenate([np.arange(len(self.label)), q]), np.concatenate([self.label, first[w]]))
+        if not visit:
+            return None
+        links = np.zeros(len(ids), np.int64)
+        np.add.at(links, w, self.n[q])
+        return np.repeat(ids[some], 2), np.stack([self.ids[first[some]], np.zeros(len(some), np.int64)], axis=1).ravel(), np.stack([np.full(len(some), -1), links[some]], axis=1).ravel()
+
+    def found(self):
+        import numpy as np
+
+        tied = np.flatnonzero(self.label != np.arange(len(self.label)))
+        u = np.concatenate([self.ids[tied], self.ids])
+        return u, np.concatenate([self.ids[self.label[tied]], np.zeros(len(self.ids), np.int64)]), np.concatenate([np.full(len(tied), -1), self.links])
 
 
-def _join_chunks(how: RangeJoin, d: int):
-    """Streams sorted chunks and gives rows (u, v, links): a tie of two vectors of one component, or v null and the number of rows linked to u."""
+def _join_chunks(how: RangeJoin, d: int, kind: str):
+    """Streams sorted chunks and gives rows (u, v, links): a tie of two vectors of one component, with links -1, or a number of rows linked to u, u's own among them."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        from .simhash import _roots
+        key, chunk = None, None
+        waiting: list = []
+
+        def out(found):
+            if found is not None and len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["u", "v", "links"])
 
-        margin = max(1e-5, 4e-7 * d)
-        key, own, met = None, None, None
-
-        def out(u, v, links):
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(links, pa.int64())], names=["u", "v", "links"])
-
-        def start():
-            n = len(own["ids"])
-            own.update(ids=np.concatenate(own["ids"]), rows=np.concatenate(own["rows"])) if n else None
-            own.update(small=own["rows"].astype(np.float32), label=np.arange(len(own["ids"])), links=np.zeros(len(own["ids"]), np.int64))
-
-        def meet(ids, n, rows):
-            """One block against the chunk's own vectors."""
-            cosine = own["small"] @ rows.astype(np.float32).T
-            linked = cosine >= how.cosine + margin
-            q, w = np.nonzero(np.abs(cosine - how.cosine) <= margin)
-            for i in range(0, len(q), 65536):
-                a, b = q[i : i + 65536], w[i : i + 65536]
-                linked[a, b] = np.einsum("ij,ij->i", own["rows"][a], rows[b]) >= how.cosine
-            own["links"] += linked @ n
-            some = np.flatnonzero(linked.any(axis=0))
-            if not len(some):
-                return None
-            first = linked[:, some].argmax(axis=0)
-            q, w = np.nonzero(linked[:, some])
-            own["label"] = _roots(len(own["label"]), np.concatenate([np.arange(len(own["label"])), q]), np.concatenate([own["label"], first[w]]))
-            apart = own["ids"][first] != ids[some]
-            return out(ids[some][apart], own["ids"][first][apart], np.full(apart.sum(), -1))
+        def visit(least: int):
+            """Lets those that wait meet the chunk, if they are so many."""
+            if not waiting or sum(len(x[0]) for x in waiting) < least:
+                return
+            ids, n, rows = (np.concatenate(x) for x in zip(*waiting))
+            waiting.clear()
+            for i in range(0, len(ids), how.block):
+                yield from out(chunk.meet(ids[i : i + how.block], n[i : i + how.block], rows[i : i + how.block], True))
 
         def finish():
-            tied = np.flatnonzero(own["label"] != np.arange(len(own["label"])))
-            yield out(own["ids"][tied], own["ids"][own["label"][tied]], np.full(len(tied), -1))
-            yield out(own["ids"], np.zeros(len(own["ids"]), np.int64), own["links"] - 1)
+            if chunk is not None and (chunk.parts or chunk.rows is not None):
+                if chunk.rows is None:
+                    chunk.close()
+                yield from visit(1)
+                yield from out(chunk.found())
+            waiting.clear()
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell, chunk, role, ids, n = (batch.column(c).to_numpy() for c in ("cell", "chunk", "role", "id", "n"))
-            rows = _matrix(batch.column("unit"), d)
-            change = np.flatnonzero((cell[1:] != cell[:-1]) | (chunk[1:] != chunk[:-1]) | (role[1:] != role[:-1])) + 1
+            cell, number, role, ids, n = (batch.column(c).to_numpy() for c in ("cell", "chunk", "role", "id", "n"))
+            rows = _unit(_matrix(batch.column("raw"), d, kind))
+            change = np.flatnonzero((cell[1:] != cell[:-1]) | (number[1:] != number[:-1]) | (role[1:] != role[:-1])) + 1
             for i, j in zip([0, *change], [*change, len(cell)]):
-                now = (cell[i], chunk[i])
-                if now != key:
-                    if own is not None:
-                        if not met:
-                            start()
-                        yield from finish()
-                    key, own, met = now, {"ids": [], "rows": []}, False
+                if (cell[i], number[i]) != key:
+                    yield from finish()
+                    key, chunk = (cell[i], number[i]), _Chunk(how, d)
                 if role[i] == 0:
-                    own["ids"].append(ids[i:j])
-                    own["rows"].append(rows[i:j])
-                    continue
-                if own is None:
-                    continue
-                if not met:
-                    if not own["ids"]:  # no vector was dealt to this chunk
-                        own = None
-                        continue
-                    start()
-                    met = True
-                for k in range(i, j, how.block):
-                    if (made := meet(ids[k : min(j, k + how.block)], n[k : min(j, k + how.block)], rows[k : min(j, k + how.block)])) is not None:
-                        yield made
-        if own is not None:
-            yield from finish()
-
-    return run
+                    chunk.parts.append((ids[i:j], n[i:j], rows[i:j]))
+                elif chunk.parts or chunk.rows is not None:  # else no vector was dealt to this chunk
+                    if chunk.rows is None:
+                        chunk.close()
+                    waiting.append((ids[i:j], n[i:j], rows[i:j]))
+                    yield from visit(how.block)
+        yield from finish()
+
+    return lean(run)
 
 
 def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", how: RangeJoin = RangeJoin()) -> DataFrame:
@@ -184,15 +254,21 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     the smallest key reachable. Null, empty and zero vectors and those with a null or
     non-finite component link with nothing, equal ones included; vectors of different
     length don't link. Rows are compared whatever their keys; rows with a null key stay,
-    with kept null where their component has no other key. Other columns are dropped.
-    An empty table gives an empty table. Memory of a task is bounded by chunk and block."""
+    with kept null where their component has no other key. Repeated rows and ties of keys
+    need no order. Other columns are dropped, whatever their names. An empty table gives
+    an empty table. Memory of a task is bounded by chunk and block, and by one batch of
+    vectors, however long these are."""
     import numpy as np
 
     spark = rows.sparkSession
     tables = SharedTables(spark)
-    own = rows.select(F.col(key).alias("key"), F.col(vector).alias("vector")).withColumn("fine", usable(F.col("vector")))
+    element = rows.schema[vector].dataType.elementType.typeName()
+    kind = "float32" if element == "float" else "float64"
+    own = rows.select(F.col(key).alias("key"), F.col(vector).alias("vector")).withColumn("fine", usable(F.col("vector"))).withColumn("hash", F.xxhash64("vector"))
     grouped = own.filter("fine").groupBy("vector").agg(F.min("key").alias("least"), F.count("*").alias("n"))
-    distinct = tables.write(grouped.withColumn("id", F.monotonically_increasing_id()), "distinct")
+    distinct = tables.write(grouped.withColumns({"id": F.monotonically_increasing_id(), "hash": F.xxhash64("vector")}), "distinct")
+    # rows find their vector again by its hash, or by itself should two of one hash exist
+    by = ["hash"] if distinct.groupBy("hash").count().filter("count > 1").isEmpty() else ["hash", "vector"]
     lengths = [r.d for r in distinct.groupBy(F.size("vector").alias("d")).count().orderBy("d").collect()]
     ties, reach = None, math.sqrt(2 - 2 * how.cosine)
     for d in lengths:
@@ -200,25 +276,29 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
         count = same.count()
         wanted = max(1, min(how.pivots, -(-count // how.cell)))
         # a bounded number of rows, in an order that says nothing about the vectors
-        picked = same.select("vector", F.xxhash64("vector").alias("h")).orderBy("h", "vector").limit(wanted).collect()
-        pivots = _unit(np.array([r.vector for r in picked], np.float64).reshape(-1, d))
-        cells = tables.write(_cells(same, pivots, d), f"cells-{d}")
-        radius, chunks = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
-        for r in cells.groupBy("cell").agg(F.max("at").alias("far"), F.count("*").alias("n")).collect():
-            radius[r.cell], chunks[r.cell] = r.far, -(-r.n // how.chunk)
-        dealt = _deal(cells, pivots, radius, chunks, reach, 0x5BD1E995, d)
-        ordered = dealt.repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", "role")
-        found = tables.write(ordered.mapInArrow(_join_chunks(how, d), "u long, v long, links long"), f"found-{d}")
+        picked = same.select("vector", "hash").orderBy("hash", "vector").limit(min(how.most_sampled, how.sample * wanted)).collect() if wanted > 1 else same.select("vector").limit(1).collect()
+        sample = _unit(np.array([r.vector for r in picked], np.float64).reshape(-1, d))
+        pivots = spread_pivots(sample, min(wanted, len(sample)), how.rounds)
+        cells = tables.write(_cells(same, pivots, d, kind), f"cells-{d}")
+        near, radius, chunks = np.zeros(len(pivots)), np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
+        for r in cells.groupBy("cell").agg(F.min("at").alias("near"), F.max("at").alias("far"), F.count("*").alias("n")).collect():
+            near[r.cell], radius[r.cell], chunks[r.cell] = r.near, r.far, -(-r.n // how.chunk)
+        dealt = _deal(cells, pivots, near, radius, chunks, reach, d, kind)
+        ordered = dealt.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(int(chunks.sum()), 100_000)), "cell", "chunk").sortWithinPartitions("cell", "chunk", "role")
+        found = tables.write(ordered.mapInArrow(_join_chunks(how, d, kind), "u long, v long, links long"), f"found-{d}")
         ties = found if ties is None else ties.unionByName(found)
     if ties is None:
         ties = spark.createDataFrame([], "u long, v long, links long")
     components = connected_components(ties.filter("links < 0").select("u", "v"), tables)
-    counts = ties.filter("links >= 0").select(F.col("u").alias("id"), "links")
-    placed = distinct.select("id", "vector", "least").join(counts, "id", "left").join(components, F.col("id") == F.col("node"), "left")
-    placed = placed.select("vector", "least", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    counts = ties.filter("links >= 0").groupBy(F.col("u").alias("id")).agg((F.sum("links") - 1).alias("links"))
+    placed = distinct.select("id", *by, "least").join(counts, "id", "left").join(components, F.col("id") == F.col("node"), "left")
+    placed = placed.select(*by, "least", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component"))
     lowest = placed.groupBy(F.struct("component").alias("c")).agg(F.min("least").alias("component_id")).select("c.component", "component_id")
-    named = placed.join(lowest, "component").select(F.col("vector").alias("v"), "n_links", "component_id")
-    out = own.join(named, F.col("fine") & (F.col("vector") == F.col("v")), "left")
+    named = placed.join(lowest, "component").select(*(F.col(c).alias(f"of_{c}") for c in by), "n_links", "component_id")
+    matches = F.col("fine")
+    for c in by:
+        matches &= F.col(c) == F.col(f"of_{c}")
+    out = own.select("key", "fine", *by).join(named, matches, "left")
     component = F.when(F.col("fine"), F.col("component_id")).otherwise(F.col("key"))
     return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("key") == component).alias("kept"))
 

@@ -145,7 +145,7 @@ def test_similar_roots():
     assert found == [components(range(120), links)[i] for i in range(120)] and len(set(found)) > 5
 
 
-@pytest.mark.parametrize("how", [embedding_dedup.RangeJoin(), embedding_dedup.RangeJoin(cell=20, chunk=7, block=5)])
+@pytest.mark.parametrize("how", [embedding_dedup.RangeJoin(), embedding_dedup.RangeJoin(cell=20, chunk=7, block=5), embedding_dedup.RangeJoin(cell=9, chunk=100, block=64)])
 def test_range_join(spark, how):
     rng = np.random.RandomState(5)
     rows = list(rng.normal(size=(60, 8)))
