@@ -30,6 +30,11 @@ def resource_action(media_type: Column, options: Options) -> Column:
     return F.when(F.contains(media_type, F.lit("font")), options.font_policy).otherwise(options.media_policy)
 
 
+def embedded_bytes(content: Column) -> Column:
+    """Bytes that content takes in base64."""
+    return (F.ceil(F.octet_length(content) / 3) * 4).cast("long")
+
+
 def embed(items: DataFrame) -> DataFrame:
     """(book_id, asset_ord, path, url) with the content in the URL."""
     return items.select("book_id", F.col("item_ord").alias("asset_ord"), normalize_path("name").alias("path"), data_url(F.col("type"), F.col("content")).alias("url"))

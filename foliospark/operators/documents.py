@@ -113,6 +113,11 @@ def resolve_switches(nodes: DataFrame) -> DataFrame:
     return left.filter(~F.coalesce(is_switch(F.col("tag")), F.lit(False)) & F.col("__branch").isNull()).drop("__branch", "__chosen")
 
 
+def switch_counts(nodes: DataFrame) -> DataFrame:
+    """(keys, switches): how many switches a document has, before they are resolved."""
+    return nodes.groupBy(*KEYS).agg(F.count_if(is_switch(F.col("tag"))).alias("switches"))
+
+
 def markers() -> Column:
     """The lower-cased classes and the tokens of three type attributes."""
     parts = [F.transform(tokens(attribute("class")), F.lower), *[tokens(attribute(n)) for n in ("epub:type", "role", "data-epub-type")]]

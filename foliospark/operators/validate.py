@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .assemble import MAIN, TOP
 from .tree import attribute
 
 
@@ -31,7 +32,7 @@ def missing_sources(nodes: DataFrame, files: DataFrame) -> DataFrame:
     return own.filter(~away).join(files.select("book_id", F.col("url").alias("src")).distinct(), ["book_id", "src"], "left_anti")
 
 
-def output_faults(nodes: DataFrame, files: DataFrame, extra_ids: tuple[str, ...] = ("top", "main-content")) -> DataFrame:
+def output_faults(nodes: DataFrame, files: DataFrame, extra_ids: tuple[str, ...] = (TOP, MAIN)) -> DataFrame:
     """(book_id, error, message): a book's first failing check, with what failed in order."""
     shell_ids = dangling_fragments(nodes).filter(~F.col("fragment").isin(*extra_ids))
     parts = [

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import basename, decode_text, file_stem, text_or_null
 from ..operators import assemble, assets, documents, package, preflight, reports, tree, validate
 from ..policy import Options, check_directory_name
 from ..sources import archives
-from ..tables import SharedTables
+from ..watch import Observer, Watch, WatchedTables
 
 WARNING = "book_id string, phase int, doc_ord int, node_id int, code string, message string, location string"
 
@@ -26,9 +28,9 @@ class Conversion:
     warnings: DataFrame
 
 
-def passed(books: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
+def passed(books: DataFrame, options: Options, reader=archives) -> tuple[DataFrame, DataFrame]:
     """(books that pass preflight, faults of the others)."""
-    faults = preflight.preflight(archives.zip_status(books), archives.zip_entries(books), options.limits).filter("rule is not null")
+    faults = preflight.preflight(reader.zip_status(books, options.limits.max_entry_bytes), reader.zip_entries(books), options.limits).filter("rule is not null")
     faults = faults.select("book_id", "error", "message")
     return books.join(faults, "book_id", "left_anti"), faults
 
@@ -39,21 +41,41 @@ def warning(df: DataFrame, phase: int, code, message, location) -> DataFrame:
     return df.select("book_id", F.lit(phase).alias("phase"), order.cast("int").alias("doc_ord"), node.cast("int").alias("node_id"), code.alias("code"), message.alias("message"), location.alias("location"))
 
 
-def convert(books: DataFrame, options: Options = Options()) -> Conversion:
-    """books (book_id, input_ord, path, length, content), as from read_books, to documents of one file each."""
+def convert(books: DataFrame, options: Options = Options(), reader=archives, observer: Observer | None = None, cancelled: Callable[[], bool] | None = None) -> Conversion:
+    """books (book_id, input_ord, path, length, content), as from read_books, to documents of one file each.
+
+    reader gives the tables of archives: zip_status, zip_entries, zip_members and
+    package_rows, each of them from books; by default those of sources.archives. The
+    observer is told of each table that is written. cancelled is asked between tables;
+    options.deadline_seconds ends running jobs too. Both raise Cancelled."""
     options.check()
-    tables = SharedTables(books.sparkSession)
-    good, faults = passed(books, options)
+    with Watch(books.sparkSession, options.deadline_seconds, cancelled, observer) as watch:
+        return _convert(books, options, reader, watch)
+
+
+def _convert(books: DataFrame, options: Options, reader, watch: Watch) -> Conversion:
+    tables = WatchedTables(books.sparkSession, watch)
+    good, faults = passed(books, options, reader)
     faults = tables.write(faults, "preflight")
     good = books.join(faults, "book_id", "left_anti")
-    rows = tables.write(archives.package_rows(good), "packages")
+    rows = tables.write(reader.package_rows(good), "packages")
     faults = faults.unionByName(rows.filter("part = 'error'").select("book_id", F.lit("invalid").alias("error"), F.concat_ws(": ", "key", "value").alias("message")))
     items = package.classify_items(archives.items(rows))
     metadata = archives.metadata(rows)
     ordered = package.spine_slice(package.reading_order(items, archives.spine(rows)), options)
     faults = faults.unionByName(package.count_faults(ordered, items, options.limits))
 
-    members = archives.zip_members(good, options.limits.max_entry_bytes)
+    # members are decompressed once
+    members = tables.write(reader.zip_members(good, options.limits.max_entry_bytes), "members")
+    held = items.join(members.select("book_id", "name", "content"), ["book_id", "name"])
+    images = assets.accept_images(held.filter("kind in ('image', 'svg')"), options)
+    if options.image_strategy == "embed":
+        # what is too large by its embedded images alone is given up before it is built
+        estimate = images.filter("accepted").groupBy("book_id").agg(F.sum(assets.embedded_bytes(F.col("content"))).alias("output_bytes"))
+        large = tables.write(validate.oversized(estimate, options.limits.max_output_bytes), "estimates")
+        faults = faults.unionByName(large)
+        images, ordered = (df.join(large.select("book_id"), "book_id", "left_anti") for df in (images, ordered))
+
     raw = ordered.join(members.select("book_id", "name", "content"), ["book_id", "name"]).withColumn("valid", text_or_null(F.col("content")))
     texts = raw.withColumn("text", F.coalesce("valid", F.when(F.col("valid").isNull(), decode_text("content"))))
     texts = texts.select("book_id", "doc_ord", F.col("name").alias("path"), "text", F.col("valid").isNull().alias("fallback"))
@@ -67,8 +89,6 @@ def convert(books: DataFrame, options: Options = Options()) -> Conversion:
     targets = tables.write(documents.allocate_targets(readable), "targets")
     ids = tables.write(documents.allocate_ids(nodes, targets), "ids")
 
-    held = items.join(members.select("book_id", "name", "content"), ["book_id", "name"])
-    images = assets.accept_images(held.filter("kind in ('image', 'svg')"), options)
     stem = file_stem(basename(F.col("path")))
     names = books.select("book_id", stem.alias("stem"))
     directory = F.replace(F.lit(options.images_dir_name), F.lit("{stem}"), F.col("stem"))
@@ -98,7 +118,9 @@ def convert(books: DataFrame, options: Options = Options()) -> Conversion:
     # the order of the steps matters: warnings for images are given before content is left out
     changed = documents.apply_changes(nodes, documents.id_changes(ids).unionByName(documents.link_changes(nodes, targets, ids)))
     changed = tables.write(changed, "linked")
+    switches = None
     if options.resolve_switch:
+        switches = documents.switch_counts(nodes).groupBy("book_id").agg(F.sum("switches").alias("switches_resolved"))
         changed = tables.write(documents.resolve_switches(changed), "switched")
     references = assets.image_references(changed, targets)
     resolved = tables.write(assets.resolve_assets(references, index), "resolved")
@@ -126,6 +148,8 @@ def convert(books: DataFrame, options: Options = Options()) -> Conversion:
         whole = whole.join(assemble.ordered_text(union, "nav", ["o"], "", "navs"), "book_id", "left")
     else:
         whole = whole.withColumn("navs", F.lit(""))
+    if options.preserve_media_overlays:
+        whole = whole.join(reports.overlay_json(archives.overlays(rows)).withColumnRenamed("json", "overlays"), "book_id", "left")
     shown = assemble.shell(whole, options) if options.wrapped else whole.withColumn("html", F.coalesce("html", F.lit("")))
     outputs = shown.select("book_id", F.concat("stem", F.lit(".html")).alias("path"), assemble.newlines(F.col("html"), options).alias("html"))
     outputs = tables.write(outputs, "outputs")
@@ -156,21 +180,35 @@ def convert(books: DataFrame, options: Options = Options()) -> Conversion:
     chapter = F.coalesce("title", file_stem(F.col("path")))
     chapters = sections.groupBy("book_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_ord", chapter.alias("t")))), lambda x: x["t"]).alias("chapters"))
     results = books.select("book_id", "input_ord", F.col("path").alias("input_path"), F.col("length").alias("input_bytes")).join(outputs.select("book_id", F.col("path").alias("output_path")), "book_id", "left")
-    for part in (counts, pictures, sizes, chapters, reports.collect_warnings(warned), fault):
+    more = [switches] if switches is not None else []
+    for part in (counts, pictures, sizes, chapters, reports.collect_warnings(warned), fault, *more):
         results = results.join(part, "book_id", "left")
-    for c in ("documents_processed", "skipped_documents", "decode_fallbacks", "images_processed", "skipped_images"):
+    if switches is None:
+        results = results.withColumn("switches_resolved", F.lit(0))
+    for c in ("documents_processed", "skipped_documents", "decode_fallbacks", "images_processed", "skipped_images", "switches_resolved"):
         results = results.withColumn(c, F.coalesce(c, F.lit(0)))
-    results = results.withColumns({"warnings": F.coalesce("warnings", F.from_json(F.lit("[]"), "array<struct<code:string,message:string,location:string>>")), "chapters": F.coalesce("chapters", F.array().cast("array<string>")), "output_path": F.when(F.col("error").isNull(), F.col("output_path"))})
+    # of books with one output, the first that has no fault of its own keeps it
+    place = F.row_number().over(Window.partitionBy("output_path", F.col("error").isNull()).orderBy("input_ord", "input_path", "book_id"))
+    taken = F.col("error").isNull() & F.col("output_path").isNotNull() & (place > 1)
+    results = results.withColumn("taken", taken).withColumns({"error": F.when(F.col("taken"), F.concat(F.lit("another book of the run is written to "), "output_path")).otherwise(F.col("error")), "error_type": F.when(F.col("taken"), "output").otherwise(F.col("error_type"))}).drop("taken")
+    if options.image_strategy == "extract":
+        results = results.join(files.groupBy("book_id").agg(F.first(F.regexp_extract("path", "^([^/]*)/", 1)).alias("images_path")), "book_id", "left")
+    else:
+        results = results.withColumn("images_path", F.lit(None).cast("string"))
+    # books are converted together, so what is told is the time until all are
+    results = results.withColumn("duration_seconds", F.lit(watch.seconds))
+    results = results.withColumns({"warnings": F.coalesce("warnings", F.from_json(F.lit("[]"), "array<struct<code:string,message:string,location:string>>")), "chapters": F.coalesce("chapters", F.array().cast("array<string>"))})
+    results = results.withColumns({c: F.when(F.col("error").isNull(), F.col(c)) for c in ("output_path", "images_path")})
     fine = results.filter("error is null").select("book_id")
     return Conversion(results, outputs.join(fine, "book_id", "left_semi"), files.join(fine, "book_id", "left_semi"), warned)
 
 
-def inspect_books(books: DataFrame, options: Options = Options()) -> DataFrame:
+def inspect_books(books: DataFrame, options: Options = Options(), reader=archives) -> DataFrame:
     """An inspection row for each book that passes preflight; contents stay packed."""
-    good, _ = passed(books, options)
-    rows = archives.package_rows(good)
+    good, _ = passed(books, options, reader)
+    rows = reader.package_rows(good)
     items = package.classify_items(archives.items(rows))
-    return package.inspect(items, package.reading_order(items, archives.spine(rows)), archives.zip_entries(good), archives.metadata(rows))
+    return package.inspect(items, package.reading_order(items, archives.spine(rows)), reader.zip_entries(good), archives.metadata(rows))
 
 
 def publish(conversion: Conversion, root: str, options: Options = Options()) -> None:

@@ -100,6 +100,8 @@ class Options:
                 raise PolicyError("spine_range must be two places in order, from 1 on")
         if any(not k.strip() or not v.strip() for k, v in self.css_vars):
             raise PolicyError("css_vars need names and values")
+        if not self.stable_mime_types:
+            raise PolicyError("stable_mime_types can't be False: media types never depend on the machine")
         check_directory_name(self.images_dir_name)
         return self
 
@@ -110,6 +112,15 @@ class Options:
         return self.wrap_html or self.css is not None or self.navigation or self.reader_max_width != default["reader_max_width"].default or self.reader_font_family != default["reader_font_family"].default
 
 
+def read_css(path: str) -> str:
+    """The text of a trusted style sheet, for Options(css=...); a PolicyError if it can't be read as UTF-8."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            return f.read()
+    except (OSError, UnicodeDecodeError) as e:
+        raise PolicyError(f"{path} is no style sheet that can be read") from e
+
+
 def check_directory_name(template: str, stem: str = "book", output: str | None = None) -> str:
     """The directory name a template gives, if it is a plain, portable name that differs from the output's."""
     if template.count("{stem}") > 1 or "{" in template.replace("{stem}", "") or "}" in template.replace("{stem}", ""):

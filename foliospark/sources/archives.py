@@ -7,22 +7,51 @@ import posixpath
 import zipfile
 from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..policy import ArchiveLimits
 
 ENTRY = "book_id string, entry_ord int, name string, compressed_size long, file_size long, unix_mode int"
 STATUS = "book_id string, is_zip boolean, mimetype string"
 
 
+#: File names that end in .epub, letters of either case.
+NAMES = "*.[eE][pP][uU][bB]"
+
+
+class MissingInput(FileNotFoundError):
+    """An input path that leads nowhere."""
+
+
 def read_books(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(book_id, input_ord, path, length, content) of all .epub files, letters of either case, in or below the given files, folders and globs; each once, by input and path."""
-    out = None
+    """(book_id, input_ord, path, length, content) of all .epub files, letters of either case, in or below the given files, folders and globs; each once, at its first input.
+
+    Other files are left out when files are listed, and a file that a former input has is
+    not read again, so contents are neither read for nothing nor shuffled. An input that
+    leads nowhere raises MissingInput, which names it."""
+    files = lambda where: spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", NAMES).load(where)
+    out, seen = None, set()
     for i, path in enumerate(paths):
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.lit(i).alias("input_ord"), "path", "length", "content")
-        out = found if out is None else out.unionByName(found)
-    first = F.row_number().over(Window.partitionBy("path").orderBy("input_ord")) == 1
-    return out.filter(F.lower("path").endswith(".epub")).withColumn("__first", first).filter("__first").select(F.col("path").alias("book_id"), "input_ord", "path", "length", "content")
+        try:
+            found = files(path)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            raise MissingInput(path) from e
+        listed = found.inputFiles() if len(paths) > 1 else []  # the driver has the list in any case
+        left = [f for f in listed if f not in seen]
+        if len(left) < len(listed):
+            if not left:
+                continue
+            found = files(left)
+        seen.update(left)
+        part = found.select(F.col("path").alias("book_id"), F.lit(i).alias("input_ord"), "path", "length", "content")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("there must be an input")
+    return out
 
 
 def expand_inputs(found: DataFrame) -> DataFrame:
@@ -65,15 +94,15 @@ def zip_entries(books: DataFrame) -> DataFrame:
     return books.select("book_id", "content").mapInArrow(run, ENTRY)
 
 
-def zip_status(books: DataFrame, most: int = 1000) -> DataFrame:
-    """(book_id, is_zip, mimetype): whether the archive opens, and its mimetype member, of which a bounded start is read."""
+def zip_status(books: DataFrame, most: int = ArchiveLimits.max_entry_bytes) -> DataFrame:
+    """(book_id, is_zip, mimetype): whether the archive opens, and its whole mimetype member, null if it is larger than a member may be."""
 
     def make(book, content):
         archive, kind = _open(content), None
         if archive:
             try:
-                with archive.open("mimetype") as f:
-                    kind = f.read(most).decode("utf-8", "replace")
+                if archive.getinfo("mimetype").file_size <= most:
+                    kind = archive.read("mimetype").decode("utf-8", "replace")
             except (KeyError, zipfile.BadZipFile, RuntimeError, NotImplementedError, OSError):
                 kind = None
         yield book, archive is not None, kind
@@ -127,7 +156,10 @@ def _package(book: str, content: bytes):
     for part in package:
         for i, e in enumerate(part):
             if local(part) == "manifest" and local(e) == "item":
-                yield book, "item", i, e.get("id"), posixpath.normpath(posixpath.join(base, unquote(e.get("href") or ""))), e.get("media-type")
+                name = posixpath.normpath(posixpath.join(base, unquote(e.get("href") or "")))
+                yield book, "item", i, e.get("id"), name, e.get("media-type")
+                if e.get("media-overlay") and not (e.get("properties") or "").split():
+                    yield book, "overlay", i, name, e.get("media-overlay"), None
             elif local(part) == "spine" and local(e) == "itemref":
                 yield book, "spine", i, e.get("idref"), e.get("linear") or "yes", None
             elif local(part) == "metadata" and (e.text or "").strip():
@@ -154,5 +186,10 @@ def spine(package: DataFrame) -> DataFrame:
     return package.filter("part = 'spine'").select("book_id", F.col("at").alias("spine_ord"), F.col("key").alias("idref"), F.col("value").alias("linear"))
 
 
+def overlays(package: DataFrame) -> DataFrame:
+    """(book_id, document, at, audio): the overlay that a document without properties names."""
+    return package.filter("part = 'overlay'").select("book_id", F.col("key").alias("document"), "at", F.col("value").alias("audio"))
+
+
 def metadata(package: DataFrame) -> DataFrame:
     return package.filter("part = 'metadata'").select("book_id", F.col("key").alias("name"), F.col("at").alias("value_ord"), "value")

@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 
 from foliospark import functions as f
 from foliospark.functions import paths
-from foliospark.operators import assets, documents, tree, validate
+from foliospark.operators import assemble, assets, documents, tree, validate
 from foliospark.plans import convert, inspect_books
 from foliospark.plans.convert import publish
-from foliospark.policy import ArchiveLimits, Options, PolicyError, check_directory_name, parse_css_vars, parse_spine_range
-from foliospark.samples import PIXEL, pack
+from foliospark.policy import ArchiveLimits, Options, PolicyError, check_directory_name, parse_css_vars, parse_spine_range, read_css
+from foliospark.samples import PIXEL, Binder, small
 from foliospark.sinks.publish import PublishError, reject_links
 from foliospark.sinks.publish import publish as move_files
 from foliospark.sources import archives
+from foliospark.watch import Cancelled, Watch
 
 
 def books(spark, *packed):
@@ -73,7 +74,7 @@ def test_decoding(spark):
 # policies
 
 
-@pytest.mark.parametrize("bad", [{"newline": "x"}, {"exclude_content": frozenset(["zzz"])}, {"navigation_depth": 7}, {"deadline_seconds": 0}, {"spine_range": (3, 2)}, {"spine_range": (0, None)}, {"css_vars": (("a", " "),)}, {"images_dir_name": "../x"}, {"limits": ArchiveLimits(max_images=0)}])
+@pytest.mark.parametrize("bad", [{"newline": "x"}, {"exclude_content": frozenset(["zzz"])}, {"navigation_depth": 7}, {"deadline_seconds": 0}, {"spine_range": (3, 2)}, {"spine_range": (0, None)}, {"css_vars": (("a", " "),)}, {"images_dir_name": "../x"}, {"stable_mime_types": False}, {"limits": ArchiveLimits(max_images=0)}])
 def test_bad_policies(bad):
     with pytest.raises(PolicyError):
         Options(**bad).check()
@@ -148,15 +149,18 @@ def test_dead_links(spark):
 
 
 def test_navigation_and_metadata(spark):
-    packed = pack("My <Novel>", "fr-CA", [("One", "<p>1</p>"), ("Two", "<h2>Sub</h2>")], metadata={"publisher": "P & Q", "rights": "all", "date": "2020", "description": "d", "subject": "s"})
+    packed = Binder("La <Mer>", "fr-CA").leaf("One", "<p>1</p>").leaf("Two", "<h2>Sub</h2>")
+    for fact in (("publisher", "P & Q"), ("rights", "all"), ("date", "2020"), ("description", "d"), ("subject", "s")):
+        packed.fact(*fact)
+    packed = packed.register().pack()
     html, row, _ = html_of(spark, packed, navigation=True, remove_toc=True, newline="crlf", css_vars=(("k", "v"),), reader_theme="dark")
-    for part in ('lang="fr-CA"', "<title>My &lt;Novel&gt;</title>", 'aria-label="Table of contents"', ">One</a>", ">Two</a>", 'content="P &amp; Q"', "color-scheme: dark", "--k: v", "Skip to content", "Back to top", "\r\n"):
+    for part in ('lang="fr-CA"', "<title>La &lt;Mer&gt;</title>", 'aria-label="Table of contents"', ">One</a>", ">Two</a>", 'content="P &amp; Q"', "color-scheme: dark", "--k: v", "Skip to content", "Back to top", "\r\n"):
         assert part in html, part
     assert html.count("<meta name=") == 9 and row.chapters[1:] == ["One", "Two"]
 
 
 def test_links_and_ids(spark):
-    packed = pack(chapters=[("One", '<p id="x">a</p><p id="x">b</p><a href="chapter_2.xhtml#y">l</a><a href="chapter_2.xhtml">m</a>'), ("Two", '<p id="y">c</p>')], toc=False)
+    packed = Binder().leaf("One", '<p id="x">a</p><p id="x">b</p><a href="leaf-b.xhtml#y">l</a><a href="leaf-b.xhtml">m</a>').leaf("Two", '<p id="y">c</p>').pack()
     html, _, _ = html_of(spark, packed)
     import re
 
@@ -166,7 +170,7 @@ def test_links_and_ids(spark):
 
 @pytest.mark.parametrize("strategy", ["embed", "extract"])
 def test_images(spark, strategy):
-    packed = pack(chapters=[("One", '<img src="images/p.png" srcset="images/p.png 1x, images/none.png 2x"/>')], images={"p.png": PIXEL}, toc=False)
+    packed = Binder().leaf("One", '<img src="../plates/p.png" srcset="../plates/p.png 1x, ../plates/none.png 2x"/>').plate("p.png").pack()
     html, row, done = html_of(spark, packed, image_strategy=strategy)
     assert row.images_processed == 1 and [w.code for w in row.warnings] == ["unresolved-image"]
     if strategy == "embed":
@@ -177,13 +181,16 @@ def test_images(spark, strategy):
 
 def test_safe_and_filters(spark):
     body = '<script>x</script><p onclick="x">keep</p><section class="appendix">gone</section><svg>s</svg><math>m</math>'
-    html, row, _ = html_of(spark, pack(chapters=[("One", body)], toc=False), safe_html=True, exclude_content=frozenset(["appendices"]))
+    html, row, _ = html_of(spark, Binder().leaf("One", body).pack(), safe_html=True, exclude_content=frozenset(["appendices"]))
     assert "keep" in html and not any(x in html for x in ("script", "onclick", "gone", "svg", "math"))
     assert [w.code for w in row.warnings] == ["unsafe-content-removed"]
 
 
 def test_range_css_and_chunks(spark):
-    packed = pack(chapters=[(f"C{i}", "<p>t</p>") for i in range(1, 5)], css="q{background:url(images/p.png)}", images={"p.png": PIXEL}, toc=False)
+    packed = Binder().plate("p.png").look("q{background:url(../plates/p.png)}")
+    for i in range(1, 5):
+        packed.leaf(f"C{i}", "<p>t</p>")
+    packed = packed.pack()
     html, _, _ = html_of(spark, packed, spine_range=(2, 3), chunked=True)
     assert "C2" in html and "C3" in html and "C1" not in html and "C4" not in html and html.endswith("</section>\n")
     html, _, _ = html_of(spark, packed, wrap_html=True, preserve_internal_css=True)
@@ -191,7 +198,7 @@ def test_range_css_and_chunks(spark):
 
 
 def test_failures_are_rows(spark):
-    packed = [pack(), b"junk", pack(leave_out=("mimetype",)), pack(extra={"../x": b"1"}), pack(mimetype=b"application/epub+zip\n"), pack(mimetype=b"text/plain"), pack(extra={"bomb": bytes(3_000_000)}), pack(leave_out=("content.opf",))]
+    packed = [small().pack(), b"junk", small().pack("mimetype"), small().stray("../x", b"1").pack(), small().pack(kind=b"application/epub+zip" + b" " * 3000), small().pack(kind=b"application/epub+zip" + b" " * 3000 + b"x"), small().stray("bomb", bytes(3_000_000)).pack(), small().pack("bound/all.opf")]
     done = convert(books(spark, *packed))
     rows = {r.book_id: (r.error_type, r.error) for r in done.results.collect()}
     assert rows["b0"] == (None, None) and {r.book_id for r in done.outputs.collect()} == {"b0"}
@@ -200,16 +207,107 @@ def test_failures_are_rows(spark):
 
 
 def test_fail_on_warning_and_size(spark):
-    packed = pack(chapters=[("One", '<img src="none.png"/>')], toc=False)
+    packed = Binder().leaf("One", '<img src="none.png"/>').pack()
     assert convert(books(spark, packed), Options(fail_on_warning=True, validate_output=False)).results.first().error_type == "warning"
     assert convert(books(spark, packed), Options(validate_output=False, limits=ArchiveLimits(max_output_bytes=10))).results.first().error_type == "limit"
     assert "none.png" in convert(books(spark, packed)).results.first().error
 
 
 def test_inspection(spark):
-    row = inspect_books(books(spark, pack("T", "de", images={"p.png": PIXEL}, css="x"), b"junk")).collect()
-    assert len(row) == 1 and row[0].title == "T" and row[0].language == "de" and row[0].spine == ["nav.xhtml", "chapter_1.xhtml"] and row[0].media_types == {"application/xhtml+xml": 2, "image/png": 1, "text/css": 1}
-    assert row[0].asset_bytes == sum(e.file_size for e in zipfile.ZipFile(io.BytesIO(pack("T", "de", images={"p.png": PIXEL}, css="x"))).infolist())
+    packed = Binder("T", "de").leaf("A", "a").plate("p.png").look("x").register().pack()
+    row = inspect_books(books(spark, packed, b"junk")).collect()
+    assert len(row) == 1 and row[0].title == "T" and row[0].language == "de" and row[0].spine == ["bound/leaves/register.xhtml", "bound/leaves/leaf-a.xhtml"] and row[0].media_types == {"application/xhtml+xml": 2, "image/png": 1, "text/css": 1}
+    assert row[0].asset_bytes == sum(e.file_size for e in zipfile.ZipFile(io.BytesIO(packed)).infolist())
+
+
+def test_equal_names_are_rows(spark):
+    again = spark.createDataFrame([(f"{d}/b", i, f"{d}/b.epub", 1, bytearray(c)) for i, (d, c) in enumerate([("x", b"junk"), ("y", small().pack()), ("z", small().pack())])], "book_id string, input_ord int, path string, length long, content binary")
+    done = convert(again, Options(validate_output=False))
+    rows = {r.book_id: r for r in done.results.collect()}
+    assert rows["y/b"].error is None and rows["z/b"].error_type == "output" and rows["x/b"].error_type == "invalid"
+    assert [r.book_id for r in done.outputs.collect()] == ["y/b"] and rows["z/b"].output_path is None
+    assert rows["y/b"].duration_seconds > 0 and rows["y/b"].images_path is None
+
+
+def test_watching(spark):
+    seen = []
+
+    class Seen:
+        def phase(self, description, total=None, unit=""):
+            seen.append(description)
+
+        def advance(self):
+            seen.append(1)
+
+        def phase_complete(self):
+            seen.append(2)
+
+    own = books(spark, small().pack())
+    convert(own, Options(validate_output=False), observer=Seen())
+    assert seen[:3] == ["preflight", 1, 2] and "sections" in seen and seen.count(1) == seen.count(2) > 8
+    with pytest.raises(Cancelled, match="cancelled"):
+        convert(own, cancelled=lambda: True)
+    with pytest.raises(Cancelled, match="deadline"):
+        convert(own, Options(deadline_seconds=0.2))
+
+
+def test_deadline_ends_a_running_job(spark):
+    def slow(batches):
+        import time
+
+        for batch in batches:
+            time.sleep(20)
+            yield batch
+
+    with pytest.raises(Cancelled), Watch(spark, 1.0) as watch:
+        spark.range(1).mapInArrow(slow, "id long").collect()
+    assert watch.seconds < 15
+
+
+def test_reader_can_be_replaced(spark):
+    class Titled:
+        zip_status, zip_entries, zip_members = staticmethod(archives.zip_status), staticmethod(archives.zip_entries), staticmethod(archives.zip_members)
+
+        @staticmethod
+        def package_rows(books):
+            return archives.package_rows(books).withColumn("value", F.when((F.col("part") == "metadata") & (F.col("key") == "title"), "Other").otherwise(F.col("value")))
+
+    made = convert(books(spark, small().pack()), Options(wrap_html=True, validate_output=False), reader=Titled)
+    assert "<title>Other</title>" in made.outputs.first().html
+
+
+def test_estimate_of_embedded_images(spark):
+    packed = Binder().leaf("A", "a").plate("p.png", PIXEL + bytes(range(256)) * 40).pack()
+    row = convert(books(spark, packed), Options(validate_output=False, limits=ArchiveLimits(max_output_bytes=5000))).results.first()
+    assert row.error_type == "limit" and row.documents_processed == 0
+
+
+def test_overlays_and_switches(spark):
+    body = '<epub:switch xmlns:epub="http://www.idpf.org/2007/ops"><epub:case required-namespace="http://www.w3.org/1999/xhtml">kept</epub:case><epub:default>gone</epub:default></epub:switch>'
+    binder = Binder().leaf("A", body)
+    plain = binder.package()
+    binder.package = lambda: plain.replace(b' id="l0"', b' id="l0" media-overlay="m1"')
+    html, row, _ = html_of(spark, binder.pack(), preserve_media_overlays=True, wrap_html=True)
+    assert 'data-media-overlays="{&quot;bound/leaves/leaf-a.xhtml&quot;:[&quot;m1&quot;]}"' in html and row.switches_resolved == 1 and "kept" in html and "gone" not in html
+
+
+def test_legacy_shell(spark):
+    made = assemble.legacy_shell(spark.createDataFrame([("a", "T", "<p>x</p>")], "book_id string, title string, html string"), "q{}").first()
+    assert "<title>T</title>" in made.html and "q{}" in made.html and 'lang="en"' in made.html
+
+
+def test_sheets_from_files(tmp_path):
+    (tmp_path / "a.css").write_text("p{}")
+    assert read_css(str(tmp_path / "a.css")) == "p{}"
+    with pytest.raises(PolicyError):
+        read_css(str(tmp_path / "b.css"))
+
+
+def test_contents_match_by_the_end_of_a_path(spark):
+    links = spark.createDataFrame([("a", 1, "x.xhtml#f"), ("a", 2, "t/x.xhtml"), ("a", 3, "z.xhtml"), ("b", 1, "x.xhtml"), ("a", 4, "#k")], "book_id string, at int, href string")
+    sections = spark.createDataFrame([("a", 2, "two", "t/x.xhtml"), ("a", 1, "one", "s/x.xhtml"), ("b", 1, "b1", "y.xhtml")], "book_id string, doc_ord int, anchor string, path string")
+    made = {(r.book_id, r.at): r.target for r in assemble.match_sections(links, sections).collect()}
+    assert made == {("a", 1): "#one", ("a", 2): "#two", ("a", 3): "z.xhtml", ("b", 1): "x.xhtml", ("a", 4): "#k"}
 
 
 # sources and sinks
@@ -217,21 +315,23 @@ def test_inspection(spark):
 
 def test_read_and_publish(spark, tmp_path):
     (tmp_path / "in" / "sub").mkdir(parents=True)
-    (tmp_path / "in" / "one.epub").write_bytes(pack("One"))
-    (tmp_path / "in" / "sub" / "TWO.EPUB").write_bytes(pack("Two"))
+    (tmp_path / "in" / "one.epub").write_bytes(small().pack())
+    (tmp_path / "in" / "sub" / "TWO.EPUB").write_bytes(small().pack())
     (tmp_path / "in" / "note.txt").write_text("x")
     found = archives.read_books(spark, [str(tmp_path / "in"), str(tmp_path / "in" / "one.epub")])
     assert sorted(os.path.basename(r.path) for r in found.select("path").collect()) == ["TWO.EPUB", "one.epub"]
+    with pytest.raises(archives.MissingInput):
+        archives.read_books(spark, [str(tmp_path / "nowhere")])
     done, out = convert(found), tmp_path / "out"
     publish(done, str(out))
-    assert sorted(p.name for p in out.iterdir()) == ["TWO.html", "one.html"] and "Hello, world!" in (out / "one.html").read_text()
+    assert sorted(p.name for p in out.iterdir()) == ["TWO.html", "one.html"] and "harbour is empty" in (out / "one.html").read_text()
     assert [p.name for p in tmp_path.iterdir() if p.name.startswith(".")] == []
     (out / "one.html").write_text("old")
     with pytest.raises(Exception, match="exists"):
         publish(done, str(out))
     assert (out / "one.html").read_text() == "old"
     publish(done, str(out), Options(force=True))
-    assert "Hello" in (out / "one.html").read_text()
+    assert "harbour" in (out / "one.html").read_text()
 
 
 def test_rollback(tmp_path):
@@ -254,7 +354,7 @@ def test_arrivals(spark, tmp_path):
     from foliospark.streaming import convert_arrivals
 
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "one.epub").write_bytes(pack("One"))
+    (tmp_path / "in" / "one.epub").write_bytes(small().pack())
     for _ in range(2):
         convert_arrivals(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(240)
     assert [str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.html")] == ["batch-0/one.html"]
