@@ -24,9 +24,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Few rows in each batch that Python gets, since one text can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def small_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Bounds the bytes of a batch that Python gets, where the session doesn't, since texts can be very long. Rows and results of other queries stay as they are."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, most)
 
 
 def fresh(taken, *names: str) -> list[str]:

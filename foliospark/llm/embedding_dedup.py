@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SharedTables, connected_components, lean
+from .common import SharedTables, connected_components, lean, small_batches
 
 
 @dataclass(frozen=True)
@@ -262,6 +262,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
 
     spark = rows.sparkSession
     tables = SharedTables(spark)
+    small_batches(spark)
     element = rows.schema[vector].dataType.elementType.typeName()
     kind = "float32" if element == "float" else "float64"
     own = rows.select(F.col(key).alias("key"), F.col(vector).alias("vector")).withColumn("fine", usable(F.col("vector"))).withColumn("hash", F.xxhash64("vector"))

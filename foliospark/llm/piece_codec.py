@@ -220,11 +220,15 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", outputs: t
     """Adds token ids, their decoded text and digests of both, as named in outputs.
 
     Null and empty texts have the end id only, and decode to the empty text. Long texts
-    and words are whole. Repeated rows all stay. Columns of the input with an added name
+    and words are whole: a task holds one batch of texts, bounded in bytes, and their ids.
+    Repeated rows all stay, and there are no ties to break. Columns of the input with an added name
     are replaced, and all others pass through. An empty table gives an empty table.
     The model file is read by the driver; executors get its bytes."""
     import pyarrow as pa
 
+    from .common import lean, small_batches
+
+    small_batches(docs.sparkSession)
     with open(model, "rb") as f:
         proto = f.read()
     kept = [c for c in docs.columns if c not in outputs]
@@ -255,7 +259,7 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", outputs: t
                             columns[n].append(v)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(columns[n], kinds.get(n, pa.string())) for n in outputs], names=[*kept, *outputs])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def default_model() -> str:
@@ -265,8 +269,5 @@ def default_model() -> str:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from .common import small_batches
-
-    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return encode_documents(docs, default_model(), outputs=("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")

@@ -21,7 +21,7 @@ from itertools import repeat
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SharedTables, connected_components, small_batches
+from .common import SharedTables, connected_components, lean, small_batches
 
 #: Segment values shared by more distinct fingerprints than this go the other exact way.
 CROWD = 512
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, seed: in
             prints = np.fromiter((fingerprint(v or b"", shingle, seed) for v in values), np.uint64, len(values))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(prints.view(np.int64))], names=[*kept, "fp"])
 
-    return docs.mapInArrow(run, T.StructType([*[docs.schema[c] for c in kept], T.StructField("fp", T.LongType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*[docs.schema[c] for c in kept], T.StructField("fp", T.LongType())]))
 
 
 def segment_bounds(parts: int) -> list[tuple[int, int]]:
@@ -350,11 +350,11 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ids), pa.array([s.tobytes() for s in sets], pa.binary()), bands], names=["key", "id", "hashes", "bands"])
 
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    marked = tables.write(own.mapInArrow(run, f"key {dict(own.dtypes)['key']}, id long, hashes binary, bands array<long>"), "marked")
-    small_batches(spark, 8192)
-    rows = marked.select(F.explode("bands").alias("value"), "id").repartition("value").sortWithinPartitions("value", "id")
-    groups = tables.write(rows.mapInArrow(_band_groups, "grp long, id long, least long").distinct(), "groups")
-    small_batches(spark)
+    marked = tables.write(own.mapInArrow(lean(run), f"key {dict(own.dtypes)['key']}, id long, hashes binary, bands array<long>"), "marked")
+    # equal sets, of which there may be very many, go on as one
+    each = marked.filter(F.size("bands") > 0).groupBy("id").agg(F.first("bands").alias("bands"))
+    rows = each.select(F.explode("bands").alias("value"), "id").repartition("value").sortWithinPartitions("value", "id")
+    groups = tables.write(rows.mapInArrow(lean(_band_groups), "grp long, id long, least long").distinct(), "groups")
     met = connected_components(groups.select(F.col("id").alias("u"), F.col("least").alias("v")), tables)
     met = tables.write(met, "met")
     large = met.groupBy(F.struct("component").alias("c")).agg(F.count("*").alias("n")).filter(F.col("n") > whole).select("c.component")
@@ -365,7 +365,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
         units = units.unionByName(groups.join(many, "id", "left_semi").select(F.col("grp").alias("unit"), "id"))
     sets = marked.select("id", "hashes").join(met.select(F.col("node").alias("id")), "id", "left_semi").groupBy("id").agg(F.first("hashes").alias("hashes"))
     placed = units.join(sets, "id").select("unit", "id", "hashes").repartition("unit").sortWithinPartitions("unit")
-    ties = tables.write(placed.mapInArrow(_link_sets(similarity), "u long, v long"), "ties")
+    ties = tables.write(placed.mapInArrow(lean(_link_sets(similarity)), "u long, v long"), "ties")
     marked = tables.write(marked.select("key", "id"), "keys")
     for name in ("marked", "groups", "met", "large"):  # the sets are large, and the result is read lazily
         tables.drop(name)
