@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import words
+from .common import fresh, words
 
 
 @dataclass(frozen=True)
@@ -46,27 +46,41 @@ def uniform(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def _planned(docs: DataFrame, names: list[str], text: str, source: str, key: str, mix: Mix) -> DataFrame:
+    """The documents with their size, their source's size and target, and their copies, in columns of these names."""
+    size, source_size, target, copies = names
+    (of,) = fresh([*docs.columns, *names], "of")
+    own = docs.withColumn(size, word_count(F.col(text)))
+    targets = source_targets(own.select(F.col(source).alias("source"), F.col(size).alias("size")), mix)
+    targets = targets.select(F.col("source").alias(of), F.col("source_size").alias(source_size), F.col("target").alias(target))
+    joined = own.join(targets, F.col(source).eqNullSafe(F.col(of)), "left").drop(of)
+    rate = F.when(F.col(source_size) > 0, F.col(target) / F.col(source_size)).otherwise(F.lit(0.0))
+    drawn = F.floor(rate) + F.when(uniform(F.col(key), mix.seed) < rate - F.floor(rate), 1).otherwise(0)
+    return joined.withColumn(copies, drawn.cast("long"))
+
+
+ADDED = ["size", "source_size", "target", "copies"]
+
+
 def plan_mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", mix: Mix = Mix()) -> DataFrame:
     """Adds size, source_size, target and copies to every document.
 
     Null texts and texts without a word have size 0; a source without words has target 0
-    and no copies. A null source is a source of its own, the last one. Rows with the same
-    key share their draw; repeated rows count as often as they occur. Columns of the
-    input with an added name are replaced. An empty table gives an empty table. The
-    targets, one row per source, join by source: Spark broadcasts them only if they
-    measure below its threshold, and splits a hot source otherwise."""
-    own = docs.drop("size", "source_size", "target", "copies").withColumn("size", word_count(F.col(text)))
-    targets = source_targets(own.select(F.col(source).alias("source"), "size"), mix).withColumnRenamed("source", "__source")
-    joined = own.join(targets, F.col(source).eqNullSafe(F.col("__source")), "left").drop("__source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + F.when(uniform(F.col(key), mix.seed) < rate - F.floor(rate), 1).otherwise(0)
-    return joined.withColumn("copies", copies.cast("long"))
-
-
-def mix_documents(docs: DataFrame, **named) -> DataFrame:
-    """The mixed corpus: every document as often as planned, with the columns it came with."""
-    planned = plan_mix(docs, **named).filter("copies > 0")
-    return planned.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    and no copies. A null source is a source of its own, the last one. Texts are counted
+    whole, however long. Rows with the same key, or none, share their draw; repeated rows
+    count as often as they occur. Sources that tie in size for their weight are ordered by
+    name. Columns of the input with an added name are replaced, all others pass through. An
+    empty table gives an empty table. The targets, one row per source, join by source: Spark
+    broadcasts them only if they measure below its threshold, and splits a hot source
+    otherwise; one task orders the sources, a row each."""
+    return _planned(docs.drop(*ADDED), ADDED, text, source, key, mix)
+
+
+def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", mix: Mix = Mix()) -> DataFrame:
+    """The mixed corpus: every document as often as planned, with the columns it came with, whatever their names."""
+    *names, copy = fresh(docs.columns, *ADDED, "copy")
+    planned = _planned(docs, names, text, source, key, mix).filter(F.col(names[3]) > 0)
+    return planned.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(names[3])))).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

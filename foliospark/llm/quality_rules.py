@@ -10,14 +10,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, words
+from .common import SPACE, fresh, words
 
 #: Phrases that mark a boilerplate line, in lower case.
 BOILERPLATE = (
     "all rights reserved", "licensed under", "general public license", "creative commons", "privacy policy", "cookie policy",
     "terms of use", "terms of service", "enable javascript", "lorem ipsum", "click here", "sign in", "log in", "subscribe to",
-    "copyright (c)", "©",
+    "copyright (c)",
 )
+#: A phrase stands between other characters than letters and digits; the sign anywhere.
+PHRASES = r"(?:^|[^\p{L}\p{N}])(?:" + "|".join(p.replace("(", r"\(").replace(")", r"\)") for p in BOILERPLATE) + r")(?:$|[^\p{L}\p{N}])|©"
 
 
 @dataclass(frozen=True)
@@ -32,6 +34,8 @@ class LineRules:
     #: Navigation: so many separators, and at most so many words for each part between them.
     separators: int = 3
     part_words: int = 4
+    #: Boilerplate: a phrase or more for so many words of the line.
+    phrase_words: int = 20
     #: Documents that keep a smaller share of their lines' characters are rejected.
     least_kept: float = 0.5
     #: Base rules.
@@ -47,7 +51,8 @@ def _line_fails(line: Column, rules: LineRules) -> Column:
     heavy = marks > F.lit(rules.free_marks) + F.lit(rules.mark_share) * visible
     bare = (n_words < rules.bare_words) & ~line.rlike(r"[.!?…:;。！？]")
     navigation = (separators >= rules.separators) & (n_words <= rules.part_words * (separators + 1))
-    boilerplate = F.lower(line).rlike("|".join(p.replace("(", r"\(").replace(")", r"\)") for p in BOILERPLATE))
+    phrases = F.regexp_count(F.lower(line), F.lit(PHRASES))
+    boilerplate = (phrases > 0) & (rules.phrase_words * phrases >= n_words)
     return heavy | bare | navigation | boilerplate
 
 
@@ -71,30 +76,36 @@ def _covered(hashes: str) -> Column:
     return F.get(F.transform(F.array(ordered), count), F.lit(0))
 
 
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_share", "clean_text", "kept")
+
+
 def apply_quality_rules(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_share, clean_text and kept.
 
     Null and empty texts have no words: all counts are 0, base_failed is true, kept false
-    and clean_text empty. Repeated rows are judged alike and all stay. Columns of the
-    input with one of the added names are replaced; all others pass through. An empty
-    table gives an empty table. Windows are compared by 64-bit hashes within a document."""
-    own = docs.withColumn("__t", F.coalesce(F.col(text), F.lit(""))).withColumn("__w", words(F.col("__t")))
-    own = own.withColumn("__n", F.size("__w")).withColumn("__lines", F.filter(F.split("__t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    own = own.withColumn("__h", _windows("__w", "__n")).withColumn("__clean", F.filter("__lines", lambda x: ~_line_fails(x, rules)))
+    and clean_text empty. A text is judged whole, however long; its words and their windows
+    must fit a task. Repeated rows are judged alike and all stay; there are no ties to
+    break. Columns of the input with one of the added names are replaced; all others pass
+    through, whatever their names. An empty table gives an empty table. Windows are
+    compared by 64-bit hashes within a document."""
+    t, w, n, lines, h, clean, whole, left = fresh([*docs.columns, *ADDED], "t", "w", "n", "lines", "h", "clean", "whole", "left")
+    own = docs.withColumn(t, F.coalesce(F.col(text), F.lit("")))
+    own = own.withColumns({w: words(F.col(t)), lines: F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
+    own = own.withColumns({n: F.size(w), clean: F.filter(lines, lambda x: ~_line_fails(x, rules))}).withColumn(h, _windows(w, n))
     own = own.withColumns({
-        "n_words": F.col("__n").cast("long"),
-        "word_chars": F.length(F.array_join("__w", "")).cast("long"),
-        "n_symbols": F.length(F.regexp_replace("__t", r"[^#*$%&|<>]+", "")).cast("long"),
-        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        "n_repeat_words": F.when(F.size(F.array_distinct("__h")) == F.size("__h"), F.lit(0)).otherwise(_covered("__h")).cast("long"),
-        "clean_text": F.array_join("__clean", "\n"),
-        "__all": F.length(F.array_join("__lines", "")),
-        "__left": F.length(F.array_join("__clean", "")),
+        "n_words": F.col(n).cast("long"),
+        "word_chars": F.length(F.array_join(w, "")).cast("long"),
+        "n_symbols": F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "n_repeat_words": F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_covered(h)).cast("long"),
+        "clean_text": F.array_join(clean, "\n"),
+        whole: F.length(F.array_join(lines, "")),
+        left: F.length(F.array_join(clean, "")),
     })
     own = own.withColumn("base_failed", (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.repeat_percent * F.col("n_words")))
-    own = own.withColumn("lost_share", F.when(F.col("__all") > 0, 1 - F.col("__left") / F.col("__all")).otherwise(F.lit(0.0)))
-    own = own.withColumn("kept", ~F.col("base_failed") & (F.col("__left") >= rules.least_kept * F.col("__all")))
-    return own.drop("__t", "__w", "__n", "__lines", "__h", "__clean", "__all", "__left")
+    own = own.withColumn("lost_share", F.when(F.col(whole) > 0, 1 - F.col(left) / F.col(whole)).otherwise(F.lit(0.0)))
+    own = own.withColumn("kept", ~F.col("base_failed") & (F.col(left) >= rules.least_kept * F.col(whole)))
+    return own.drop(t, w, n, lines, h, clean, whole, left)
 
 
 COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -125,7 +136,7 @@ WITH d AS (
 ), judged AS (
   SELECT r, sum(length(line)) AS whole, sum(CASE WHEN
       marks > 2 + 0.15::DOUBLE * visible OR (n < 6 AND NOT regexp_matches(line, '[.!?…:;。！？]'))
-      OR (seps >= 3 AND n <= 4 * (seps + 1)) OR regexp_matches(lower(line), '{phrases}')
+      OR (seps >= 3 AND n <= 4 * (seps + 1)) OR (regexp_matches(lower(line), '{phrases}') AND 20 * len(regexp_extract_all(lower(line), '{phrases}')) >= n)
     THEN 0 ELSE length(line) END) AS remains FROM l GROUP BY r
 ), f AS (
   SELECT doc_id, r, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
@@ -137,4 +148,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
        (NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(remains, 0) >= 0.5 * coalesce(whole, 0)) AS kept
 FROM f LEFT JOIN judged USING (r)
-""".replace("{phrases}", "|".join(p.replace("(", r"\(").replace(")", r"\)") for p in BOILERPLATE))
+""".replace("{phrases}", PHRASES)

@@ -12,7 +12,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SharedTables
+from .common import SharedTables, fresh
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path)
@@ -57,9 +57,14 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+#: Comments and scripts, whose links are none, and links: an attribute href of its own in an a tag.
+NO_LINKS = r"(?is)<!--.*?(?:-->|\z)|<script[\s>].*?(?:</script|\z)"
+LINKS = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, n): links between different hosts, counted; relative links stay on their host and give none."""
-    links = F.regexp_extract_all(F.col("html"), F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""), F.lit(1))
+    links = F.regexp_extract_all(F.regexp_replace("html", NO_LINKS, ""), F.lit(LINKS), F.lit(1))
     out = pages.filter(F.col("html").contains("//")).select(F.col("host").alias("src"), F.explode(links).alias("link"))
     target = F.when(F.col("link").startswith("//"), F.concat(F.lit("x:"), F.col("link"))).otherwise(F.col("link"))
     out = out.select("src", host_of(target).alias("dst")).filter("src <> dst and src <> '' and dst <> ''")
@@ -99,18 +104,21 @@ def filter_urls(pages: DataFrame, rules=RULES, how: Propagation = Propagation())
 
     Null urls and urls without :// have empty host and path, no rule and no trust, and are
     allowed. Null html has no links. Repeated rows stay and count as links and seeds as
-    often as they occur. Columns of the input with an added name are replaced. An empty
-    table gives an empty table. A host that no seed reaches is allowed; so is a tie."""
+    often as they occur. Pages are read whole, however long. Links are those of a tags by
+    patterns, outside comments and scripts. Columns of the input with an added name are
+    replaced, all others but html pass through. An empty table gives an empty table. A host
+    that no seed reaches is allowed; so is a tie."""
     spark = pages.sparkSession
     own = pages.drop("host", "path", "rule", "verdict", "trust", "distrust").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    own = own.withColumns({"rule": rule, "__ruled": verdict})
-    count = lambda v: F.count_if(F.col("__ruled") == v)
+    (ruled,) = fresh([*own.columns, "rule", "verdict", "trust", "distrust"], "ruled")
+    own = own.withColumns({"rule": rule, ruled: verdict})
+    count = lambda v: F.count_if(F.col(ruled) == v)
     seeds = own.groupBy("host").agg(count("allow").alias("allowed"), count("block").alias("blocked")).filter("allowed + blocked > 0")
     ranks = propagate(seeds, host_edges(own), SharedTables(spark), how)
     judged = own.drop("html").join(ranks, "host", "left").withColumns({"trust": F.coalesce("trust", F.lit(0.0)), "distrust": F.coalesce("distrust", F.lit(0.0))})
     method = F.when(F.col("distrust") > how.threshold * F.col("trust"), "block").otherwise("allow")
-    return judged.withColumn("verdict", F.coalesce("__ruled", method)).drop("__ruled")
+    return judged.withColumn("verdict", F.coalesce(ruled, method)).drop(ruled)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -124,6 +132,7 @@ def _sql(rules=RULES, how: Propagation = Propagation()) -> str:
     rounds = "".join(f""", r{i + 1} AS (SELECT kind, host, sum(rank) AS rank FROM (SELECT * FROM base UNION ALL
   SELECT kind, dst, {how.damping}::DOUBLE * rank * share FROM r{i} JOIN moves USING (kind, host)) GROUP BY kind, host)
 """ for i in range(how.rounds))
+    quoted = LINKS.replace("'", "''")
     return rf"""
 WITH p AS (
   SELECT page_id, html, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
@@ -137,7 +146,7 @@ WITH p AS (
 {case(lambda r: r[0])}
     END AS ruled FROM h
 ), l AS (
-  SELECT host AS src, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"''\s>]+)', 1)) AS link FROM j
+  SELECT host AS src, unnest(regexp_extract_all(regexp_replace(html, '{NO_LINKS}', '', 'g'), '{quoted}', 1)) AS link FROM j
 ), e AS (
   SELECT src, dst, count(*) AS n FROM (SELECT src, translate(regexp_extract(substr(link, instr(link, '//') + 2), '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS dst FROM l)
   WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY src, dst

@@ -49,6 +49,40 @@ def test_line_rules(spark):
     assert made[5].kept and made[5].clean_text == prose
 
 
+def test_phrases_are_weighed_and_bounded(spark):
+    prose = "The design in the blog interested them, and nobody had to be told about it twice. " * 3
+    docs = {1: prose, 2: prose + "Please sign in. " + prose, 3: "You can log in here, or subscribe to our letters."}
+    made = {r.doc_id: r for r in quality_rules.apply_quality_rules(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert made[1].clean_text == prose and made[2].clean_text == docs[2] and made[3].clean_text == ""
+
+
+def test_other_columns_pass_through(spark):
+    docs = spark.createDataFrame([(1, "a b c.", 1, 2, 3, 4, "s")], "doc_id long, text string, t int, w int, __lines int, size int, source string")
+    made = quality_rules.apply_quality_rules(docs.withColumnRenamed("size", "clean")).first()
+    assert (made.t, made.w, made["__lines"], made.clean) == (1, 2, 3, 4)
+    mixed = mixing.mix_documents(docs.withColumn("copies", F.lit(77)).withColumn("target", F.lit(78)).withColumn("of", F.lit(79)), mix=mixing.Mix(budget=2.0)).collect()
+    assert len(mixed) == 2 and {(r["size"], r.copies, r.target, r.of) for r in mixed} == {(4, 77, 78, 79)}
+    pages = docs.select(F.lit("http://a.org/").alias("url"), F.lit("").alias("html"), F.lit(5).alias("ruled"), F.lit(6).alias("__ruled"))
+    made = url_filter.filter_urls(pages).first()
+    assert (made.ruled, made["__ruled"], made.verdict) == (5, 6, "allow")
+
+
+def test_long_texts(spark):
+    long = "word " * 300_000
+    docs = spark.createDataFrame([(1, long, "a"), (2, "x y", "a")], "doc_id long, text string, source string")
+    made = {r.doc_id: r for r in quality_rules.apply_quality_rules(docs).collect()}
+    assert made[1].n_words == made[1].n_repeat_words == 300_000 and made[1].base_failed
+    assert {r.doc_id: r["size"] for r in mixing.plan_mix(docs).collect()} == {1: 300_000, 2: 2}
+    pages = spark.createDataFrame([(1, "http://a.org/" + "p" * 500_000, "<p>" * 500_000 + '<a href="http://b.net/">')], "page_id long, url string, html string")
+    assert len(url_filter.filter_urls(pages).first().path) == 500_001
+
+
+def test_links(spark):
+    html = """<a href="http://one.net/x">1</a><A class=q HREF='//two.net'>2</A><a data-href="http://evil.com/">3</a><!-- <a href="http://evil.com/">4</a> --><script>"<a href='http://evil.com/'>"</script><a href=https://three.net/>5</a><a href="/here">6</a><abbr href="http://evil.com/"><!-- <a href="http://evil.com/">"""
+    pages = spark.createDataFrame([("me.org", html)], "host string, html string")
+    assert sorted((r.dst, r.n) for r in url_filter.host_edges(pages).collect()) == [("one.net", 1), ("three.net", 1), ("two.net", 1)]
+
+
 def test_quality_rules_of_nothing(spark):
     assert quality_rules.apply_quality_rules(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
