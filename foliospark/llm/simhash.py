@@ -1,22 +1,26 @@
 """SimHash near-dedup with pigeonring filtering.
 
 A document's fingerprint is the bitwise majority of the hashes of its word shingles.
-Fingerprints are cut into one segment more than the number of bits in which linked ones
-may differ. Linked fingerprints agree in some segment, and the ring of segments can be
-entered so that every chain from there on stays within its share of the budget; so
-fingerprints meet by equal segments, and a chain that overspends drops a pair before
-the full check.
-
-Only distinct fingerprints are compared. A segment value that very many of them share
-is left to an exact way that emits no pairs: fingerprints differ in two bits at most
-if and only if one bit or none, flipped in each, makes them meet.
+Fingerprints are cut into segments, at least one more than the number of bits in which
+linked ones may differ. Linked fingerprints agree in all segments but as many as these
+bits, and the ring of segments can be entered so that every chain from there on stays
+within its share of the budget; so fingerprints meet by their equal segments, and a pair
+that overspends on chains from everywhere is dropped before the full check. With more
+fingerprints there are more segments, so that more of their bits must be equal: a value
+of the bits by which they meet stays rare at every size, and no link is lost at any.
+
+Only distinct fingerprints are compared. A value that very many of them share in spite
+of that is left to exact ways that emit no pairs: with two bits, fingerprints are linked
+if and only if one bit or none, flipped in each, makes them meet; with other numbers,
+they meet again by more segments.
 
 The near-copy stage of the pipeline, similar_documents, compares shingle sets themselves.
 """
 
 from __future__ import annotations
 
-from itertools import repeat
+import math
+from itertools import combinations, repeat
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,6 +73,20 @@ def segment_bounds(parts: int) -> list[tuple[int, int]]:
     return [(sum(widths[:i]), widths[i]) for i in range(parts)]
 
 
+def segments_for(count: int, distance: int) -> int:
+    """The least number of segments with which the equal ones have a value for about every 64 fingerprints."""
+    parts = distance + 1
+    while 64 * (parts - distance) / parts < math.log2(max(1, count)) - 6 and parts < distance + 6:
+        parts += 1
+    return parts
+
+
+def meeting_masks(bounds, distance: int) -> list[tuple[tuple[int, ...], int]]:
+    """(segments, mask of their bits) of all choices of segments that linked fingerprints may agree in."""
+    full = [((1 << w) - 1) << s for s, w in bounds]
+    return [(chosen, sum(full[k] for k in chosen)) for chosen in combinations(range(len(bounds)), len(bounds) - distance)]
+
+
 def _chain_holds(x, start: int, bounds, distance: int):
     """Whether each chain of segments from start on has at most its share of the differing bits x. The share of l of m segments is distance * l / m."""
     import numpy as np
@@ -81,6 +99,16 @@ def _chain_holds(x, start: int, bounds, distance: int):
     return held
 
 
+def _ring_holds(x, starts, bounds, distance: int):
+    """Whether chains hold from one of some segments."""
+    import numpy as np
+
+    held = np.zeros(len(x), bool)
+    for start in starts:
+        held |= _chain_holds(x, start, bounds, distance)
+    return held
+
+
 def _roots(n: int, a, b):
     """The least index of each index's component under links a-b."""
     import numpy as np
@@ -99,6 +127,7 @@ def _roots(n: int, a, b):
 
 def _link_sorted(bounds, distance: int):
     """For rows (seg, value, fp) sorted by seg and value: a row (u, v) that ties each linked fingerprint to the least of its group's component."""
+    chosen = [c for c, _ in meeting_masks(bounds, distance)]
 
     def links(rows):
         import numpy as np
@@ -111,9 +140,10 @@ def _link_sorted(bounds, distance: int):
                 break
             x = fp[i] ^ fp[i + d]
             held = np.zeros(len(i), bool)
-            for start in range(len(bounds)):
-                at = np.flatnonzero(seg[i] == start)
-                held[at] = _chain_holds(x[at], start, bounds, distance)
+            for k in np.unique(seg[i]):
+                at = np.flatnonzero(seg[i] == k)
+                # with one segment for each choice, chains from it; a pair that holds from another is met there
+                held[at] = _ring_holds(x[at], chosen[k] if len(chosen[k]) == 1 else range(len(bounds)), bounds, distance)
             i, x = i[held], x[held]
             i = i[np.bitwise_count(x) <= distance]
             a.append(i)
@@ -150,24 +180,28 @@ def _link_sorted(bounds, distance: int):
     return run
 
 
-def link_fingerprints(prints: DataFrame, tables: SharedTables, distance: int = 2, crowd: int = CROWD) -> DataFrame:
+def link_fingerprints(prints: DataFrame, tables: SharedTables, distance: int = 2, crowd: int = CROWD, parts: int | None = None) -> DataFrame:
     """Edges (u, v) with the same components as all links between the distinct fingerprints fp."""
-    bounds = segment_bounds(distance + 1)
-    cut = [F.struct(F.lit(k).alias("seg"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)).alias("value")) for k, (s, w) in enumerate(bounds)]
-    parts = prints.select("fp", F.explode(F.array(*cut)).alias("s")).select("s.seg", "s.value", "fp")
-    crowded = tables.write(parts.groupBy("seg", "value").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).drop("n"), "crowded")
-    own = parts
+    parts = parts or segments_for(prints.count(), distance)
+    bounds = segment_bounds(parts)
+    masks = meeting_masks(bounds, distance)
+    signed = lambda mask: mask - (1 << 64) if mask >> 63 else mask
+    cut = [F.struct(F.lit(k).alias("seg"), F.col("fp").bitwiseAND(F.lit(signed(mask))).alias("value")) for k, (_, mask) in enumerate(masks)]
+    met = prints.select("fp", F.explode(F.array(*cut)).alias("s")).select("s.seg", "s.value", "fp")
+    last = distance != 2 and parts >= distance + 6
+    crowded = tables.write(met.groupBy("seg", "value").agg(F.count("*").alias("n")).filter((F.col("n") > crowd) & F.lit(not last)).drop("n"), f"crowded-{parts}")
+    own = met
     if some := not crowded.isEmpty():
-        own = parts.join(crowded, ["seg", "value"], "left_anti")
+        own = met.join(crowded, ["seg", "value"], "left_anti")
     dealt = own.select("seg", "value", "fp").repartition("seg", "value").sortWithinPartitions("seg", "value")
-    edges = dealt.mapInArrow(_link_sorted(bounds, distance), "u long, v long")
+    edges = dealt.mapInArrow(lean(_link_sorted(bounds, distance)), "u long, v long")
     if some:
+        many = met.join(crowded, ["seg", "value"], "left_semi").select("fp").distinct()
         if distance != 2:
-            raise ValueError("crowded segments are handled for a distance of two bits")
-        many = parts.join(crowded, ["seg", "value"], "left_semi").select("fp").distinct()
+            return edges.unionByName(link_fingerprints(tables.write(many, f"many-{parts}"), tables, distance, crowd, parts + 1))
         near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << b) - (1 << 64 if b == 63 else 0))) for b in range(64)])
-        met = many.select("fp", F.explode(near).alias("h")).groupBy("h").agg(F.collect_set("fp").alias("fps"))  # 65 at most
-        star = met.filter(F.size("fps") > 1).select(F.explode("fps").alias("u"), F.array_min("fps").alias("v")).filter("u <> v").distinct()
+        near = many.select("fp", F.explode(near).alias("h")).groupBy("h").agg(F.collect_set("fp").alias("fps"))  # 65 at most
+        star = near.filter(F.size("fps") > 1).select(F.explode("fps").alias("u"), F.array_min("fps").alias("v")).filter("u <> v").distinct()
         edges = edges.unionByName(star)
     return edges
 
@@ -176,9 +210,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     """(key, fp, component_id) for every row; component_id is the smallest key reachable by links of at most so many bits.
 
     Null, empty and blank texts have fingerprint 0 and link like any other. Texts of fewer
-    words than a shingle are hashed whole. Repeated rows link to each other; rows with a null key
-    stay, and a component of only such rows has a null component_id. Other columns are
-    dropped. An empty table gives an empty table."""
+    words than a shingle are hashed whole. Texts are hashed whole, however long; one text's
+    shingles must fit a task. Repeated rows link to each other, and components need no ties
+    broken; rows with a null key stay, and a component of only such rows has a null
+    component_id. Other columns are dropped, whatever their names. An empty table gives an
+    empty table."""
     tables = SharedTables(docs.sparkSession)
     small_batches(docs.sparkSession)
     marked = tables.write(fingerprints(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), shingle=shingle), "marked")

@@ -43,8 +43,8 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-@pytest.mark.parametrize("crowd", [512, 2])
-def test_near_duplicates(spark, monkeypatch, crowd):
+@pytest.mark.parametrize("crowd,parts", [(512, None), (2, None), (512, 4), (2, 5)])
+def test_near_duplicates(spark, monkeypatch, crowd, parts):
     rng = random.Random(2)
     base = [" ".join(rng.choice(["Ab", "cD", "é", "x", "yz"]) for _ in range(rng.randint(1, 30))) for _ in range(80)]
     texts = base + base[:10] + [t + " tail" for t in base[:40]] + [None, "", "  ", "a", "A", "a b", "A B"] + ["w " * 30_000]
@@ -57,7 +57,7 @@ def test_near_duplicates(spark, monkeypatch, crowd):
     prints = {k: plain_fingerprint(t) for k, t in rows}
     edges = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2]
     assert len(edges) > 100
-    monkeypatch.setattr(simhash.link_fingerprints, "__defaults__", (2, crowd))
+    monkeypatch.setattr(simhash.link_fingerprints, "__defaults__", (2, crowd, parts))
     docs = spark.createDataFrame([(k, t, "f") for k, t in rows], "doc_id long, text string, fp string")
     found = {r.doc_id: (r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(docs.repartition(3)).collect()}
     assert found == {k: (prints[k], c) for k, c in components(list(prints), edges).items()}
@@ -73,6 +73,38 @@ def test_pigeonring_chains_lose_nothing():
     assert simhash._chain_holds(np.array([0b111], np.uint64), 0, bounds, 2)[0] == False  # noqa: E712
 
 
+@pytest.mark.parametrize("distance,crowd", [(1, 512), (3, 512), (3, 3)])
+def test_links_at_other_distances(spark, distance, crowd):
+    rng = random.Random(distance)
+    prints = {rng.getrandbits(64) for _ in range(60)}
+    for p in list(prints):
+        for n in range(1, 5):
+            prints.add(p ^ sum({1 << rng.randrange(64) for _ in range(n)}))
+    edges = [(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= distance]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    tables = SharedTables(spark)
+    df = spark.createDataFrame([(signed(p),) for p in prints], "fp long")
+    found = simhash.link_fingerprints(df, tables, distance, crowd).collect()
+    same = lambda pairs: {frozenset(g) for g in groups_of(prints, pairs)}
+    assert same([(r.u % (1 << 64), r.v % (1 << 64)) for r in found]) == same(edges) and len(edges) > 50
+
+
+def groups_of(nodes, edges):
+    out = {}
+    for n, c in components(nodes, edges).items():
+        out.setdefault(c, set()).add(n)
+    return out.values()
+
+
+def test_segments_grow_with_the_fingerprints():
+    assert [simhash.segments_for(n, 2) for n in (0, 10**6, 10**8, 10**9, 10**11, 10**13)] == [3, 3, 3, 4, 4, 5]
+    for parts in (3, 4, 5, 8):
+        masks = simhash.meeting_masks(simhash.segment_bounds(parts), 2)
+        for a in range(64):
+            for b in range(a):
+                assert any(not (1 << a | 1 << b) & m for _, m in masks)
+
+
 def test_near_duplicates_edges(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (None, "q r s t u")], "doc_id long, text string")
     made = sorted((r.doc_id or 0, r.component_id or 0) for r in simhash.near_duplicates(docs).collect())
