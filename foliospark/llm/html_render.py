@@ -21,7 +21,7 @@ RAW = frozenset("script style xmp iframe noembed noframes".split())
 PLAIN = frozenset(("textarea", "title"))
 HIDDEN = frozenset("head script style template noscript title meta link iframe object embed audio video canvas datalist param source track area map noembed noframes rp meter progress".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr menu fieldset xmp listing plaintext".split())
-BLOCK = SPACED | frozenset("html body dialog address article aside details dd div dt figcaption footer form header hgroup legend li main nav search section summary center caption tr thead tbody tfoot td th option optgroup text textarea".split())
+BLOCK = SPACED | frozenset("html body dialog address article aside details dd div dt figcaption footer form header hgroup legend li main nav search section summary center caption tr thead tbody tfoot td th option optgroup textarea".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 EXACT = frozenset("pre textarea xmp listing plaintext".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dd dt xmp listing plaintext".split())
@@ -342,8 +342,8 @@ def _loose(part: Node) -> list:
     return out
 
 
-def _grid(groups: list[list[Node]], state: State) -> list[list[tuple[int, list[str]]]]:
-    """Rows of (column, lines): cells at the columns that spans of cells before and above leave them."""
+def _grid(groups: list[list[Node]], state: State) -> list[list[tuple[int, list[str] | None]]]:
+    """Rows of (column, lines): cells at the columns that spans of cells before and above leave them, and None where such spans reach."""
     grid = []
     for rows in groups:
         taken: dict[int, int] = {}  # column: rows still taken from above
@@ -369,8 +369,10 @@ def _grid(groups: list[list[Node]], state: State) -> list[list[tuple[int, list[s
                     # columns beyond a line's aligned part just follow, so none is left free for them
                     below.update((c, high) for c in range(column, min(column + wide, LINE // 3)))
                 column += wide
+                cells += [(c, None) for c in range(column - wide + 1, min(column, LINE // 3))]
+            cells += [(c, None) for c in taken]
             taken = {c: h - 1 for c, h in (taken | below).items() if h > 1}
-            grid.append(cells)
+            grid.append(sorted(cells, key=lambda c: c[0]))
     return grid
 
 
@@ -382,16 +384,19 @@ def _table(node: Node, out: Writer, state: State) -> None:
     for caption in captions:
         _flow([caption], out, State(state.exact, state.visible))
         out.end()
-    grid = [cells for cells in _grid(groups, state) if any(any(lines) for _, lines in cells)]
+    grid = [cells for cells in _grid(groups, state) if any(lines and any(lines) for _, lines in cells)]
     width: dict[int, int] = {}
     for cells in grid:
         for column, lines in cells:
-            width[column] = max(width.get(column, 0), *map(len, lines))
+            if lines:
+                width[column] = max(width.get(column, 0), *map(len, lines))
     offset, at = {}, 0
     for column in sorted(width):
         offset[column] = at
         at += width[column] + 3
     for cells in grid:
+        # a column that only spans reach is none, and beyond the aligned part nothing is left free
+        cells = [(column, lines or [""]) for column, lines in cells if lines or column in width and offset[column] <= LINE]
         for i in range(max(len(lines) for _, lines in cells)):
             line, length = [], 0
             for column, lines in cells:

@@ -98,7 +98,9 @@ CASES = {
     "x &amp; y &lt;z&gt; &copy;&nbsp;k": "x & y <z> ©\u00a0k",
     "<details><summary>s</summary>hidden</details><details open><summary>s</summary>shown</details>": "s\ns\nshown",
     "<!-- c --><![CDATA[ d ]]><?p x?>t": "t",
-    "a<noscript>n</noscript><template><p>t</p></template><textarea>u</textarea>b": "ab",
+    "a<noscript>n</noscript><template><p>t</p></template>b": "ab",
+    "a<textarea>\n u\n  v</textarea>b<select><option>o<optgroup label=g><option selected>p</select>": "a\n\n u\n  v\n\nb\no\ng\np",
+    "<input value=Go type=submit> <input type=hidden value=no><input type=password value=no>": "Go",
     "<blockquote>q<p>r</blockquote>s": "  q\n\n  r\n\ns",
     "<dl><dt>t<dd>d<dt>u</dl>": "t\n  d\nu",
     "<a href=x>l</a> <img alt='pic'> <": "l pic <",
@@ -113,6 +115,142 @@ def test_render(markup):
     assert html_render.render(markup) == CASES[markup]
 
 
+#: Broken or unusual markup, as browsers show it.
+BROWSERS = {
+    "<p title=it's>Hello world, it's fine</p>": "Hello world, it's fine",
+    '<a href="x"">text "q" more</a> end': 'text "q" more end',
+    "<p class=a'>one two</p><p>three</p>": "one two\n\nthree",
+    "<p a='>'>x</p><p b=\">\" c>y": "x\n\ny",
+    "x<p": "x",
+    "a < b </ c> d </": "a < b d </",
+    "<table><tr><td rowspan=2>a<td>b<tr><td>c</table>": "a | b\n  | c",
+    "<table><tr><td>1<td rowspan=0>2<tr><td>3<tr><td>4<td>5</table>": "1 | 2\n3 |\n4 |   | 5",
+    "<table><tr><td colspan=2>wide<td>z<tr><td>1<td>2<td>3</table>": "wide |   | z\n1    | 2 | 3",
+    "<table><tfoot><tr><td>f<tbody><tr><td>b<thead><tr><td>h</table>": "h\nb\nf",
+    "<dialog open>o</dialog><dialog>n</dialog><dialog style='display:block'>d</dialog>": "o\nd",
+    "<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</div>z": "yes\nz",
+    "<p style='display:none;display:block'>a</p><p style='display:none!important;display:block'>b</p><p style='display:block;display:wrong'>c</p>": "a\n\nc",
+    "<p hidden style='display:block'>a</p><p hidden>b</p><p style='x:\";display:none\"'>c</p>": "a\n\nc",
+    "<ol><li value=7>a<li>b</ol>": "7. a\n8. b",
+    "<ol reversed><li>a<li>b</ol>": "2. a\n1. b",
+    "<ol start=-1><li>a<li>b<li>c</ol><ol start=12345678901><li>z</ol>": "-1. a\n0. b\n1. c\n\n12345678901. z",
+    "<plaintext>a</p>": "a</p>",
+    "<xmp><b>x</b></xmp>": "<b>x</b>",
+}
+
+
+@pytest.mark.parametrize("markup", BROWSERS)
+def test_render_as_browsers_do(markup):
+    assert html_render.render(markup) == BROWSERS[markup]
+
+
+def plain_tokens(markup):
+    """Character by character, by the states of the HTML standard."""
+    space, i, n, out = " \t\n\f\r", 0, len(markup), []
+
+    def text(t):
+        if t:
+            out.append(("text", t, None))
+
+    while i < n:
+        if markup[i] != "<":
+            text(markup[i])
+            i += 1
+            continue
+        if markup.startswith("<!--", i):
+            i += 4
+            if markup.startswith(">", i) or markup.startswith("->", i):
+                i += 1 + markup.startswith("->", i)
+                continue
+            while i < n and not markup.startswith("-->", i) and not markup.startswith("--!>", i):
+                i += 1
+            i += 3 + markup.startswith("--!>", i)
+            continue
+        following = markup[i + 1 : i + 2]
+        close = following == "/"
+        first = markup[i + 2 : i + 3] if close else following
+        if following in ("!", "?") and following or close and first and not (first.isascii() and first.isalpha()):
+            while i < n and markup[i] != ">":
+                i += 1
+            i += 1
+            continue
+        if not (first and first.isascii() and first.isalpha()):
+            text("<")
+            i += 1
+            continue
+        i += 2 if close else 1
+        name = ""
+        while i < n and markup[i] not in space + "/>":
+            name += markup[i]
+            i += 1
+        own = {}
+        while i < n and markup[i] != ">":
+            if markup[i] in space + "/":
+                i += 1
+                continue
+            key, i = markup[i], i + 1
+            while i < n and markup[i] not in space + "/>=":
+                key += markup[i]
+                i += 1
+            j = i
+            while j < n and markup[j] in space:
+                j += 1
+            value = ""
+            if j < n and markup[j] == "=":
+                i = j + 1
+                while i < n and markup[i] in space:
+                    i += 1
+                if i < n and markup[i] in "'\"":
+                    quote, i = markup[i], i + 1
+                    while i < n and markup[i] != quote:
+                        value += markup[i]
+                        i += 1
+                    i += 1
+                else:
+                    while i < n and markup[i] not in space + ">":
+                        value += markup[i]
+                        i += 1
+            own.setdefault(key.lower(), value)
+        if i >= n:
+            break
+        i += 1
+        out.append(("end", name.lower(), None) if close else ("start", name.lower(), own))
+    return joined(out)
+
+
+def joined(tokens):
+    """With texts beside each other as one."""
+    out = []
+    for kind, value, own in tokens:
+        if kind == "text" and out and out[-1][0] == "text":
+            out[-1] = (kind, out[-1][1] + value, None)
+        else:
+            out.append((kind, value, own))
+    return out
+
+
+MARKUP = st.lists(st.sampled_from(["<", "</", "<a", "<b ", "</b", "a", "B", " ", "=", '"', "'", "/", ">", ">", "<!--", "-->", "!", "-", "?", "\n", "x=1", "é"]), max_size=25).map("".join)
+
+
+@settings(max_examples=3000, deadline=None)
+@given(MARKUP)
+def test_tokens_by_the_standard(markup):
+    assert joined(html_render.tokens(markup)) == plain_tokens(markup)
+
+
+#: Markup made to take long, about 1 MB each.
+CRAFTED = ["<a><td>" + "<b>" * 20_000 + "</a>" * 20_000, "<p a='" * 150_000, "<!--" * 250_000, "<div x=" * 140_000, "<" * 1_000_000, "<title>" * 120_000, "<p style='" + "a:(" * 300_000 + "'>x", "<a " + " b=c" * 250_000 + ">t", "&" * 1_000_000, "<table><tr><td>" + "x<br>" * 100_000 + "<td>" * 10 + "y", "<table>" + "<tr><td rowspan=0 colspan=1000>a" * 10_000]
+
+
+@pytest.mark.parametrize("markup", CRAFTED, ids=range(len(CRAFTED)))
+def test_work_grows_with_the_page(markup):
+    import time
+
+    began = time.process_time()
+    made = html_render.render(markup)
+    assert time.process_time() - began < 8 and len(made) < 4 * len(markup)
+
+
 def test_render_keeps_all_words():
     rng = random.Random(3)
     names = ["p", "div", "ul", "li", "table", "tr", "td", "b", "i", "span", "h1", "section", "br", "dl", "dt", "dd", "ol", "blockquote", "a", "tbody", "th"]
@@ -194,6 +332,57 @@ def test_classifier_on_held_out_rows(spark):
     assert all(abs(again[i] - made[i].draw) < 1e-5 for i in made)
 
 
+def test_features_tell_texts_apart():
+    ours = lambda t: set(quality_classifier.features(t, 1 << 16).tolist())
+    a, b = "это хороший текст про науку", "купи дешёвые таблетки прямо сейчас"
+    assert not ours(a) & ours(b) and len(ours(a)) == 9
+    assert len(ours("The committee met.") & ours("the casino met!")) == 2
+    assert quality_classifier.TOKEN.findall("日本語 ok, 漢字!? a_b") == ["日", "本", "語", "ok", ",", "漢", "字", "!?", "a", "_", "b"]
+    assert len(quality_classifier.features("w " * 100, 1 << 16)) == 199 and len(ours("w " * 100)) == 2
+
+
+def test_classifier_by_brute_force(spark):
+    import math
+    import re
+    from collections import Counter
+
+    rng = random.Random(9)
+    rows = [(i, (junk if i % 4 == 0 else prose)(rng, rng.choice([0, 1, 5, 40, 3000 if i % 100 == 1 else 30]))) for i in range(400)]
+    rows[7] = (7, None)
+    quality = {i: int(i % 4 != 0) for i in range(0, 400, 2)} | {i: 1 for i in range(1, 200, 4)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame(list(quality.items()), "doc_id long, quality int")
+    number = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
+    seeded = lambda seed, key: int(hashlib.md5(f"{seed}:{key}".encode()).hexdigest()[:13], 16)
+
+    def grams(text):
+        own = [number(t) for t in re.findall(r"\w+|[^\w\s]+", (text or "").lower())]
+        pairs = [0x5BD1E995 if a == b else a * 0x2545F491 + b for a, b in zip(own, own[1:])]
+        return [x % 65536 for x in own] + [(x >> 24) % 65536 for x in pairs]
+
+    half = {i for i in quality if seeded("half", i) % 2 == 0}
+    raw = Counter(g for _, t in rows for g in grams(t))
+    target = Counter(g for i, t in rows if i in half and quality[i] for g in grams(t))
+    scale = sum(target.values()) / sum(raw.values())
+    ratio = {g: math.log((target[g] + 10) / (n * scale + 10)) for g, n in raw.items()}
+    weight = {i: sum(ratio[g] for g in grams(t)) * min(1, 64 / max(1, len(grams(t)))) for i, t in rows}
+    held = sorted((weight[i] for i in quality if quality[i] and i not in half), reverse=True)
+    floor = math.floor(held[max(1, len(held) - int(0.001 * len(held))) - 1] * 2**20) / 2**20 - 3
+    k = sum(w >= floor for w in weight.values())
+    draw = {i: math.floor((w - math.log(-math.log((seeded(11, i) + 0.5) / 2**52))) * 2**20) for i, w in weight.items()}
+    least = sorted(draw.values(), reverse=True)[k - 1]
+    made = {r.doc_id: r for r in quality_classifier.classify(docs, labels).collect()}
+    assert all(abs(made[i].log_weight - w) < 1e-9 for i, w in weight.items())
+    assert {i for i in made if made[i].kept} == {i for i in draw if draw[i] >= least} and 0 < k < 400
+
+
+def test_classifier_passes_columns_on(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, "x", 7, True)], "doc_id long, text string, quality int, half string, target int, kept boolean")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    made = quality_classifier.classify(docs, labels).first()
+    assert (made.quality, made.half, made.target, made.text) == (5, "x", 7, "a b")
+
+
 def test_classifier_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "a b"), (3, "a b"), (3, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
