@@ -63,6 +63,26 @@ def test_stages(spark, corpus):
     assert len(coded) == len(rows) and all(len(r.ids) == r.n_tokens for r in coded)
 
 
+def test_stages_take_odd_rows(spark, corpus):
+    """Null and blank texts, null and repeated keys, repeated rows, and a column too many."""
+    folder, rows, _ = corpus
+    text, other = rows[4][1], rows[8][1]
+    odd = [(1, text, "en", "a", 5, "x"), (1, text, "en", "a", 5, "x"), (1, other, "en", "a", 5, "x"), (2, None, None, None, None, None), (3, "  ", "en", "a", 2, "x"), (None, text, "en", None, 1, "x"), (None, None, "en", None, 1, "x"), (9, other, "en", "b", 1, "x")]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long, order string")
+    made = {}
+    for name, stage in corpus_pipeline.STAGES:
+        made[name] = stage(spark, docs, folder).collect()
+    kept = made["quality classifier"]
+    assert len(kept) == 8 and len(kept[0]) == 5
+    # one row for each group: the blank ones, text, and other
+    assert sorted((r.doc_id or 0, (r.text or "").strip()) for r in made["SimHash near-dedup"]) == sorted([(0, ""), (0, text), (1, other)])
+    cut = made["suffix-array dedup"]
+    assert len(cut) == 8 and sum(r.text is None for r in cut) == 2 and {r.n_chars for r in cut if r.text is None} == {None}
+    assert all(len(r.text) == r.n_chars for r in cut if r.text is not None)
+    assert {r.doc_id for r in made["mixing sources to target weights"]} <= {1, 3, 9, None}
+    assert len(made["SentencePiece encoding and decoding"]) == 8
+
+
 def test_run(spark, corpus):
     folder, rows, _ = corpus
     made = corpus_pipeline.run(spark, folder).collect()

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from foliospark.llm.suffix_dedup import OUTPUTS, Repeats, remove_repeats
+from foliospark.llm.suffix_dedup import OUTPUTS, Repeats, _deal_stretches, multikey_quicksort, remove_repeats, sampled_splitters
 
 SCHEMA = "doc_id long, text string"
 DIGESTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -69,6 +69,9 @@ def test_outputs_and_extra_columns(spark):
     rows = {r.doc_id: r for r in remove_repeats(docs, outputs=tuple(OUTPUTS)).collect()}
     assert rows[2].n_removed == rows[2].n_bytes == len(text.encode()) and rows[2].kept_text == ""
     assert [tuple(s) for s in rows[2].spans] == [(0, len(text.encode()))]
+    assert (rows[1].order, rows[2].order) == ("a", "b")
+    other = docs.withColumnRenamed("order", "bytes").withColumnRenamed("n_bytes", "spans")
+    assert [(r.bytes, r.spans) for r in remove_repeats(other, outputs=DIGESTS).orderBy("doc_id").collect()] == [("a", 5), ("b", 6)]
     assert rows[1].kept_bytes.decode("utf-8", "ignore") == rows[1].kept_text
 
 
@@ -81,5 +84,45 @@ def test_repeated_and_null_keys(spark):
     assert rows == sorted([(0, False, 0), (0, False, n(b)), (1, False, n(a)), (1, False, n(a)), (1, True, n(b)), (2, True, n(a))])
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_multikey_quicksort(seed):
+    import numpy as np
+
+    rng = random.Random(seed)
+    group = sorted(rng.randrange(rng.choice([1, 4, 30])) for _ in range(300))
+    keys = [tuple(rng.choice([0, 1, 2, 2**63, 2**64 - 1]) for _ in range(g % 3 + 1)) for g in group]
+    depth = np.array([len(k) for k in keys])
+    table = np.array([k + (0,) * (3 - len(k)) for k in keys], np.uint64)
+    rows, same = multikey_quicksort(300, lambda r, at: table[r, at], depth, np.array(group))
+    assert rows.tolist() == sorted(range(300), key=lambda i: (group[i], keys[i]))
+    assert same.tolist() == [bool(i) and (group[a], keys[a]) == (group[b], keys[b]) for i, (a, b) in enumerate(zip([0, *rows.tolist()], rows.tolist()))]
+    assert multikey_quicksort(0, None, 3)[0].tolist() == []
+
+
+def test_a_frequent_line_is_spread(spark):
+    """A line below a window's length in every document, and no repeated window: equal to brute force, over ranges of about one size."""
+    rng = random.Random(11)
+    line = "A line of sixty-two bytes which all of these documents have.\n\n"
+    texts = {i: "".join(rng.choice("abcdefgh ") for _ in range(60)) + line + "".join(rng.choice("abcdefgh ") for _ in range(60)) for i in range(3000)}
+    docs = spark.createDataFrame(list(texts.items()), SCHEMA).repartition(4)
+    how = Repeats(range_bytes=20_000, sample=64)
+    whole = docs.selectExpr("doc_id as `order`", "cast(text as binary) as text")
+    splitters = sampled_splitters(whole, 25, sum(map(len, texts.values())), how)
+    sizes = [r.n for r in whole.mapInArrow(_deal_stretches(how, splitters), "range int, n int, size long, packed binary").groupBy("range").agg({"n": "sum"}).toDF("range", "n").collect()]
+    assert len(sizes) == 25 and max(sizes) < 3 * sorted(sizes)[12]
+    found = {r.doc_id: tuple(r[n] for n in DIGESTS) for r in remove_repeats(docs, outputs=DIGESTS, how=how).collect()}
+    assert found == brute(texts)
+
+
+def test_long_text(spark):
+    """One text over several blocks, with a repeat across their bounds."""
+    rng = random.Random(12)
+    text = words(rng, 60_000)
+    texts = {1: text, 2: text[100_000:160_000], 3: "x" * 99 + text[-300:]}
+    docs = spark.createDataFrame(list(texts.items()), SCHEMA)
+    found = {r.doc_id: tuple(r[n] for n in DIGESTS) for r in remove_repeats(docs, outputs=DIGESTS, how=Repeats(block=50_000)).collect()}
+    assert found == brute(texts)
+
+
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], SCHEMA), outputs=DIGESTS).collect() == []
