@@ -25,6 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Bytes that a writing task holds of a table; by default it would be 128 MB.
+ROW_GROUP = 16 << 20
+
+
 class SharedTables:
     """Parquet tables in the shared folder, which cut lineage and outlive lost executors."""
 
@@ -34,7 +38,7 @@ class SharedTables:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Writes and rereads; the reread plan no longer knows how the rows were made."""
         path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").mode("overwrite").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
