@@ -24,7 +24,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small_batches(spark: SparkSession, most: str = "4m") -> None:
+def small_batches(spark: SparkSession, most: str = "1m") -> None:
     """Bounds the bytes of a batch that Python gets, where the session doesn't, since texts can be very long. Rows and results of other queries stay as they are."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(name, None) is None:
@@ -42,18 +42,30 @@ def fresh(taken, *names: str) -> list[str]:
     return out
 
 
-def lean(run):
-    """The same function over batches, which gives freed memory back to the system at its end: workers are used again, and what one stage has freed would else be kept beside what the next one needs."""
+#: What workers hold beyond a task, by name: functions that let go of it.
+HELD: dict = {}
+
+
+def lean(run, holds: str | None = None):
+    """The same function over batches, in a worker that holds little beside.
+
+    Workers are used again by other stages: what those hold in HELD under another name is
+    let go before, and what this one has freed goes back to the system after."""
 
     def lean_run(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        from foliospark.llm.common import HELD as held  # the worker's own, not one that came with this function
+
+        for name, let_go in held.items():
+            if name != holds:
+                let_go()
         try:
             yield from run(batches)
         finally:
-            import ctypes
-            import gc
-
-            import pyarrow as pa
-
             gc.collect()
             pa.default_memory_pool().release_unused()
             try:

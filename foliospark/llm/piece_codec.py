@@ -18,6 +18,8 @@ from itertools import chain, groupby
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import HELD, lean, small_batches
+
 SPACE = "▁"
 #: A newline, a run of spaces with the word after it, or a last run of spaces.
 UNITS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
@@ -202,13 +204,15 @@ class PieceCodec:
         return text[1:] if first is not None and self.pieces[first].startswith(SPACE) else text
 
 
-_CODECS: dict[int, PieceCodec] = {}
+_CODECS: dict[tuple[int, int], PieceCodec] = {}
+HELD["codecs"] = _CODECS.clear
 
 
-def codec_for(proto: bytes) -> PieceCodec:
+def codec_for(proto: bytes, most_cached: int) -> PieceCodec:
     """One codec for each model and Python worker."""
-    if (found := _CODECS.get(key := hash(proto))) is None:
-        found = _CODECS[key] = PieceCodec(proto)
+    if (found := _CODECS.get(key := (hash(proto), most_cached))) is None:
+        _CODECS.clear()
+        found = _CODECS[key] = PieceCodec(proto, most_cached)
     return found
 
 
@@ -216,18 +220,17 @@ def codec_for(proto: bytes) -> PieceCodec:
 OUTPUTS = {"n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType()), "ids_sha256": T.StringType(), "decoded": T.StringType(), "decoded_sha256": T.StringType()}
 
 
-def encode_documents(docs: DataFrame, model: str, text: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), add_end: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, text: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), add_end: bool = True, most_cached: int = 400_000) -> DataFrame:
     """Adds token ids, their decoded text and digests of both, as named in outputs.
 
     Null and empty texts have the end id only, and decode to the empty text. Long texts
     and words are whole: a task holds one batch of texts, bounded in bytes, and their ids.
     Repeated rows all stay, and there are no ties to break. Columns of the input with an added name
     are replaced, and all others pass through. An empty table gives an empty table.
-    The model file is read by the driver; executors get its bytes."""
+    The model file is read by the driver; executors get its bytes. A worker keeps the
+    tokens of at most twice most_cached short units."""
     import pyarrow as pa
 
-    from .common import lean, small_batches
-
     small_batches(docs.sparkSession)
     with open(model, "rb") as f:
         proto = f.read()
@@ -236,7 +239,7 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", outputs: t
     kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
 
     def run(batches):
-        codec = codec_for(proto)
+        codec = codec_for(proto, most_cached)
         end = str(codec.end)
         for batch in batches:
             columns: dict[str, list] = {n: [] for n in outputs}
@@ -259,7 +262,7 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", outputs: t
                             columns[n].append(v)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(columns[n], kinds.get(n, pa.string())) for n in outputs], names=[*kept, *outputs])
 
-    return docs.mapInArrow(lean(run), schema)
+    return docs.mapInArrow(lean(run, "codecs"), schema)
 
 
 def default_model() -> str:

@@ -42,7 +42,7 @@ class Repeats:
     #: Windows of an anchor are cut into pieces of at most so many.
     piece: int = 17
     #: Bytes of text for each range of stretches, and no more ranges than this.
-    range_bytes: int = 8_000_000
+    range_bytes: int = 6_000_000
     ranges: int = 16_384
     #: Sampled suffixes for each range.
     sample: int = 32
@@ -50,7 +50,7 @@ class Repeats:
     bucket_pieces: int = 40_000
     #: Bytes looked at in one go, stretches kept before they are sent, and windows sorted at once.
     block: int = 1_000_000
-    held: int = 300_000
+    held: int = 250_000
     windows: int = 1_000_000
 
 
