@@ -579,3 +579,18 @@ def extract_text(pages: DataFrame, html_column: str = "html", added: str = "text
 
 def query(spark, sf_dir: str) -> DataFrame:
     return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")).select("page_id", "text")
+
+
+#: For pages of the elements that the tables' pages have: paragraphs, headings and lists stand apart, other blocks on lines of their own.
+SQL = r"""
+WITH a AS (
+  SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->|<head>.*?</head>|<script>.*?</script>', '', 'gs'), '<[a-zA-Z/!][^>]*$', '') AS h FROM pages
+), b AS (
+  SELECT page_id, regexp_replace(regexp_replace(h, '[ \t\n\f\r]+', ' ', 'g'), '</?(?:p|ul|h1)(?: [^>]*)?>|</article>', chr(1), 'g') AS h FROM a
+), c AS (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '<li>', chr(2) || '- ', 'g'), '<(?:/?(?:div|article|nav|footer|html|body|br)(?: [^>]*)?|/li|!DOCTYPE[^>]*)>', chr(2), 'g'), '</?[a-zA-Z][^>]*>', '', 'g') AS h FROM b
+), d AS (
+  SELECT page_id, regexp_replace(regexp_replace(h, '[ \x02]*\x01[ \x01\x02]*', chr(10) || chr(10), 'g'), ' *\x02[ \x02]*', chr(10), 'g') AS h FROM c
+)
+SELECT page_id, replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(h, '^\s+|\s+$', '', 'g'), '&copy;', '©', 'g'), '&middot;', '·', 'g'), '&lt;', '<'), '&quot;', '"'), '&amp', '&') AS text FROM (SELECT page_id, replace(h, '&amp;', '&amp') AS h FROM d)
+"""

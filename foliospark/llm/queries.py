@@ -19,9 +19,11 @@ QUERIES = {
 
 SQL = {
     "op1_quality_rules": quality_rules.SQL,
+    "op2_suffix_dedup": suffix_dedup.SQL,
     "op3_mixing": mixing.SQL,
     "op5_embedding_dedup": embedding_dedup.SQL,
     "op6_url_filter": url_filter.SQL,
     "op7_quality_classifier": quality_classifier.SQL,
+    "op8_html_render": html_render.SQL,
     "op9_chat_format": chat_format.SQL,
 }

@@ -606,3 +606,29 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", out
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs, outputs=("n_bytes", "n_removed", "n_spans", "kept_sha256"), keep_source=False)
+
+
+#: All windows by their MD5, for tables as small as the tests'.
+SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), c AS (
+  SELECT doc_id, o * 1000 AS base, length(h) // 2 AS n, substr(h, 2000 * o + 1, 2198) AS piece FROM (SELECT doc_id, h, unnest(range((length(h) // 2 + 999) // 1000)) AS o FROM d)
+), w AS (
+  SELECT doc_id, base + i AS p, md5(substr(piece, 2 * i + 1, 200)) AS k FROM (SELECT *, unnest(range(least(1000, n - 99 - base))) AS i FROM c)
+), again AS (
+  SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1
+), runs AS (
+  SELECT doc_id, p, sum(CASE WHEN p <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM again)
+), spans AS (
+  SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM runs GROUP BY doc_id, run
+), cuts AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since, lead(a) OVER (PARTITION BY doc_id ORDER BY a) IS NULL AS last FROM spans
+), kept AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans,
+    string_agg(substr(h, 2 * since + 1, 2 * (a - since)) || CASE WHEN last THEN substr(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS hex
+  FROM cuts JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(hex, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
