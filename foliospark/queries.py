@@ -9,6 +9,7 @@ from . import functions as f
 from .inline import Inline
 from .operators import assemble, assets, documents, package, preflight, reports, tree, validate
 from .policy import ArchiveLimits, Options
+from .tables import SharedTables
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -42,12 +43,12 @@ def stable_anchor(spark, d):
     return table(spark, d, "pages").select("page_id", f.anchor_component(F.col("url")).alias("slug"), f.stable_anchor(F.col("url")).alias("anchor"))
 
 
-@query(f"""WITH b AS (SELECT page_id, {SLUG.format(HOST.format('url'))} AS base FROM pages), n AS (SELECT page_id, base, row_number() OVER (PARTITION BY base ORDER BY page_id) AS n FROM b)
+@query(f"""WITH b AS (SELECT page_id, substr(url, 1, 4) AS book, 'epub-' || {ANCHOR.format(HOST.format('url'))} AS base FROM pages), n AS (SELECT page_id, base, row_number() OVER (PARTITION BY book, base ORDER BY page_id) AS n FROM b)
 SELECT page_id, CASE WHEN n > 1 THEN base || '-' || n ELSE base END AS anchor FROM n""")
 def anchor_collision(spark, d):
-    own = table(spark, d, "pages").select("page_id", f.anchor_component(F.regexp_extract("url", "://([^/]*)", 1)).alias("base"))
-    n = own.withColumn("n", F.row_number().over(Window.partitionBy("base").orderBy("page_id")))
-    return n.select("page_id", F.when(F.col("n") > 1, F.concat("base", F.lit("-"), "n")).otherwise(F.col("base")).alias("anchor"))
+    """Pages as documents of a few books, all those of a host with one path."""
+    own = table(spark, d, "pages").select(F.substring("url", 1, 4).alias("book_id"), F.col("page_id").alias("doc_ord"), F.regexp_extract("url", "://([^/]*)", 1).alias("path"))
+    return documents.allocate_targets(own).select(F.col("doc_ord").alias("page_id"), "anchor")
 
 
 @query("SELECT doc_id, CASE WHEN regexp_full_match(lang, '[A-Za-z0-9]+(-[A-Za-z0-9]+)*') THEN lang ELSE 'en' END AS language FROM documents")
@@ -99,8 +100,13 @@ def chapter_titles(spark, d):
 
 @query("WITH n AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations) SELECT conv_id, turn, place FROM n WHERE place BETWEEN 2 AND 3")
 def doc_order_range(spark, d):
-    own = table(spark, d, "conversations").select(F.col("conv_id"), "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("doc_ord"))
-    return package.spine_slice(own, Options(spine_range=(2, 3))).select("conv_id", "turn", F.col("doc_ord").cast("long").alias("place"))
+    """Conversations as books, whose spine lists their turns."""
+    conversations = table(spark, d, "conversations")
+    turns = conversations.select(F.col("conv_id").alias("book_id"), F.col("turn").alias("at"), F.col("turn").cast("string").alias("item_id"))
+    items = turns.select("book_id", F.col("at").alias("item_ord"), "item_id", F.col("item_id").alias("name"), F.lit("text/html").alias("media_type"))
+    spine = turns.select("book_id", F.col("at").alias("spine_ord"), F.col("item_id").alias("idref"))
+    own = package.spine_slice(package.reading_order(package.classify_items(items), spine), Options(spine_range=(2, 3)))
+    return own.select(F.col("book_id").alias("conv_id"), F.col("name").cast(conversations.schema["turn"].dataType).alias("turn"), F.col("doc_ord").cast("long").alias("place"))
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS html FROM conversations GROUP BY conv_id")
@@ -138,10 +144,14 @@ def missing_members(spark, d):
     return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left_anti")
 
 
-@query("SELECT count(CASE WHEN l.doc_id IS NOT NULL THEN 1 END) AS succeeded, count(CASE WHEN l.doc_id IS NULL THEN 1 END) AS failed FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("""SELECT count(CASE WHEN l.doc_id IS NOT NULL THEN 1 END) AS succeeded, count(CASE WHEN l.doc_id IS NULL THEN 1 END) AS failed, count(*)::INTEGER AS listed, min(CASE WHEN l.doc_id IS NULL THEN d.doc_id END)::VARCHAR AS first_failed FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def batch_summary(spark, d):
-    own = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", F.lit(True).alias("ok")), "doc_id", "left")
-    return own.agg(F.count_if(F.col("ok").isNotNull()).alias("succeeded"), F.count_if(F.col("ok").isNull()).alias("failed"))
+    """Documents as books of a batch, which fail without a label."""
+    labels = table(spark, d, "labels").select("doc_id", F.lit(True).alias("ok"))
+    own = table(spark, d, "documents").select("doc_id").join(labels, "doc_id", "left").withColumn("error", F.when(F.col("ok").isNull(), "no label"))
+    results = own.select(F.col("doc_id").alias("input_ord"), F.col("doc_id").cast("string").alias("book_id"), F.lit(None).cast("string").alias("output_path"), "error", F.col("error").alias("error_type"))
+    first = F.get(F.filter("items", lambda x: x["error"].isNotNull()), F.lit(0))["book_id"]
+    return reports.batch_summary(results).select("succeeded", "failed", F.size("items").alias("listed"), first.alias("first_failed"))
 
 
 @query("SELECT doc_id, sha256(text) AS digest FROM documents WHERE text IS NOT NULL")
@@ -155,7 +165,7 @@ def page_books(spark, d):
     """Each host's pages as one book: parsed, cleaned, titled and merged; removed counts what the sanitizer took."""
     ordered = table(spark, d, "pages").withColumn("book_id", F.regexp_extract("url", "://([^/?#]*)", 1)).withColumn("doc_ord", F.row_number().over(Window.partitionBy("book_id").orderBy("page_id")))
     pages = ordered.select("book_id", "doc_ord", F.col("url").alias("path"), "html")
-    nodes = tree.parse_nodes(pages, "html").persist()
+    nodes = SharedTables(spark).write(tree.parse_nodes(pages, "html"), "nodes")
     clean, removed = documents.sanitize(nodes)
     sections = documents.sections(clean, documents.allocate_targets(pages), Options())
     merged = assemble.merge_sections(sections).join(sections.groupBy("book_id").agg(F.count("title").alias("chapters")), "book_id").join(removed.groupBy("book_id").agg(F.sum("removed").alias("removed")), "book_id")
@@ -296,10 +306,12 @@ def url_safety(spark, d):
 
 
 PATHS = Inline("n int, document string, reference string", [(1, "text/a.xhtml", "../images/a.png?size=2#p"), (2, "text/a.xhtml", "/images/a.png"), (3, "a.xhtml", "https://x/a.png"), (4, "t/a.xhtml", "b%20c.png"), (5, "t/a.xhtml", "./x/../y.png"), (6, "a.xhtml", "../../up.png"), (7, "a.xhtml", "#frag"), (8, "a.xhtml", "100%.png"), (9, "a.xhtml", "x\\y.png"), (10, "a.xhtml", "a+b.png"), (11, "a.xhtml", "mailto:x")])
-EXPECTED_PATHS = Inline("n int, resolved string", [(1, "images/a.png"), (2, None), (3, None), (4, "t/b c.png"), (5, "t/y.png"), (6, "../../up.png"), (7, None), (8, "100%.png"), (9, "x/y.png"), (10, "a+b.png"), (11, None)])
+FOLD = """list_reduce(list_prepend('', list_filter(string_split({0}, '/'), lambda x: x NOT IN ('', '.'))), lambda acc, x: CASE WHEN x <> '..' THEN CASE WHEN acc = '' THEN x ELSE acc || '/' || x END
+ WHEN acc = '' THEN '..' WHEN acc = '..' OR ends_with(acc, '/..') THEN acc || '/..' ELSE regexp_replace(acc, '/?[^/]*$', '') END)"""
 
 
-@query(f"SELECT * FROM {EXPECTED_PATHS.sql}")
+@query(f"""WITH p AS (SELECT n, reference, regexp_extract(document, '^(.*/)?[^/]*$', 1) AS folder, replace(url_decode(regexp_extract(reference, '^[^?#]*')), chr(92), '/') AS path FROM {PATHS.sql})
+SELECT n, CASE WHEN regexp_matches(reference, '^([A-Za-z][A-Za-z0-9+.-]*:|/)') OR path = '' THEN NULL ELSE {FOLD.format('folder || path')} END AS resolved FROM p""")
 def path_resolve(spark, d):
     return PATHS.df(spark).select("n", f.resolve_path("document", "reference").alias("resolved"))
 
@@ -413,7 +425,7 @@ def section_filter(spark, d):
     return own.select("n", documents.excluded_section(options).alias("excluded"))
 
 
-@query("SELECT * FROM (VALUES ('a', 1, 1), ('a', 2, 4), ('b', 1, 4), ('b', 2, 0)) AS v(book_id, doc_ord, removed)")
+@query(f"""SELECT book_id, doc_ord, (len(regexp_extract_all(html, '<(script|svg|math|video|form)')) + len(regexp_extract_all(html, '\\s(on[a-z]+|style)=')) + len(regexp_extract_all(html, 'href="(javascript|http):')))::INTEGER AS removed FROM {HTML.sql}""")
 def sanitizer_counts(spark, d):
     _, removed = documents.sanitize(_nodes(spark))
     return removed.select("book_id", "doc_ord", F.col("removed").cast("int").alias("removed"))
@@ -425,7 +437,8 @@ def sanitize_html(spark, d):
     return tree.serialize(clean)
 
 
-@query("""SELECT * FROM (VALUES ('b', 1, '<p>no body<form><input/></form></p>'), ('b', 2, '<div role="landmarks footnotes">f</div><p>left<p>open</p></p>')) AS v(book_id, doc_ord, inner)""".replace(" inner)", ' "inner")'))
+@query(f"""WITH c AS (SELECT book_id, doc_ord, replace(replace(regexp_replace(html, '<(svg|math|video)[^>]*>.*?</(svg|math|video)>', '', 'g'), '<input>', '<input/>'), chr(39), '"') AS h FROM {HTML.sql} WHERE book_id = 'b')
+SELECT book_id, doc_ord, h || repeat('</p>', len(regexp_extract_all(h, '<p>')) - len(regexp_extract_all(h, '</p>'))) AS "inner" FROM c""")
 def content_filter(spark, d):
     return tree.serialize(documents.filter_content(_nodes(spark).filter("book_id = 'b'"), Options()))
 
@@ -444,7 +457,7 @@ def switch_choice(spark, d):
     return tree.serialize(documents.resolve_switches(tree.parse_nodes(own, "html")), name="shown").select(F.col("doc_ord").alias("n"), "shown")
 
 
-@query("SELECT * FROM (VALUES ('a', 1, 'One & only'), ('a', 2, 'Two')) AS v(book_id, doc_ord, title)")
+@query(f"""SELECT book_id, doc_ord, replace(regexp_replace(regexp_extract(html, '<h[1-6][^>]*>(.*?)</h[1-6]>', 1), '<[^>]*>', '', 'g'), '&amp;', '&') AS title FROM {HTML.sql} WHERE regexp_matches(html, '<h[1-6]')""")
 def first_heading(spark, d):
     return tree.first_headings(_nodes(spark))
 
@@ -461,9 +474,12 @@ def document_html(spark, d):
     return assemble.shell(whole, options).select("book_id", "html")
 
 
-@query()
+@query(f"""WITH t AS (SELECT page_id, unnest(regexp_extract_all({PLAIN}, '<([a-z][a-z0-9]*)[ >]', 1)) AS tag FROM pages)
+SELECT page_id, tag, count(*) AS n FROM t GROUP BY page_id, tag""")
 def tree_nodes(spark, d):
-    return _nodes(spark).select("book_id", "doc_ord", "node_id", "parent_id", "subtree_end", "kind", "tag", "text")
+    """The elements of each page, counted by name, from its node table."""
+    nodes = tree.parse_nodes(table(spark, d, "pages"), "html", ["page_id"])
+    return nodes.filter("kind = 'element' and tag <> 'script'").groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
 LINKS = Inline("book_id string, at int, href string, label string", [("a", 1, "b.xhtml#x", "B"), ("a", 2, "text/a.xhtml", "A"), ("a", 3, "none.xhtml", "N"), ("a", 4, "#only", "O"), ("b", 1, "a.xhtml", "other book")])
@@ -478,12 +494,17 @@ def toc_suffix_join(spark, d):
 NAV = Inline("book_id string, doc_ord int, html string", [("a", 1, '<nav role="landmarks"><a href="#r">role</a></nav>'), ("a", 2, '<nav epub:type="x Landmarks"><ol><li><a href="#1">One <i>1</i></a></li><li><a>none</a></li><li><a href="#2"></a></li></ol></nav><nav epub:type="page-list"><a href="#p1">1</a></nav>')])
 
 
-@query("SELECT * FROM (VALUES ('#1', 'One 1'), ('#2', '')) AS v(href, label)")
+#: The links of the nav elements that a type attribute marks, in order.
+NAV_LINKS = """SELECT book_id, doc_ord, i, regexp_extract(a, 'href="([^"]*)"', 1) AS href, regexp_replace(a, '<[^>]*>', '', 'g') AS label FROM (
+ SELECT book_id, doc_ord, unnest(l) AS a, generate_subscripts(l, 1) AS i FROM (SELECT book_id, doc_ord, regexp_extract_all(regexp_extract(html, '<nav epub:type="[^"]*{0}[^"]*">(.*?)</nav>', 1), '<a href="[^"]*">.*?</a>') AS l FROM {1}))"""
+
+
+@query("SELECT href, label FROM (" + NAV_LINKS.format("Landmarks", NAV.sql) + ")")
 def landmarks(spark, d):
     return assemble.navigation_links(tree.parse_nodes(NAV.df(spark), "html"), "landmarks").select("href", "label")
 
 
-@query("SELECT 'a' AS book_id, '<nav class=\"document-navigation\" aria-label=\"Page list\"><h2>Page List</h2><ol><li><a href=\"#p1\">1</a></li></ol></nav>' AS nav")
+@query("""SELECT book_id, '<nav class="document-navigation" aria-label="Page list"><h2>Page List</h2><ol>' || string_agg('<li><a href="' || href || '">' || label || '</a></li>', '' ORDER BY doc_ord, i) || '</ol></nav>' AS nav FROM (""" + NAV_LINKS.format("page-list", NAV.sql) + ") GROUP BY book_id")
 def page_list(spark, d):
     return assemble.entries_html(assemble.navigation_links(tree.parse_nodes(NAV.df(spark), "html"), "page-list"), "page-list", "href")
 
@@ -504,7 +525,12 @@ def dangling_fragments(spark, d):
     return validate.dangling_fragments(tree.parse_nodes(CHECKED.df(spark), "html"))
 
 
-@query("SELECT * FROM (VALUES ('dup', 'duplicate HTML ID(s): x'), ('frag', 'unresolved local link(s): also, missing'), ('src', 'unresolved local resource(s): missing.png')) AS v(book_id, message)")
+@query(f"""WITH e AS (SELECT * FROM {ELEMENTS.sql}), found AS (
+ SELECT book_id, 1 AS o, 'duplicate HTML ID(s): ' AS says, id AS what FROM e WHERE id IS NOT NULL GROUP BY book_id, id HAVING count(*) > 1
+ UNION ALL SELECT DISTINCT book_id, 2, 'unresolved local link(s): ', substr(href, 2) FROM e WHERE starts_with(href, '#') AND length(href) > 1 AND NOT EXISTS (SELECT 1 FROM e i WHERE i.book_id = e.book_id AND i.id = substr(e.href, 2))
+ UNION ALL SELECT DISTINCT book_id, 3, 'unresolved local resource(s): ', src FROM e WHERE src IS NOT NULL AND src <> 'here.png' AND NOT regexp_matches(src, '^(data:|https?:|//)')
+), each AS (SELECT book_id, o, any_value(says) || string_agg(what, ', ' ORDER BY what) AS message FROM found GROUP BY book_id, o)
+SELECT book_id, arg_min(message, o) AS message FROM each GROUP BY book_id""")
 def output_validation(spark, d):
     files = spark.createDataFrame([("src", "here.png")], "book_id string, url string")
     return validate.output_faults(tree.parse_nodes(CHECKED.df(spark), "html"), files).select("book_id", "message")
@@ -513,7 +539,7 @@ def output_validation(spark, d):
 RESULTS = Inline("input_ord int, book_id string, output_path string, error string, error_type string", [(0, "good", "good.html", None, None), (1, "bad", None, "not a ZIP archive", "invalid")])
 
 
-@query("""SELECT '{"succeeded":1,"failed":1,"items":[{"input_ord":0,"book_id":"good","output_path":"good.html","error":null,"error_type":null},{"input_ord":1,"book_id":"bad","output_path":null,"error":"not a ZIP archive","error_type":"invalid"}]}' AS json""")
+@query(f"""SELECT to_json({{succeeded: count(CASE WHEN error IS NULL THEN 1 END), failed: count(error), items: list({{input_ord: input_ord, book_id: book_id, output_path: output_path, error: error, error_type: error_type}} ORDER BY input_ord)}})::VARCHAR AS json FROM {RESULTS.sql}""")
 def batch_json(spark, d):
     return reports.batch_json(RESULTS.df(spark))
 
@@ -526,12 +552,13 @@ def warning_log(spark, d):
     return reports.collect_warnings(WARNED.df(spark)).select("book_id", F.array_join(F.transform("warnings", lambda w: w["code"]), ",").alias("codes"))
 
 
-@query("SELECT * FROM (VALUES ('a', 3, 0), ('b', 10, 2)) AS v(book_id, shown, more)")
+@query(f"SELECT book_id, least(count(*), 10)::INTEGER AS shown, greatest(count(*) - 10, 0)::INTEGER AS more FROM {WARNED.sql} GROUP BY book_id")
 def warning_limit(spark, d):
     return reports.first_warnings(reports.collect_warnings(WARNED.df(spark))).select("book_id", F.size("shown").alias("shown"), "more")
 
 
-@query()
+@query(f"""SELECT book_id, '<!DOCTYPE html><html lang="en"><meta charset="utf-8"><title>Conversion report</title><h1>Conversion report</h1><p><strong>Output:</strong> <code>o.html</code></p><p>1 chapters; 0 images; ' || format('{{:,}}', 1234567) || ' bytes.</p><h2>Chapters</h2><ol><li>' || {ESCAPE.format("'A & B'")} || '</li></ol><h2>Warnings and policy findings</h2><ul>'
+ || string_agg('<li><strong>' || code || '</strong>: ' || message || coalesce(' (' || location || ')', '') || '</li>', '' ORDER BY phase, doc_ord, node_id) || '</ul></html>' AS html FROM {WARNED.sql} GROUP BY book_id""")
 def html_report(spark, d):
     own = reports.collect_warnings(WARNED.df(spark)).select("book_id", "warnings", F.array(F.lit("A & B")).alias("chapters"), F.lit("o.html").alias("output_path"), F.lit(1).alias("documents_processed"), F.lit(0).alias("images_processed"), F.lit(1234567).alias("output_bytes"))
     return reports.html_report(own)
@@ -540,7 +567,8 @@ def html_report(spark, d):
 OVERLAYS = Inline("book_id string, document string, at int, audio string", [("a", "c1", 1, "y.mp3"), ("a", "c1", 0, "x.mp3"), ("a", "c2", 0, "z.mp3")])
 
 
-@query("""SELECT 'a' AS book_id, '{"c1":["x.mp3","y.mp3"],"c2":["z.mp3"]}' AS json""")
+@query(f"""WITH d AS (SELECT book_id, document, '["' || string_agg(audio, '","' ORDER BY "at") || '"]' AS files FROM {OVERLAYS.sql} GROUP BY 1, 2)
+SELECT book_id, '{{' || string_agg('"' || document || '":' || files, ',' ORDER BY document) || '}}' AS json FROM d GROUP BY book_id""")
 def overlay_json(spark, d):
     return reports.overlay_json(OVERLAYS.df(spark))
 
