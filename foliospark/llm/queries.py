@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, embedding_dedup, html_render, mixing, piece_codec, quality_classifier, quality_rules, simhash, suffix_dedup, url_filter
+from . import chat_format, embedding_dedup, html_render, mixing, piece_codec, quality_classifier, quality_rules, simhash, simhash_sql, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -26,4 +26,5 @@ SQL = {
     "op7_quality_classifier": quality_classifier.SQL,
     "op8_html_render": html_render.SQL,
     "op9_chat_format": chat_format.SQL,
+    "op10_simhash": simhash_sql.SQL,
 }
