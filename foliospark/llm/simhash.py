@@ -233,8 +233,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 #: Minimum hashes in a band, and bands. Sets of similarity s agree in some band with probability 1 - (1 - s**8)**48, whatever the number of texts: all but 0.00015 at 0.8.
 BAND, BANDS = 8, 48
-#: Candidate components of more sets than this are compared band group by band group.
+#: Candidate components of more sets than this are compared band group by band group, and groups of more, or of more hashes, in chunks.
 WHOLE = 2048
+HELD_HASHES = 4_000_000
 
 
 def shingle_set(text: bytes, shingle: int, seed: int = 42):
@@ -361,14 +362,110 @@ def _link_sets(similarity: float):
     return run
 
 
+def _leader_links(similarity: float):
+    """For rows (unit, chunk, role, id, hashes) sorted by the first three, the leader of role 0 first: (unit, chunk, id, linked) of the others."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        leader = np.zeros(0, np.uint64)
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for unit, chunk, role, i, hashes in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                own = np.frombuffer(hashes, np.uint64)
+                if not role:
+                    leader = own
+                    continue
+                at = np.searchsorted(leader, own)
+                shared = int((leader[np.minimum(at, len(leader) - 1)] == own).sum())
+                for column, value in zip(out, (unit, chunk, i, shared >= similarity * (len(leader) + len(own) - shared) - 1e-9)):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.bool_())], names=["unit", "chunk", "id", "linked"])
+
+    return run
+
+
+def _block_links(similarity: float):
+    """For rows (unit, chunk, block, role, id, hashes) sorted by the first four: ties (u, v) that connect what links the sets of role 1 to those of role 0."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        key, ids, sets = None, ([], []), ([], [])
+
+        def emit():
+            if not ids[0] or not ids[1]:
+                return
+            sizes = np.array([len(x) for x in sets[0]])
+            tokens, owner = np.concatenate(sets[0]), np.repeat(np.arange(len(sizes)), sizes)
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            nodes = np.array([*ids[0], *ids[1]], np.int64)
+            a, b = [], []
+            for k, own in enumerate(sets[1]):
+                low, high = np.searchsorted(tokens, own), np.searchsorted(tokens, own, "right")
+                n = high - low
+                at = np.arange(n.sum()) + np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n)
+                shared = np.bincount(owner[at], minlength=len(sizes))
+                near = np.flatnonzero(shared >= similarity * (sizes + len(own) - shared) - 1e-9)
+                a.append(near)
+                b.append(np.full(len(near), len(sizes) + k))
+            root = _roots(len(nodes), np.concatenate(a), np.concatenate(b))
+            tied = np.flatnonzero((root != np.arange(len(nodes))) & (nodes != nodes[root]))
+            if len(tied):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[tied]), pa.array(nodes[root[tied]])], names=["u", "v"])
+
+        for batch in batches:
+            for unit, chunk, block, role, i, hashes in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                if (unit, chunk, block) != key:
+                    yield from emit()
+                    key, ids, sets = (unit, chunk, block), ([], []), ([], [])
+                ids[role].append(i)
+                sets[role].append(np.frombuffer(hashes, np.uint64))
+        yield from emit()
+
+    return run
+
+
+def crowd_ties(units: DataFrame, sets: DataFrame, sizes: DataFrame, tables: SharedTables, similarity: float, whole: int) -> DataFrame:
+    """Ties (u, v) that connect what is linked within units (unit, id) too large for one task.
+
+    The sets of a unit are dealt out in chunks. All meet its leader, the least, in their chunk;
+    those linked to it are connected, and needn't meet each other. The rest, in blocks,
+    meet every chunk. A task holds a chunk and a block. sizes is (unit, n, hashes)."""
+    chunks = F.greatest(F.ceil(F.col("n") / whole), F.ceil(F.col("hashes") / HELD_HASHES)).cast("int")
+    known = sizes.select("unit", "n", chunks.alias("chunks"))
+    part = lambda of: F.pmod(F.xxhash64(F.lit(3), "id"), of).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), of - 1))
+    own = units.join(known, "unit").select("unit", part(F.col("chunks")).alias("chunk"), F.lit(1).alias("role"), "id")
+    least = tables.write(units.groupBy("unit").agg(F.min("id").alias("least")), "leaders")
+    lead = least.join(known, "unit").select("unit", every(F.col("chunks")).alias("chunk"), F.lit(0).alias("role"), F.col("least").alias("id"))
+    dealt = own.unionByName(lead).join(sets, "id").select("unit", "chunk", "role", "id", "hashes")
+    dealt = dealt.repartition("unit", "chunk").sortWithinPartitions("unit", "chunk", "role")
+    star = tables.write(dealt.mapInArrow(lean(_leader_links(similarity)), "unit long, chunk int, id long, linked boolean"), "star")
+    ties = star.filter("linked").join(least, "unit").filter("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v"))
+    left = star.filter("not linked").groupBy("unit").agg(F.count("*").alias("left"))
+    # blocks of the rest are about as large as chunks
+    blocks = known.join(left, "unit").select("unit", "chunks", F.ceil(F.col("chunks") * F.col("left") / F.col("n")).cast("int").alias("blocks"))
+    met = star.join(blocks, "unit").select("unit", "chunk", every(F.col("blocks")).alias("block"), F.lit(0).alias("role"), "id")
+    rest = star.filter("not linked").join(blocks, "unit").select("unit", every(F.col("chunks")).alias("chunk"), F.pmod(F.xxhash64(F.lit(4), "id"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), "id")
+    dealt = met.unionByName(rest).join(sets, "id").select("unit", "chunk", "block", "role", "id", "hashes")
+    dealt = dealt.repartition("unit", "chunk", "block").sortWithinPartitions("unit", "chunk", "block", "role")
+    return ties.unionByName(dealt.mapInArrow(lean(_block_links(similarity)), "u long, v long"))
+
+
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, whole: int = WHOLE) -> DataFrame:
     """(key, component_id) for every row: groups of texts linked by an exact Jaccard similarity of their shingle sets of at least this.
 
     Sets that agree in one of a fixed number of bands of minimum hashes are candidates; their layout is the same for
     every number of texts. The candidates' connected components, or the band groups of
-    components of more sets than whole, are compared set by set in one task each, and only exact links count. Equal sets are one, known by a hash
-    of 64 bits. Null and blank texts are one group. Rows with a null key stay.
-    Other columns are dropped. An empty table gives an empty table."""
+    components of more sets than whole, are compared set by set, in one task each or, where
+    they are larger, in chunks; only exact links count. Equal sets are one, known by a hash
+    of 64 bits. Null and blank texts are one group. Texts are whole; one text's shingles
+    must fit a task. Repeated rows are linked, and components need no ties broken. Rows with
+    a null key stay. Other columns are dropped. An empty table gives an empty table."""
     spark = docs.sparkSession
     tables = SharedTables(spark)
     small_batches(spark)
@@ -400,10 +497,21 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
         many = met.join(large, "component", "left_semi").select(F.col("node").alias("id"))
         units = units.unionByName(groups.join(many, "id", "left_semi").select(F.col("grp").alias("unit"), "id"))
     sets = marked.select("id", "hashes").join(met.select(F.col("node").alias("id")), "id", "left_semi").groupBy("id").agg(F.first("hashes").alias("hashes"))
-    placed = units.join(sets, "id").select("unit", "id", "hashes").repartition("unit").sortWithinPartitions("unit")
-    ties = tables.write(placed.mapInArrow(lean(_link_sets(similarity)), "u long, v long"), "ties")
+    sets, units = tables.write(sets, "sets"), tables.write(units, "units")
+    tables.drop("groups")
+    weights = sets.select("id", (F.octet_length("hashes") / 8).cast("long").alias("hashes"))
+    weights = units.join(weights, "id").groupBy("unit").agg(F.count("*").alias("n"), F.sum("hashes").alias("hashes"))
+    crowds = tables.write(weights.filter((F.col("n") > whole) | (F.col("hashes") > HELD_HASHES)), "crowds")
+    alone = units
+    if some := not crowds.isEmpty():
+        alone = units.join(crowds.select("unit"), "unit", "left_anti")
+    placed = alone.join(sets, "id").select("unit", "id", "hashes").repartition("unit").sortWithinPartitions("unit")
+    ties = placed.mapInArrow(lean(_link_sets(similarity)), "u long, v long")
+    if some:
+        ties = ties.unionByName(crowd_ties(units.join(crowds.select("unit"), "unit", "left_semi"), sets, crowds, tables, similarity, whole))
+    ties = tables.write(ties, "ties")
     marked = tables.write(marked.select("key", "id"), "keys")
-    for name in ("marked", "groups", "met", "large"):  # the sets are large, and the result is read lazily
+    for name in ("marked", "met", "large", "sets", "units", "star"):  # the sets are large, and the result is read lazily
         tables.drop(name)
     found = connected_components(ties, tables)
     least = marked.groupBy("id").agg(F.min("key").alias("least"))

@@ -135,7 +135,7 @@ def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
-@pytest.mark.parametrize("whole", [simhash.WHOLE, 2])
+@pytest.mark.parametrize("whole", [simhash.WHOLE, 2, 1])
 def test_similar_documents_by_exact_sets(spark, monkeypatch, whole):
     rng = random.Random(6)
     words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
@@ -159,6 +159,30 @@ def test_similar_documents_by_exact_sets(spark, monkeypatch, whole):
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == components(range(len(texts)), links)
 
 
+def test_crowd_of_near_copies(spark):
+    """Ten thousand documents in one group, a third of them too far from its leader; and two texts of very many words."""
+    rng = random.Random(10)
+    own = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for i in range(10_000):
+        other = own[:]
+        for k in range(rng.choice([1, 2, 3, 5])):
+            other[(17 * i + 31 * k) % 120] = f"n{i}-{k}"
+        texts.append(" ".join(other))
+    long = " ".join(f"x{rng.randrange(10**6)}" for _ in range(60_000))
+    texts += [long, long + " end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    made = {r.doc_id: r.component_id for r in simhash.similar_documents(docs, whole=1000).collect()}
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts[:10_000]]
+    # all that are linked to the first of one change are in its group; the others are checked against samples
+    core = [i for i in range(10_000) if len(sets[i] & sets[0]) >= 0.8 * len(sets[i] | sets[0])]
+    assert len({made[i] for i in core}) == 1 and 2000 < len(core) < 8000
+    for i in range(0, 10_000, 97):
+        near = next((j for j in core if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])), None)
+        assert near is None or made[i] == made[near]
+    assert made[10_001] == made[10_000] == 10_000
+
+
 def test_band_layout_misses_few():
     rng = np.random.RandomState(8)
     factors, lost = simhash._factors(), 0
