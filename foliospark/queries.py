@@ -613,7 +613,11 @@ def zip_directory(spark, d):
     return zip_entries(_archives(spark))
 
 
-@query()
+ENCODED = Inline("n int, content binary", [(1, "naïve".encode()), (2, "naïve".encode("latin-1")), (3, b""), (4, "größer als".encode("latin-1"))])
+
+
+@query(f"""WITH t AS (SELECT n, hex(content) AS h, try(decode(content)) AS valid FROM {ENCODED.sql})
+SELECT n, coalesce(valid, array_to_string(list_transform(range(length(h) // 2), lambda i: chr(('0x' || substr(h, 2 * i + 1, 2))::INTEGER)), '')) AS text, valid IS NULL AS fallback FROM t""")
 def decode_fallback(spark, d):
-    own = spark.createDataFrame([(1, bytearray("naïve".encode())), (2, bytearray("naïve".encode("latin-1"))), (3, bytearray(b""))], "n int, content binary")
+    own = ENCODED.df(spark)
     return own.withColumn("valid", f.text_or_null(F.col("content"))).select("n", F.coalesce("valid", f.decode_text("content")).alias("text"), F.col("valid").isNull().alias("fallback"))
