@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,7 +86,7 @@ def least_neighbour(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.struct("u").alias("k")).agg(F.min("v").alias("m")).select(F.col("k.u").alias("u"), F.least("k.u", "m").alias("m"))
 
 
-def connected_components(edges: DataFrame, tables: SharedTables, rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, tables: SharedTables) -> DataFrame:
     """(node, component) for every node of the undirected edges (u, v); component is the least node reachable.
 
     Alternates two star contractions until nothing changes: first every node ties its
@@ -93,7 +95,7 @@ def connected_components(edges: DataFrame, tables: SharedTables, rounds: int = 4
     logarithm of the longest path. All steps are joins and partial aggregates."""
     edges = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges, before = tables.write(edges, "edges-0"), None
-    for i in range(1, rounds):
+    for i in count(1):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # each larger neighbour v of u is tied to the least node u sees
         wide = both.join(least_neighbour(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -101,13 +103,13 @@ def connected_components(edges: DataFrame, tables: SharedTables, rounds: int = 4
         # each smaller neighbour of u, and u itself, is tied to the least of them
         near = wide.join(least_neighbour(wide), "u")
         near = near.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
-        edges = tables.write(near.filter("u <> v").distinct(), f"edges-{i}")
-        tables.drop(f"edges-{i - 1}")
+        old, edges = edges, tables.write(near.filter("u <> v").distinct(), f"edges-{i}")
+        # sums of hashes tell most rounds apart; whether nothing has changed, the edges themselves
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        settled = state == before and edges.join(old, ["u", "v"], "left_anti").isEmpty()
+        tables.drop(f"edges-{i - 1}")
+        if settled:
             break
         before = state
-    else:
-        raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
