@@ -28,6 +28,9 @@ class RangeJoin:
     #: Vectors for each pivot, but no more pivots than this; a cell of more vectors than a chunk is dealt out in several.
     cell: int = 4096
     pivots: int = 4096
+    #: Cells for fewer vectors, so that there is more than one task, of so many vectors at least.
+    few: int = 12
+    small: int = 512
     #: A cell's own vectors in one chunk, and vectors met at a time.
     chunk: int = 8192
     block: int = 1024
@@ -275,7 +278,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     for d in lengths:
         same = distinct.filter(F.size("vector") == d)
         count = same.count()
-        wanted = max(1, min(how.pivots, -(-count // how.cell)))
+        wanted = max(1, min(how.pivots, max(-(-count // how.cell), min(how.few, count // how.small))))
         # a bounded number of rows, in an order that says nothing about the vectors
         picked = same.select("vector", "hash").orderBy("hash", "vector").limit(min(how.most_sampled, how.sample * wanted)).collect() if wanted > 1 else same.select("vector").limit(1).collect()
         sample = _unit(np.array([r.vector for r in picked], np.float64).reshape(-1, d))
