@@ -166,7 +166,11 @@ def _convert(books: DataFrame, options: Options, reader, watch: Watch) -> Conver
     warned = tables.write(warned, "warnings")
     late = [validate.oversized(sizes, options.limits.max_output_bytes)]
     if options.validate_output:
-        checked = tables.write(tree.parse_nodes(outputs.select("book_id", F.lit(1).alias("doc_ord"), "html"), "html"), "checked")
+        # what is written is read again part by part, so that no task holds a whole book
+        parts = sections.select("book_id", "doc_ord", "html").join(whole.select("book_id"), "book_id", "left_semi")
+        if options.wrapped:
+            parts = parts.unionByName(whole.select("book_id", F.lit(0).alias("doc_ord"), F.coalesce("navs", F.lit("")).alias("html")))
+        checked = tables.write(tree.parse_nodes(parts, "html"), "checked")
         late.append(validate.output_faults(checked, files))
     if options.fail_on_warning:
         late.append(validate.warned(warned))
