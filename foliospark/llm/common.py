@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..tables import SharedTables, shared_dir
 
-__all__ = ["SPACE", "SPACES", "SharedTables", "connected_components", "fresh", "lean", "read", "shared_dir", "small_batches", "words"]
+__all__ = ["SPACE", "SPACES", "SharedTables", "connected_components", "free", "fresh", "lean", "read", "shared_dir", "small_batches", "words"]
 
 #: Characters between words; a word is a maximal run of anything else.
 SPACE = r"[\x20\x09-\x0D]"
@@ -33,6 +33,15 @@ def small_batches(spark: SparkSession, most: str = "1m") -> None:
         spark.conf.set(name, most)
 
 
+def free(spark) -> None:
+    """Lets Spark delete the shuffle files of jobs that are done; only saves disk, and does nothing where the session has no JVM gateway."""
+    import gc
+
+    gc.collect()
+    if (context := getattr(spark, "sparkContext", None)) is not None:
+        context._jvm.System.gc()
+
+
 def fresh(taken, *names: str) -> list[str]:
     """The names, with underscores before those that are taken, whatever the case of their letters."""
     used, out = {t.lower() for t in taken}, []

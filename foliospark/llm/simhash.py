@@ -25,7 +25,7 @@ from itertools import combinations, repeat
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SharedTables, connected_components, lean, small_batches
+from .common import SharedTables, connected_components, free, lean, small_batches
 
 #: Segment values shared by more distinct fingerprints than this go the other exact way.
 CROWD = 512
@@ -498,7 +498,10 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
         units = units.unionByName(groups.join(many, "id", "left_semi").select(F.col("grp").alias("unit"), "id"))
     sets = marked.select("id", "hashes").join(met.select(F.col("node").alias("id")), "id", "left_semi").groupBy("id").agg(F.first("hashes").alias("hashes"))
     sets, units = tables.write(sets, "sets"), tables.write(units, "units")
-    tables.drop("groups")
+    marked = tables.write(marked.select("key", "id"), "keys")
+    for name in ("marked", "groups", "met", "large"):  # the sets are large
+        tables.drop(name)
+    free(spark)
     weights = sets.select("id", (F.octet_length("hashes") / 8).cast("long").alias("hashes"))
     weights = units.join(weights, "id").groupBy("unit").agg(F.count("*").alias("n"), F.sum("hashes").alias("hashes"))
     crowds = tables.write(weights.filter((F.col("n") > whole) | (F.col("hashes") > HELD_HASHES)), "crowds")
@@ -510,9 +513,9 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     if some:
         ties = ties.unionByName(crowd_ties(units.join(crowds.select("unit"), "unit", "left_semi"), sets, crowds, tables, similarity, whole))
     ties = tables.write(ties, "ties")
-    marked = tables.write(marked.select("key", "id"), "keys")
-    for name in ("marked", "met", "large", "sets", "units", "star"):  # the sets are large, and the result is read lazily
+    for name in ("sets", "units", "star"):
         tables.drop(name)
+    free(spark)
     found = connected_components(ties, tables)
     least = marked.groupBy("id").agg(F.min("key").alias("least"))
     placed = least.join(found, least.id == found.node, "left").select("id", "least", F.coalesce("component", "id").alias("component"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SharedTables, fresh, lean, small_batches
+from .common import SharedTables, free, fresh, lean, small_batches
 
 
 @dataclass(frozen=True)
@@ -511,15 +511,6 @@ def repeated_spans(docs: DataFrame, tables: SharedTables, how: Repeats = Repeats
     return first.filter("span is not null").select("order", "span").unionByName(sorted_.filter("span is not null").select("order", "span")).unionByName(across)
 
 
-def free(spark) -> None:
-    """Lets Spark delete the shuffle files of jobs that are done; only saves disk, and does nothing where the session has no JVM gateway."""
-    import gc
-
-    gc.collect()
-    if (context := getattr(spark, "sparkContext", None)) is not None:
-        context._jvm.System.gc()
-
-
 def merged(spans):
     """Sorted, merged (start, end) arrays of spans coded start << 32 | end."""
     import numpy as np
