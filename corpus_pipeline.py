@@ -15,6 +15,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Units whose tokens the encoder keeps; fewer than by default, beside what an executor holds of the stages before.
 CACHED = 150_000
 
+#: Bits in which fingerprints of near copies may differ, and the Jaccard similarity of shingle sets that the exact check asks for.
+BITS, ALIKE = 6, 0.5
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier takes.
@@ -27,14 +30,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, null first, of each group of near copies on five-word shingles.
+    """One document, that of the smallest doc_id, null first, of each group of near copies by SimHash.
 
-    Null, empty and blank texts are one group. Of rows with the smallest doc_id, that of the
+    Fingerprints of distinct three-word shingles link at BITS or fewer differing bits, found by
+    pigeonring filtering; an exact check then parts texts whose shingle sets are not alike. Null, empty and blank texts are one group. Of rows with the smallest doc_id, that of the
     least hash stays, and of rows that repeat one. Texts are whole; one text's shingles must
     fit a task. Other columns than those of documents go. No documents give none."""
     row = F.struct("doc_id", F.xxhash64(*COLUMNS).alias("hash"))
     marked = docs.select(*COLUMNS, row.alias("row"))
-    groups = simhash.similar_documents(marked.select("row", "text"), key="row")
+    groups = simhash.near_duplicates(marked.select("row", "text"), key="row", distance=BITS, similarity=ALIKE)
     gone = groups.filter(~F.col("row").eqNullSafe(F.col("component_id"))).select(F.col("row").alias("gone")).distinct()
     left = marked.join(gone, F.col("row").eqNullSafe(F.col("gone")), "left_anti")
     if not groups.groupBy("row").count().filter("count > 1").isEmpty():

@@ -12,9 +12,11 @@ of the bits by which they meet stays rare at every size, and no link is lost at
 Only distinct fingerprints are compared. A value that very many of them share in spite
 of that is left to exact ways that emit no pairs: with two bits, fingerprints are linked
 if and only if one bit or none, flipped in each, makes them meet; with other numbers,
-they meet again by more segments.
+all meet a few connected ones, and those that these don't reach meet all in blocks.
 
-The near-copy stage of the pipeline, similar_documents, compares shingle sets themselves.
+The near-copy stage of the pipeline is near_duplicates with more bits, over distinct
+shingles, and an exact comparison of the shingle sets of what is linked.
+similar_documents finds its candidates by minimum hashes instead.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .common import SharedTables, connected_components, free, lean, small_batche
 
 #: Segment values shared by more distinct fingerprints than this go the other exact way.
 CROWD = 512
+#: Fingerprints of such a value that a task compares with as many others, and those that all are compared with first.
+CHUNK, LEADERS = 4096, 256
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -42,18 +46,25 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     if len(words) <= shingle:
         return xxhash.xxh64_intdigest(b" ".join(words), seed)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, len(words) - shingle + 1)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, len(words) - shingle + 1))
+
+
+def majority(hashes) -> int:
+    """The bits that are set in over half the hashes; none if there are no hashes."""
+    import numpy as np
+
     count = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 65536):
         count += np.unpackbits(hashes[i : i + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * count > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """Replaces the text by its fingerprint fp, a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, seed: int = 42, distinct: bool = False) -> DataFrame:
+    """Replaces the text by its fingerprint fp, a signed 64-bit integer. If distinct, a shingle counts once, and id is a hash of the text's shingle set, 0 if it is empty."""
     from pyspark.sql import types as T
 
-    kept = [c for c in docs.columns if c not in (text, "fp")]
+    made = ("fp", "id") if distinct else ("fp",)
+    kept = [c for c in docs.columns if c not in (text, *made)]
 
     def run(batches):
         import numpy as np
@@ -61,10 +72,15 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, seed: in
 
         for batch in batches:
             values = batch.column(text).cast(pa.large_binary()).to_pylist()
-            prints = np.fromiter((fingerprint(v or b"", shingle, seed) for v in values), np.uint64, len(values))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(prints.view(np.int64))], names=[*kept, "fp"])
+            if distinct:
+                sets = (shingle_set(v or b"", shingle, seed) for v in values)
+                columns = zip(*((majority(s), set_id(s)) for s in sets))
+            else:
+                columns = [[fingerprint(v or b"", shingle, seed) for v in values]]
+            columns = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in columns] or [pa.array([], pa.int64())] * len(made)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + columns, names=[*kept, *made])
 
-    return docs.mapInArrow(lean(run), T.StructType([*[docs.schema[c] for c in kept], T.StructField("fp", T.LongType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*[docs.schema[c] for c in kept], *[T.StructField(c, T.LongType()) for c in made]]))
 
 
 def segment_bounds(parts: int) -> list[tuple[int, int]]:
@@ -91,11 +107,14 @@ def _chain_holds(x, start: int, bounds, distance: int):
     """Whether each chain of segments from start on has at most its share of the differing bits x. The share of l of m segments is distance * l / m."""
     import numpy as np
 
-    held, spent = np.ones(len(x), bool), np.zeros(len(x), np.int64)
+    at, spent = np.arange(len(x)), np.zeros(len(x), np.int64)
     for n in range(1, len(bounds) + 1):
         shift, width = bounds[(start + n - 1) % len(bounds)]
-        spent += np.bitwise_count(x >> np.uint64(shift) & np.uint64((1 << width) - 1))
-        held &= spent * len(bounds) <= distance * n
+        spent += np.bitwise_count(x[at] >> np.uint64(shift) & np.uint64((1 << width) - 1))
+        holds = spent * len(bounds) <= distance * n
+        at, spent = at[holds], spent[holds]
+    held = np.zeros(len(x), bool)
+    held[at] = True
     return held
 
 
@@ -142,8 +161,8 @@ def _link_sorted(bounds, distance: int):
             held = np.zeros(len(i), bool)
             for k in np.unique(seg[i]):
                 at = np.flatnonzero(seg[i] == k)
-                # with one segment for each choice, chains from it; a pair that holds from another is met there
-                held[at] = _ring_holds(x[at], chosen[k] if len(chosen[k]) == 1 else range(len(bounds)), bounds, distance)
+                # chains start at an equal segment; a pair that holds from another than these is met by that one too
+                held[at] = _ring_holds(x[at], chosen[k], bounds, distance)
             i, x = i[held], x[held]
             i = i[np.bitwise_count(x) <= distance]
             a.append(i)
@@ -180,7 +199,96 @@ def _link_sorted(bounds, distance: int):
     return run
 
 
-def link_fingerprints(prints: DataFrame, tables: SharedTables, distance: int = 2, crowd: int = CROWD, parts: int | None = None) -> DataFrame:
+def _link_leaders(distance: int):
+    """For rows (seg, value, chunk, role, fp) sorted by the first four, role 0 the leaders: (seg, value, chunk, fp, root) of the others, root the least of the leaders' largest component if one of this is linked, else null."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for key, (lead, own) in _dealt(batches, 3):
+            lead = np.unique(lead)
+            a, b = np.nonzero(np.bitwise_count(lead[:, None] ^ lead) <= distance)
+            label = _roots(len(lead), a, b)
+            first = np.bincount(label, minlength=1).argmax()
+            core = lead[label == first]
+            tied = np.zeros(len(own), bool)
+            for x in core:
+                tied |= np.bitwise_count(own ^ x) <= distance
+            root = pa.array(np.full(len(own), core[0] if len(core) else 0, np.uint64).view(np.int64), mask=~tied)
+            same = [pa.array([k] * len(own), t) for k, t in zip(key, (pa.int32(), pa.int64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(own.view(np.int64)), root], names=["seg", "value", "chunk", "fp", "root"])
+
+    return run
+
+
+def _link_blocks(distance: int):
+    """For rows (seg, value, chunk, block, role, fp) sorted by the first five: ties (u, v) that connect what links those of role 1 to those of role 0."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for _, (chunk, block) in _dealt(batches, 4):
+            both = np.concatenate([chunk, block])
+            root = np.arange(len(both))
+            for i in range(0, len(block), 64):
+                a, b = np.nonzero(np.bitwise_count(block[i : i + 64, None] ^ chunk) <= distance)
+                root = _roots(len(both), np.concatenate([a + len(chunk) + i, np.arange(len(both))]), np.concatenate([b, root]))
+            tied = np.flatnonzero(both != both[root])
+            if len(tied):
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (both[tied], both[root[tied]])], names=["u", "v"])
+
+    return run
+
+
+def _dealt(batches, keys: int):
+    """(key, (fps of role 0, fps of role 1)) of each key, for rows of so many key columns, role and fp, sorted by all but the last."""
+    import numpy as np
+
+    key, parts = None, ([], [])
+    for batch in batches:
+        rows = [batch.column(k).to_numpy() for k in range(keys + 2)]
+        if not len(rows[0]):
+            continue
+        changes = np.any([x[1:] != x[:-1] for x in rows[: keys + 1]], axis=0)
+        cuts = [0, *(np.flatnonzero(changes) + 1).tolist(), len(rows[0])]
+        for begin, end in zip(cuts, cuts[1:]):
+            own = tuple(x[begin].item() for x in rows[:keys])
+            if own != key:
+                if key is not None:
+                    yield key, tuple(np.concatenate([np.zeros(0, np.uint64), *p]) for p in parts)
+                key, parts = own, ([], [])
+            parts[rows[keys][begin]].append(rows[keys + 1][begin:end].view(np.uint64))
+    if key is not None:
+        yield key, tuple(np.concatenate([np.zeros(0, np.uint64), *p]) for p in parts)
+
+
+def link_crowds(met: DataFrame, crowded: DataFrame, tables: SharedTables, distance: int, chunk: int, leaders: int) -> DataFrame:
+    """Edges (u, v) that connect what is linked among the fingerprints (seg, value, fp) of each crowded (seg, value, n).
+
+    Those of a value are dealt out in chunks. All meet about so many of them, drawn by hash, in
+    their chunk; what is linked to the largest component of these is connected, and needn't
+    meet each other. The rest, in blocks, meet every chunk. A task holds a chunk and a block."""
+    unit = ["seg", "value"]
+    part = lambda seed, of: F.pmod(F.xxhash64(F.lit(seed), "fp"), of).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), of - 1))
+    known = crowded.withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
+    own = met.join(known, unit)
+    lead = own.filter(F.pmod(F.xxhash64(F.lit(5), "fp"), F.col("n")) < leaders).select(*unit, every(F.col("chunks")).alias("chunk"), F.lit(0).alias("role"), "fp")
+    own = own.select(*unit, part(6, F.col("chunks")).alias("chunk"), F.lit(1).alias("role"), "fp")
+    dealt = own.unionByName(lead).repartition(*unit, "chunk").sortWithinPartitions(*unit, "chunk", "role")
+    star = tables.write(dealt.mapInArrow(lean(_link_leaders(distance)), "seg int, value long, chunk int, fp long, root long"), "fp-star")
+    ties = star.filter("root <> fp").select(F.col("fp").alias("u"), F.col("root").alias("v"))
+    left = star.filter("root is null").groupBy(*unit).agg(F.count("*").alias("left"))
+    blocks = known.join(left, unit).select(*unit, "chunks", F.ceil(F.col("left") / chunk).cast("int").alias("blocks"))
+    all_ = star.join(blocks, unit).select(*unit, "chunk", every(F.col("blocks")).alias("block"), F.lit(0).alias("role"), "fp")
+    rest = star.filter("root is null").join(blocks, unit).select(*unit, every(F.col("chunks")).alias("chunk"), part(7, F.col("blocks")).alias("block"), F.lit(1).alias("role"), "fp")
+    dealt = all_.unionByName(rest).repartition(*unit, "chunk", "block").sortWithinPartitions(*unit, "chunk", "block", "role")
+    return ties.unionByName(dealt.mapInArrow(lean(_link_blocks(distance)), "u long, v long"))
+
+
+def link_fingerprints(prints: DataFrame, tables: SharedTables, distance: int = 2, crowd: int = CROWD, parts: int | None = None, *, chunk: int = CHUNK, leaders: int = LEADERS) -> DataFrame:
     """Edges (u, v) with the same components as all links between the distinct fingerprints fp."""
     parts = parts or segments_for(prints.count(), distance)
     bounds = segment_bounds(parts)
@@ -188,17 +296,16 @@ def link_fingerprints(prints: DataFrame, tables: SharedTables, distance: int = 2
     signed = lambda mask: mask - (1 << 64) if mask >> 63 else mask
     cut = [F.struct(F.lit(k).alias("seg"), F.col("fp").bitwiseAND(F.lit(signed(mask))).alias("value")) for k, (_, mask) in enumerate(masks)]
     met = prints.select("fp", F.explode(F.array(*cut)).alias("s")).select("s.seg", "s.value", "fp")
-    last = distance != 2 and parts >= distance + 6
-    crowded = tables.write(met.groupBy("seg", "value").agg(F.count("*").alias("n")).filter((F.col("n") > crowd) & F.lit(not last)).drop("n"), f"crowded-{parts}")
+    crowded = tables.write(met.groupBy("seg", "value").agg(F.count("*").alias("n")).filter(F.col("n") > crowd), f"crowded-{parts}")
     own = met
     if some := not crowded.isEmpty():
         own = met.join(crowded, ["seg", "value"], "left_anti")
     dealt = own.select("seg", "value", "fp").repartition("seg", "value").sortWithinPartitions("seg", "value")
     edges = dealt.mapInArrow(lean(_link_sorted(bounds, distance)), "u long, v long")
     if some:
-        many = met.join(crowded, ["seg", "value"], "left_semi").select("fp").distinct()
         if distance != 2:
-            return edges.unionByName(link_fingerprints(tables.write(many, f"many-{parts}"), tables, distance, crowd, parts + 1))
+            return edges.unionByName(link_crowds(met, crowded, tables, distance, chunk, leaders))
+        many = met.join(crowded, ["seg", "value"], "left_semi").select("fp").distinct()
         near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << b) - (1 << 64 if b == 63 else 0))) for b in range(64)])
         near = many.select("fp", F.explode(near).alias("h")).groupBy("h").agg(F.collect_set("fp").alias("fps"))  # 65 at most
         star = near.filter(F.size("fps") > 1).select(F.explode("fps").alias("u"), F.array_min("fps").alias("v")).filter("u <> v").distinct()
@@ -206,7 +313,7 @@ def link_fingerprints(prints: DataFrame, tables: SharedTables, distance: int = 2
     return edges
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 2, similarity: float | None = None) -> DataFrame:
     """(key, fp, component_id) for every row; component_id is the smallest key reachable by links of at most so many bits.
 
     Null, empty and blank texts have fingerprint 0 and link like any other. Texts of fewer
@@ -214,9 +321,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     shingles must fit a task. Repeated rows link to each other, and components need no ties
     broken; rows with a null key stay, and a component of only such rows has a null
     component_id. Other columns are dropped, whatever their names. An empty table gives an
-    empty table."""
+    empty table.
+
+    With a similarity, a shingle that a text repeats counts once, and an exact check follows:
+    texts of a component stay together as far as links of at least this Jaccard similarity of
+    their shingle sets reach. Null, empty and blank texts are then linked only to each other."""
     tables = SharedTables(docs.sparkSession)
     small_batches(docs.sparkSession)
+    if similarity is not None:
+        return _checked_duplicates(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), tables, shingle, distance, similarity).withColumnRenamed("key", key)
     marked = tables.write(fingerprints(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), shingle=shingle), "marked")
     prints = tables.write(marked.groupBy("fp").agg(F.min("key").alias("least")), "prints")
     found = connected_components(link_fingerprints(prints, tables, distance), tables)
@@ -226,6 +339,38 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return marked.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
+def _checked_duplicates(docs: DataFrame, tables: SharedTables, shingle: int, distance: int, similarity: float) -> DataFrame:
+    """near_duplicates of (key, text) with its exact check. The shingle sets of texts that no fingerprint links to another are not moved."""
+    marked = tables.write(fingerprints(docs, shingle=shingle, distinct=True), "marked")
+    # equal sets, of which there may be very many, go on as one
+    texts = tables.write(marked.groupBy("id", "fp").agg(F.min("key").alias("least")), "texts")
+    prints = tables.write(texts.select("fp").distinct(), "prints")
+    met = connected_components(link_fingerprints(prints, tables, distance), tables)
+    placed = texts.filter("id <> 0").join(met, texts.fp == met.node, "left").select("id", "least", F.coalesce("component", "fp").alias("unit"))
+    placed = tables.write(placed, "placed")
+    many = placed.groupBy(F.struct("unit").alias("c")).agg(F.count("*").alias("n")).filter("n > 1").select("c.unit")
+    linked = tables.write(placed.join(many, "unit", "left_semi"), "linked")
+    wanted = linked.select("least").distinct()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [shingle_set(v or b"", shingle) for v in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            ids = np.array([set_id(s) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "hashes"])
+
+    sets = docs.join(wanted, F.col("key").eqNullSafe(F.col("least")), "left_semi").select("text").mapInArrow(lean(run), "id long, hashes binary")
+    sets = tables.write(sets.groupBy("id").agg(F.first("hashes").alias("hashes")), "sets")
+    units = linked.select("unit", "id")
+    free(docs.sparkSession)
+    found = connected_components(tables.write(exact_ties(units, sets, tables, similarity, WHOLE), "ties"), tables)
+    for name in ("sets", "star", "linked", "placed"):
+        tables.drop(name)
+    return name_groups(marked, found).select("key", "fp", "component_id")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -250,6 +395,13 @@ def shingle_set(text: bytes, shingle: int, seed: int = 42):
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64))
 
 
+def set_id(hashes) -> int:
+    """A hash of a shingle set; 0 if it is empty."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(hashes.tobytes()) if len(hashes) else 0
+
+
 def _factors():
     """Random odd multipliers, one for each minimum hash."""
     import numpy as np
@@ -473,12 +625,11 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        import xxhash
 
         factors = _factors()
         for batch in batches:
             sets = [shingle_set(v or b"", shingle) for v in batch.column("text").cast(pa.large_binary()).to_pylist()]
-            ids = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+            ids = np.array([set_id(s) for s in sets], np.uint64).view(np.int64)
             bands = pa.array([band_values(s, factors) if len(s) else [] for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ids), pa.array([s.tobytes() for s in sets], pa.binary()), bands], names=["key", "id", "hashes", "bands"])
 
@@ -502,6 +653,15 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     for name in ("marked", "groups", "met", "large"):  # the sets are large
         tables.drop(name)
     free(spark)
+    ties = tables.write(exact_ties(units, sets, tables, similarity, whole), "ties")
+    for name in ("sets", "units", "star"):
+        tables.drop(name)
+    free(spark)
+    return name_groups(marked, connected_components(ties, tables)).select(F.col("key").alias(key), "component_id")
+
+
+def exact_ties(units: DataFrame, sets: DataFrame, tables: SharedTables, similarity: float, whole: int) -> DataFrame:
+    """Ties (u, v) that connect what is linked within units (unit, id) by the exact similarity of sets (id, hashes)."""
     weights = sets.select("id", (F.octet_length("hashes") / 8).cast("long").alias("hashes"))
     weights = units.join(weights, "id").groupBy("unit").agg(F.count("*").alias("n"), F.sum("hashes").alias("hashes"))
     crowds = tables.write(weights.filter((F.col("n") > whole) | (F.col("hashes") > HELD_HASHES)), "crowds")
@@ -512,13 +672,13 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     ties = placed.mapInArrow(lean(_link_sets(similarity)), "u long, v long")
     if some:
         ties = ties.unionByName(crowd_ties(units.join(crowds.select("unit"), "unit", "left_semi"), sets, crowds, tables, similarity, whole))
-    ties = tables.write(ties, "ties")
-    for name in ("sets", "units", "star"):
-        tables.drop(name)
-    free(spark)
-    found = connected_components(ties, tables)
+    return ties
+
+
+def name_groups(marked: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows (key, id and others), each with the smallest key of its component as component_id; what has no component (node, component) is one."""
     least = marked.groupBy("id").agg(F.min("key").alias("least"))
     placed = least.join(found, least.id == found.node, "left").select("id", "least", F.coalesce("component", "id").alias("component"))
     lowest = placed.groupBy(F.struct("component").alias("c")).agg(F.min("least").alias("component_id")).select("c.component", "component_id")
     named = placed.select("id", "component").join(lowest, "component").select("id", "component_id")
-    return marked.join(named, "id").select(F.col("key").alias(key), "component_id")
+    return marked.join(named, "id")

@@ -89,6 +89,25 @@ def test_links_at_other_distances(spark, distance, crowd):
     assert same([(r.u % (1 << 64), r.v % (1 << 64)) for r in found]) == same(edges) and len(edges) > 50
 
 
+@pytest.mark.parametrize("crowd,chunk,leaders,parts", [(512, 4096, 256, None), (3, 40, 4, None), (3, 7, 1, 7), (3, 4096, 256, 9), (30, 20, 0, None)])
+def test_links_at_six_bits(spark, crowd, chunk, leaders, parts):
+    """Chains, a crowd of near copies that few leaders don't reach, and texts apart, by brute force."""
+    rng = random.Random(crowd + chunk)
+    flip = lambda p, n: p ^ sum(1 << b for b in rng.sample(range(64), n))
+    centre = rng.getrandbits(64)
+    prints = {rng.getrandbits(64) for _ in range(40)}
+    for p in list(prints):
+        prints |= {flip(p, n) for n in (1, 3, 5, 6, 7, 8)}
+    prints |= {flip(centre, rng.choice([1, 2, 4, 6, 9])) for _ in range(300)}
+    prints = sorted(prints)
+    edges = [(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 6]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(p),) for p in prints], "fp long").repartition(3)
+    found = simhash.link_fingerprints(df, SharedTables(spark), 6, crowd, parts, chunk=chunk, leaders=leaders).collect()
+    same = lambda pairs: {frozenset(g) for g in groups_of(prints, pairs)}
+    assert same([(r.u % (1 << 64), r.v % (1 << 64)) for r in found]) == same(edges) and len(edges) > 1000
+
+
 def groups_of(nodes, edges):
     out = {}
     for n, c in components(nodes, edges).items():

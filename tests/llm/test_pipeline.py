@@ -84,6 +84,50 @@ def test_stages_take_odd_rows(spark, corpus):
     assert len(made["SentencePiece encoding and decoding"]) == 8
 
 
+def test_near_copies_are_those_of_simhash(spark, corpus):
+    """The groups, by brute force: fingerprints of distinct shingles at most six bits apart, then texts that share half of their shingles."""
+    import xxhash
+
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = [None, "", " \t", "one two", "One  two", "one two three four", "one two three five"]
+    for k in range(60):  # near copies, of which many have less than 0.8 of their five-word shingles in common
+        own = [word() for _ in range(150)]
+        other = own[:]
+        for _ in range(k // 6):
+            other[rng.randrange(150)] = word()
+        texts += [" ".join(own), " ".join(other)]
+    for _ in range(4):  # different texts that share a line many times
+        line = [word() for _ in range(20)] * 30
+        texts += [" ".join([word() for _ in range(200)] + line) for _ in range(2)]
+    texts += [f"{word()} {word()} {word()} {word()}" for _ in range(200)]
+
+    def shingles(text):
+        own = (text or "").lower().split()
+        return {" ".join(own[i : i + 3]) for i in range(max(1, len(own) - 2))} if own else set()
+
+    def fingerprint(sh):
+        hashes = [xxhash.xxh64_intdigest(x, 42) for x in sh]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    sets = [shingles(t) for t in texts]
+    prints = [fingerprint(s) for s in sets]
+
+    def grouped(nodes, linked):
+        groups = []
+        for n in nodes:
+            met = [g for g in groups if any(linked(n, m) for m in g)]
+            groups = [g for g in groups if g not in met] + [{n}.union(*met)]
+        return groups
+
+    close = grouped(range(len(texts)), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 6)
+    alike = lambda a, b: sets[a] == sets[b] or 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])
+    wanted = {min(g) for c in close for g in grouped(sorted(c), alike)}
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, corpus[0]).collect()} == wanted
+    assert 20 < len(texts) - len(wanted) < 60
+
+
 def test_run(spark, corpus):
     folder, rows, _ = corpus
     made = corpus_pipeline.run(spark, folder).collect()
