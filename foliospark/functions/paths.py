@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-__all__ = ["SPLIT", "decode_text", "normalize_path", "percent_decode", "resolve_path", "safe_url", "split_url"]
+__all__ = ["SPLIT", "decode_text", "normalize_path", "percent_decode", "resolve_path", "safe_url", "split_url", "url_head"]
 
 SPLIT = T.StructType([T.StructField(n, T.StringType()) for n in ("scheme", "netloc", "path", "query", "fragment")])
 #: Schemes a link may have, and images that a data URL may hold.
@@ -82,6 +82,15 @@ def decode_text(content: pd.Series) -> pd.Series:
     return content.map(one)
 
 
+def url_head(url: Column) -> Column:
+    """Scheme, netloc and path as split_url gives them, for safe_url: of URLs that split_url rejects, all of which name a host, the host is given.
+
+    Native, so that it can be applied to the elements of arrays."""
+    plain = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    part = lambda n: F.regexp_extract(plain, r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)", n)
+    return F.struct(F.lower(part(1)).alias("scheme"), part(2).alias("netloc"), part(3).alias("path"))
+
+
 def safe_url(tag: Column, attribute: Column, split: Column) -> Column:
     """Whether a reference is inert: no host; a link with a known scheme, a raster data URL, or no scheme. split is of the trimmed value."""
     scheme = F.lower(split["scheme"])

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import escape_html, percent_decode, resolve_path, safe_url, split_url, stable_anchor, strip_space
+from ..functions import escape_html, percent_decode, resolve_path, safe_url, split_url, stable_anchor, strip_space, url_head
 from ..policy import Options
-from .tree import KEYS, attribute, drop_subtrees, first_headings, inner_of, serialize, tokens, with_top_marked
+from .tree import KEYS, attribute, drop_subtrees, inner_of, serialize, tokens, with_top_marked
 
 #: The markers of each selector, and the elements that can bear them.
 MARKERS = {"toc": ("toc",), "cover": ("cover",), "navigation": ("toc", "landmarks", "nav"), "front-matter": ("frontmatter", "front-matter", "titlepage"), "endnotes": ("endnotes", "endnote", "footnotes"), "appendices": ("appendix", "appendices")}
@@ -147,23 +147,25 @@ def filter_content(nodes: DataFrame, options: Options) -> DataFrame:
     return drop_subtrees(nodes, F.coalesce(gone, F.lit(False)))
 
 
+def unsafe_reference(tag: Column, a: Column) -> Column:
+    """Whether an attribute holds a reference that is not inert; every URL of a srcset must be."""
+    urls = F.when(a["name"] == "srcset", F.transform(F.split(a["value"], ","), lambda x: F.get(F.split(strip_space(x), r"\s+"), F.lit(0)))).otherwise(F.array(strip_space(a["value"])))
+    return a["name"].isin(*REFERENCES) & F.exists(F.transform(urls, url_head), lambda u: ~safe_url(tag, a["name"], u))
+
+
 def sanitize(nodes: DataFrame, preserve_scripts: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(nodes without active content, (keys, removed) counts of outermost elements and of attributes taken away)."""
+    """(nodes without active content, (keys, removed) counts of outermost elements and of attributes taken away).
+
+    One window over a document; nothing is joined, so that the nodes are made and dealt once."""
     tags = [*ACTIVE, "math", *([] if preserve_scripts else ["script"])]
-    marked = with_top_marked(nodes, F.col("tag").isin(*tags), "__top")
-    elements = marked.groupBy(*KEYS).agg(F.count_if("__top").alias("elements"))
-    left = drop_subtrees(marked.drop("__top"), F.coalesce(F.col("tag").isin(*tags), F.lit(False)))
-    checked = attributes_of(left, (), REFERENCES).select(*KEYS, "node_id", "tag", "name", "value")
-    # every URL of a srcset must be safe
-    urls = F.when(F.col("name") == "srcset", F.transform(F.split("value", ","), lambda x: F.get(F.split(strip_space(x), r"\s+"), F.lit(0)))).otherwise(F.array(strip_space(F.col("value"))))
-    each = checked.select("*", F.explode(urls).alias("url")).withColumn("__u", split_url("url"))
-    unsafe = each.filter(~safe_url(F.col("tag"), F.col("name"), F.col("__u"))).groupBy(*KEYS, "node_id").agg(F.collect_set("name").alias("__unsafe"))
-    joined = left.join(unsafe, [*KEYS, "node_id"], "left")
-    bad = lambda a: F.lower(a["name"]).startswith("on") | (F.lower(a["name"]) == "style") | F.coalesce(F.array_contains("__unsafe", a["name"]), F.lit(False))
-    clean = joined.withColumn("__kept", F.filter("attrs", lambda a: ~bad(a)))
-    counts = clean.groupBy(*KEYS).agg(F.sum(F.when(F.col("attrs").isNotNull(), F.size("attrs") - F.size("__kept")).otherwise(0)).alias("attributes"))
-    removed = elements.join(counts, KEYS, "left").select(*KEYS, (F.col("elements") + F.coalesce("attributes", F.lit(0))).alias("removed"))
-    return clean.withColumn("attrs", F.col("__kept")).drop("__kept", "__unsafe"), removed
+    active = F.coalesce(F.col("tag").isin(*tags), F.lit(False))
+    marked = with_top_marked(nodes, active, "__top", inside="__inside")
+    bad = lambda a: F.lower(a["name"]).startswith("on") | (F.lower(a["name"]) == "style") | F.coalesce(unsafe_reference(F.col("tag"), a), F.lit(False))
+    left = ~(active | F.col("__inside"))
+    checked = marked.withColumn("__kept", F.when(left, F.filter("attrs", lambda a: ~bad(a))))
+    taken = F.sum(F.when(F.col("__kept").isNotNull(), F.size("attrs") - F.size("__kept")).otherwise(0))
+    removed = checked.groupBy(*KEYS).agg((F.count_if("__top") + taken).alias("removed"))
+    return checked.filter(left).withColumn("attrs", F.col("__kept")).drop("__kept", "__top", "__inside"), removed
 
 
 # sections
@@ -171,9 +173,7 @@ def sanitize(nodes: DataFrame, preserve_scripts: bool = False) -> tuple[DataFram
 
 def sections(nodes: DataFrame, targets: DataFrame, options: Options) -> DataFrame:
     """(keys, path, anchor, title, html): each document's body as a section, with a link back to the top in navigated output."""
-    inner = inner_of(nodes)
-    titles = first_headings(inner)
-    body = targets.join(serialize(inner), KEYS, "left").join(titles, KEYS, "left")
+    body = targets.join(serialize(inner_of(nodes), title="title"), KEYS, "left")
     back = '<a class="back-to-top" href="#top">Back to top</a>' if options.navigation else ""
     html = F.concat(F.lit('<section id="'), escape_html(F.col("anchor")), F.lit('" data-epub-source="'), escape_html(F.col("path")), F.lit('">'), F.coalesce("inner", F.lit("")), F.lit(back), F.lit("</section>"))
     return body.select(*KEYS, "path", "anchor", "title", html.alias("html"))

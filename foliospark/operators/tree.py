@@ -132,11 +132,13 @@ def drop_subtrees(nodes: DataFrame, marked: Column, keys: list[str] = KEYS) -> D
     return nodes.withColumn("__gone", F.coalesce(end >= F.col("node_id"), F.lit(False))).filter("not __gone").drop("__gone")
 
 
-def with_top_marked(nodes: DataFrame, marked: Column, name: str, keys: list[str] = KEYS) -> DataFrame:
-    """Adds whether a node is marked and in no other marked node's subtree."""
+def with_top_marked(nodes: DataFrame, marked: Column, name: str, keys: list[str] = KEYS, inside: str | None = None) -> DataFrame:
+    """Adds whether a node is marked and in no other marked node's subtree; under the name inside, whether it is in one."""
     above = Window.partitionBy(*keys).orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
-    end = F.max(F.when(marked, F.col("subtree_end"))).over(above)
-    return nodes.withColumn(name, F.coalesce(marked, F.lit(False)) & ~F.coalesce(end >= F.col("node_id"), F.lit(False)))
+    within = F.coalesce(F.max(F.when(marked, F.col("subtree_end"))).over(above) >= F.col("node_id"), F.lit(False))
+    held = nodes.withColumn(inside or "__inside", within)
+    top = held.withColumn(name, F.coalesce(marked, F.lit(False)) & ~F.col(inside or "__inside"))
+    return top if inside else top.drop("__inside")
 
 
 def texts_of(nodes: DataFrame, elements: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -149,11 +151,19 @@ def texts_of(nodes: DataFrame, elements: DataFrame, keys: list[str] = KEYS) -> D
     return held.groupBy(*keys, "of").agg(F.array_join(F.transform(pieces, lambda x: x["piece"]), " ").alias("content")).withColumnRenamed("of", "node_id")
 
 
+def with_heading(nodes: DataFrame, depth: int = 6, keys: list[str] = KEYS) -> DataFrame:
+    """Adds __heading, node_id and subtree_end of the document's first heading of a level up to depth, and __piece, the stripped string of a text in it. One window over a document; nothing is joined."""
+    first = F.min(F.when(F.col("tag").isin(*[f"h{n}" for n in range(1, depth + 1)]), F.struct("node_id", "subtree_end"))).over(Window.partitionBy(*keys))
+    within = (F.col("kind") == "text") & F.col("node_id").between(F.col("__heading.node_id"), F.col("__heading.subtree_end"))
+    return nodes.withColumn("__heading", first).withColumn("__piece", F.when(within, F.nullif(strip_space(F.col("text")), F.lit(""))))
+
+
 def first_headings(nodes: DataFrame, depth: int = 6, keys: list[str] = KEYS) -> DataFrame:
     """(keys, title): the text of a document's first heading of a level up to depth."""
-    levels = [f"h{n}" for n in range(1, depth + 1)]
-    first = nodes.filter(F.col("tag").isin(*levels)).groupBy(*keys).agg(F.min(F.struct("node_id", "subtree_end")).alias("h")).select(*keys, "h.*")
-    return texts_of(nodes, first, keys).select(*keys, F.col("content").alias("title"))
+    own = nodes.filter(F.col("tag").isin(*[f"h{n}" for n in range(1, depth + 1)]) | (F.col("kind") == "text")).select(*keys, "node_id", "subtree_end", "kind", "tag", "text")
+    pieces = F.sort_array(F.collect_list(F.when(F.col("__piece").isNotNull(), F.struct("node_id", "__piece"))))
+    inside = with_heading(own, depth, keys).filter(F.col("node_id").between(F.col("__heading.node_id"), F.col("__heading.subtree_end")))
+    return inside.groupBy(*keys).agg(F.array_join(F.transform(pieces, lambda x: x["__piece"]), " ").alias("title"))
 
 
 def inner_of(nodes: DataFrame, tag: str = "body", keys: list[str] = KEYS) -> DataFrame:
@@ -163,8 +173,10 @@ def inner_of(nodes: DataFrame, tag: str = "body", keys: list[str] = KEYS) -> Dat
     return nodes.withColumn("__in", first).filter("__in is null or (node_id > __in.node_id and node_id <= __in.subtree_end)").drop("__in")
 
 
-def serialize(nodes: DataFrame, keys: list[str] = KEYS, name: str = "inner") -> DataFrame:
-    """(keys, inner): the markup of each document's nodes. An element opens at its number and closes after its subtree's last."""
+def serialize(nodes: DataFrame, keys: list[str] = KEYS, name: str = "inner", title: str | None = None) -> DataFrame:
+    """(keys, inner): the markup of each document's nodes. An element opens at its number and closes after its subtree's last.
+
+    Under the name title also the text of the first heading, as first_headings gives it, but from the same pass over the nodes."""
     attrs = F.array_join(F.transform("attrs", lambda a: F.concat(F.lit(" "), a["name"], F.lit('="'), F.replace(F.replace(a["value"], F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit('"'))), "")
     void = F.col("tag").isin(*VOID)
     opening = F.concat(F.lit("<"), F.col("tag"), attrs, F.when(void, "/>").otherwise(">"))
@@ -178,7 +190,14 @@ def serialize(nodes: DataFrame, keys: list[str] = KEYS, name: str = "inner") ->
         .when(F.col("kind") == "pi", F.concat(F.lit("<?"), F.col("text"), F.lit(">")))
         .otherwise(F.concat(F.lit("<!"), F.col("text"), F.lit(">")))
     )
-    part = lambda at, k, tie, s: F.struct(at.alias("at"), F.lit(k).alias("k"), tie.alias("tie"), s.alias("s"))
+    nothing = F.lit(None).cast("string")
+    piece, headed = nothing, F.lit(False)
+    if title:
+        nodes = with_heading(nodes, keys=keys)
+        piece, headed = F.col("__piece"), F.col("__heading").isNotNull()
+    part = lambda at, k, tie, s, piece=nothing: F.struct(at.alias("at"), F.lit(k).alias("k"), tie.alias("tie"), s.alias("s"), piece.alias("piece"))
     close = F.when((F.col("kind") == "element") & ~void, part(F.col("subtree_end"), 1, -F.col("node_id"), F.concat(F.lit("</"), F.col("tag"), F.lit(">"))))
-    events = nodes.withColumn("__raw", raw).select(*keys, F.explode(F.array_compact(F.array(part(F.col("node_id"), 0, F.col("node_id"), shown), close))).alias("e"))
-    return events.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["s"]), "").alias(name))
+    events = nodes.withColumn("__raw", raw).select(*keys, headed.alias("headed"), F.explode(F.array_compact(F.array(part(F.col("node_id"), 0, F.col("node_id"), shown, piece), close))).alias("e"))
+    whole = events.groupBy(*keys).agg(F.sort_array(F.collect_list("e")).alias("e"), F.first("headed").alias("headed"))
+    join = lambda field, by: F.array_join(F.transform("e", lambda e: e[field]), by)
+    return whole.select(*keys, join("s", "").alias(name), *([F.when(F.col("headed"), join("piece", " ")).alias(title)] if title else []))
