@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 __all__ = [
     "anchor_component", "base64_plain", "basename", "css_urls", "dirname", "escape_html", "data_url", "file_suffix", "file_stem",
-    "first_value", "language_or_default", "media_type_of", "number_with_commas", "percent_encode", "raster_signature",
+    "first_value", "keep_references", "language_or_default", "media_type_of", "number_with_commas", "percent_encode", "raster_signature",
     "srcset_entries", "stable_anchor", "strip_space", "text_or_null", "yes",
 ]
 
@@ -47,6 +47,11 @@ def escape_html(value: Column, quote: bool = True) -> Column:
     return value
 
 
+def keep_references(markup: Column, but: tuple[str, ...]) -> Column:
+    """Markup whose parsed text has all character references as they are written, but those of these names that end with a semicolon."""
+    return F.regexp_replace(markup, f"&(?!(?:{'|'.join(but)});)", "&amp;")
+
+
 def language_or_default(value: Column) -> Column:
     return F.when(yes(value.rlike(r"\A[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*\z")), value).otherwise(F.lit("en"))
 

@@ -34,6 +34,19 @@ def test_query(spark, name):
     assert rows(made) == rows(wanted)
 
 
+def test_chapter_titles_decode_what_their_sql_decodes(spark, tmp_path):
+    import duckdb
+
+    titles = ["token = &quot;1a2b&quot;", "cut &quot", "a&&amp;&amp;b &amp", "&lt;b&gt; &copy; x &middot; y", "&copy 1 &lt2 &amp;quot; &amp;lt; &amp;amp;", "&AMP; &#39;&#x27; &nbsp; &eacute;é &", "&amp;&amp", " &middot; ", "plain"]
+    pages = [(i, f"http://h/{i}", f"<html><head><title>{t}</title><script>a && b &quot;</script></head><body><a href='/x?a=1&lt=2'>&quot;</a><h1>{t}</h1><p>&quot;{t}</p></body></html>") for i, t in enumerate(titles)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    made = {r.page_id: r.title for r in QUERIES["chapter_titles"](spark, str(tmp_path)).collect()}
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert made == dict(connection.execute(SQL["chapter_titles"]).fetchall())
+    assert made[0] == titles[0] and made[2] == "a&&&b &amp"
+
+
 def test_entry_works_without_the_subpackage():
     import subprocess
     import sys
